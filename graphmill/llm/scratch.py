@@ -1,0 +1,37 @@
+"""Tables that cut lineage, written to the folder that all executors share."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; only a session without one (as in tests) gets /tmp/checkpoints."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file:///tmp/checkpoints"
+
+
+class Scratch:
+    """Written tables of one run. keep() writes and rereads, so later jobs read files that survive lost executors; drop() deletes a table that no later plan reads."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark = spark
+        self.root = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        self.paths: dict[int, str] = {}
+        self.n = 0
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        path = f"{self.root}/{self.n}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = path
+        return out
+
+    def drop(self, df: DataFrame) -> None:
+        path = self.paths.pop(id(df), None)
+        if path:
+            jvm = self.spark._jvm
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
