@@ -1,6 +1,6 @@
-"""Registry of the queries over the driver's tables."""
+"""All queries over the driver's tables, except those of the corpus subpackage."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from graphmill.plans import analytics, graphs, relational, retrieval, textual  # noqa: F401
+from graphmill.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
