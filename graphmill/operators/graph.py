@@ -36,8 +36,8 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 20, damping: floa
     out = e.groupBy("source").agg(F.count("*").alias("n_out"))
     links = scratch.keep(e.join(out, "source").groupBy("source", "target").agg((F.count("*") / F.first("n_out")).alias("share")))
     base = scratch.keep(nodes.select("id").distinct().join(out.select(F.col("source").alias("id"), F.lit(1).alias("_out")), "id", "left").select("id", F.col("_out").isNull().alias("dangling")))
-    n = base.count()
-    rank = scratch.keep(base.select("id", "dangling", F.lit(1.0 / max(n, 1)).alias("r")))
+    n = max(base.count(), 1)
+    rank = scratch.keep(base.select("id", "dangling", F.lit(1.0 / n).alias("r")))
     for _ in range(rounds):
         lost = rank.where("dangling").agg(F.sum("r")).first()[0] or 0.0
         got = links.join(rank.select(F.col("id").alias("source"), "r"), "source").groupBy(F.col("target").alias("id")).agg(F.sum(F.col("share") * F.col("r")).alias("got"))

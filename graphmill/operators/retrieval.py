@@ -6,6 +6,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from graphmill.functions import columns as c
@@ -37,7 +38,7 @@ def reciprocal_rank_fusion(vector: DataFrame, text: DataFrame, key: str, k: int
     return vector.select(key, F.col("rank").alias("_v")).join(t, key, "left").select(key, (1 / (k + F.col("_v") + 1) + F.coalesce(1 / (k + F.col("_t") + 1), F.lit(0.0))).alias("rrf"))
 
 
-@pandas_udf("double")
+@pandas_udf(T.DoubleType())
 def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
     """Jaro-Winkler similarity (prefix weight 0.1, four characters at most, above 0.7 only)."""
 
