@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,3 +36,8 @@ class Scratch:
             jvm = self.spark._jvm
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+
+    def release(self) -> None:
+        """Lets Spark delete the shuffle files of plans whose results have been written: it does so once their plans are garbage."""
+        gc.collect()
+        self.spark._jvm.System.gc()
