@@ -140,26 +140,28 @@ def candidates(text: Column) -> Column:
 
 
 def _scored(docs: DataFrame, path: str, findings: DataFrame | None) -> DataFrame:
-    """Columns of docs and _secrets: (candidate, before, score) of each candidate. Three projections, so that nothing is computed twice."""
+    """row (the columns of docs), text and secrets: (candidate, before, score) of each candidate. Three projections, so that nothing is computed twice."""
     features_of, score_of = trained_score(findings if findings is not None else labelled_findings(docs.sparkSession))
-    where = F.col(path) if path in docs.columns else F.lit(None).cast("string")
-    d = docs.withColumn("_c", candidates(F.col("text")))
-    d = d.withColumn("_x", F.transform("_c", lambda c: F.struct(c["candidate"].alias("candidate"), c["before"].alias("before"), features_of(c["candidate"], c["before"], where).alias("f"))))
-    return d.withColumn("_secrets", F.transform("_x", lambda c: F.struct(c["candidate"].alias("candidate"), c["before"].alias("before"), score_of(c["f"]).alias("score")))).drop("_c", "_x")
+    where = F.col(path) if path in docs.columns else F.lit(None)
+    d = docs.select(F.struct("*").alias("row"), F.col("text").alias("text"), where.cast("string").alias("path")).withColumn("c", candidates(F.col("text")))
+    d = d.withColumn("x", F.transform("c", lambda c: F.struct(c["candidate"].alias("candidate"), c["before"].alias("before"), features_of(c["candidate"], c["before"], F.col("path")).alias("f"))))
+    scored = F.transform("x", lambda c: F.struct(c["candidate"].alias("candidate"), c["before"].alias("before"), score_of(c["f"]).alias("score")))
+    return d.select("row", "text", scored.alias("secrets"))
 
 
 def scan(docs: DataFrame, path: str = "source", findings: DataFrame | None = None, least: float = THRESHOLD) -> DataFrame:
     """One row per candidate: doc_id, candidate, before, score, secret."""
     d = _scored(docs.select("doc_id", "text", *([path] if path in docs.columns else [])), path, findings)
-    s = d.select("doc_id", F.explode("_secrets").alias("s"))
+    s = d.select("row.doc_id", F.explode("secrets").alias("s"))
     return s.select("doc_id", "s.candidate", "s.before", "s.score", (F.col("s.score") >= least).alias("secret"))
 
 
 def redact(docs: DataFrame, path: str = "source", findings: DataFrame | None = None, least: float = THRESHOLD) -> DataFrame:
-    """All rows and columns of docs with each secret in text replaced by MARK, and n_secrets."""
+    """All rows and columns of docs with each secret in text replaced by MARK, and n_secrets (which takes the place of a column of that name)."""
     d = _scored(docs, path, findings)
-    secrets = F.array_distinct(F.transform(F.filter("_secrets", lambda s: s["score"] >= least), lambda s: s["candidate"]))
+    secrets = F.array_distinct(F.transform(F.filter("secrets", lambda s: s["score"] >= least), lambda s: s["candidate"]))
     # a secret that is part of another goes after it
-    d = d.withColumn("_secrets", F.transform(F.array_sort(F.transform(secrets, lambda s: F.struct((-F.length(s)).alias("n"), s.alias("s")))), lambda x: x["s"]))
-    text = F.aggregate("_secrets", F.col("text"), lambda t, s: F.replace(t, s, F.lit(MARK)))
-    return d.withColumn("text", text).withColumn("n_secrets", F.size("_secrets")).drop("_secrets")
+    d = d.select("row", "text", F.transform(F.array_sort(F.transform(secrets, lambda s: F.struct((-F.length(s)).alias("n"), s.alias("s")))), lambda x: x["s"]).alias("gone"))
+    text = F.aggregate("gone", F.col("text"), lambda t, s: F.replace(t, s, F.lit(MARK)))
+    keep = [text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns if c != "n_secrets"]
+    return d.select(*keep, F.coalesce(F.size("gone"), F.lit(0)).alias("n_secrets"))
