@@ -150,11 +150,10 @@ def swapped(text: str, ordinal: int) -> str | None:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int) -> DataFrame:
     """doc_id, text, y of at most per_class rows of each class; only the bounded choice is broadcast."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("y").orderBy(F.xxhash64("_id"), "_id")
-    chosen = labels.groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").alias("y")).where("_id is not null and y in (0, 1)").withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= per_class)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen.select("_id", "y")), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "y")
+    one = labels.groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").alias("y")).where("_id is not null")
+    first = lambda y: one.where(F.col("y") == y).orderBy(F.xxhash64("_id"), "_id").limit(per_class)
+    chosen = first(0).unionByName(first(1))
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "y")
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
