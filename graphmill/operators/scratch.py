@@ -19,7 +19,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-        self.paths: dict[int, str] = {}
+        self.paths: dict[int, tuple[str, DataFrame]] = {}
         self.n = 0
 
     def keep(self, df: DataFrame) -> DataFrame:
@@ -27,16 +27,21 @@ class Scratch:
         path = f"{self.root}/{self.n}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
+        self.paths[id(out)] = path, out  # held, so that its id stays its own
         return out
 
     def drop(self, df: DataFrame) -> None:
-        path = self.paths.pop(id(df), None)
+        path, _ = self.paths.pop(id(df), (None, None))
         if path:
-            jvm = self.spark._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
+            p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
+    def keep_only(self, *kept: DataFrame) -> None:
+        """Deletes all tables but these; lazy plans over the others must not be used any more."""
+        for _, df in list(self.paths.values()):
+            if not any(df is k for k in kept):
+                self.drop(df)
+
     def release(self) -> None:
         """Lets Spark delete the shuffle files of plans whose results have been written: it does so once their plans are garbage."""
         gc.collect()
