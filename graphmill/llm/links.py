@@ -2,13 +2,15 @@
 
 1. Bucket rows (key, id) are range-partitioned and sorted by (key, id), so that a key with
    very many ids spreads over several tasks, and one streaming pass over each partition
-   proposes each id with its bucket's first id and with the id before it: a number of
-   pairs in proportion to the rows, never all pairs of a bucket.
+   proposes each id with its bucket's leader, the first id: a number of pairs in
+   proportion to the rows, never all pairs of a bucket.
 2. Proposed pairs are verified exactly; links give components.
-3. Buckets that still touch several components are finished exactly: ids of different
-   components in a bucket are compared with each other, and what is plausible is verified.
-   So no link between two ids of a bucket is lost, and what is one component already
-   costs nothing more.
+3. Buckets that still touch several components are finished exactly. With the leader L
+   known, |x & y| <= min(|x & L|, |y & L|) + |(x - L) & (y - L)|. So two ids of different
+   components can only be linked if the first term suffices, or if they share an item that
+   the leader lacks. The first is a join condition on counts from step 2, the second a join
+   on those few items. What is left is verified. So no link between two ids of a bucket is
+   lost, and copies of one original that differ from each other cost no pairs.
 """
 
 from __future__ import annotations
@@ -21,9 +23,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphmill.llm.scratch import Scratch
+from graphmill.operators.scratch import Scratch
 
 PAIR, EDGE, MEMBER = 0, 1, 2
+#: How much further apart than plausible, in sixty-fourths of the packed minhashes, an id may be from a leader that is to bound its other pairs.
+LOOSE = 6
 _FOUND = "kind int, key long, id long, other long"
 
 
@@ -57,17 +61,11 @@ class _Runs:
         else:
             bounds = np.concatenate([[0], start, [len(key)]])
         leader_of = np.repeat(ids[bounds[:-1]], np.diff(bounds))
-        before = np.empty_like(ids)
-        before[1:] = ids[:-1]
         if not new[0]:
             leader_of[: bounds[1]] = self.leader
-            before[0] = self.before
         follower = ~new
         if self.pairs and follower.any():
             out.append((PAIR, key[follower], ids[follower], leader_of[follower]))
-            chain = follower & (before != leader_of)
-            if chain.any():
-                out.append((PAIR, key[chain], ids[chain], before[chain]))
         size = np.diff(bounds).copy()
         open_before = 0 if new[0] else self.count
         size[0] += open_before
@@ -175,25 +173,97 @@ def nibbles_apart(a: list[Column], b: list[Column]) -> Column:
     return reduce(lambda p, q: p + q, total)
 
 
-def linked_components(found: DataFrame, traits: DataFrame, plausible: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame], scratch: Scratch, extra: DataFrame | None = None) -> DataFrame:
-    """(node, component) by exact links among ids that share a bucket.
+def linked_components(found: DataFrame, traits: DataFrame, plausible: Callable[[str, str, int], Column], sets_for: Callable[[DataFrame], DataFrame], percent: int, scratch: Scratch, extra: DataFrame | None = None, items_of: Callable[[bytes], np.ndarray] | None = None) -> DataFrame:
+    """(node, component) by exact links, 100 * |intersection| >= percent * |union|, among ids that share a bucket.
 
     found: from shared_keys with least=3 and pairs. traits: id and columns that
-    plausible(a prefix, b prefix) compares. verify: keeps of pairs (a, b) the linked ones. extra: further links (a, b).
+    plausible(a prefix, b prefix, slack) compares before sets are. sets_for(ids) gives the sets
+    (id, items) of a table of ids; items_of makes the sorted hashes of a set from its items. extra: further links (a, b).
     """
     cols = [c for c in traits.columns if c != "id"]
     side = lambda p: traits.select(F.col("id").alias(p), *(F.col(c).alias(f"{p}_{c}") for c in cols))
-    tested = scratch.keep(proposed(found).join(side("a"), "a").join(side("b"), "b").where(plausible("a", "b")).select("a", "b"))
-    links = scratch.keep(verify(tested) if extra is None else verify(tested).unionByName(extra))
+
+    def verified(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Pairs with the sizes of sets and intersection, and the sets."""
+        sets = scratch.keep(sets_for(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
+        out = scratch.keep(compared(pairs, sets, items_of or six_bytes))
+        scratch.release()
+        return out, sets
+
+    linked = lambda df: df.where(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
+    proposals = proposed(found).join(side("a"), "a").join(side("b"), "b").where(plausible("a", "b", LOOSE)).select("a", "b")
+    tested, sets = verified(scratch.keep(proposals))
+    links = linked(tested) if extra is None else linked(tested).unionByName(extra)
     parts = components(links, scratch)
-    in_part = lambda df: df.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    bucket = in_part(members(found).distinct())
-    open_keys = bucket.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi and n > 2").select("key")
-    rows = scratch.keep(bucket.join(open_keys, "key", "left_semi").join(traits, "id"))
-    p = rows.select("key", F.col("id").alias("a"), F.col("component").alias("ca"), *(F.col(c).alias(f"a_{c}") for c in cols))
-    q = rows.select("key", F.col("id").alias("b"), F.col("component").alias("cb"), *(F.col(c).alias(f"b_{c}") for c in cols))
-    more = p.join(q, (p.key == q.key) & (p.ca < q.cb) & plausible("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = scratch.keep(more.join(tested, ["a", "b"], "left_anti"))
+
+    bucket = members(found).distinct().join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    state = bucket.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), F.min("id").alias("leader"))
+    open_rows = bucket.join(state.where("lo < hi and n > 2").select("key", "leader"), "key").where("id <> leader").drop("leader")
+    # an id's home is the leader compared with it that most ids were compared with; pairs with the same home have the bound
+    crowd = tested.groupBy("a").agg(F.count("*").alias("crowd"))
+    home = tested.join(crowd, "a").groupBy(F.col("b").alias("id")).agg(F.max(F.struct("crowd", (-F.col("a")).alias("a"), F.col("nb").alias("size"), "common")).alias("h")).select("id", (-F.col("h.a")).alias("home"), "h.size", "h.common")
+    rows = scratch.keep(open_rows.join(home, "id", "left").join(traits, "id"))
+
+    def across(r: DataFrame, also: Column | None) -> DataFrame:
+        p = r.select("key", *(F.col(c).alias({"id": "a"}.get(c, f"a_{c}")) for c in r.columns if c != "key"))
+        q = r.select("key", *(F.col(c).alias({"id": "b"}.get(c, f"b_{c}")) for c in r.columns if c != "key"))
+        on = (p.key == q.key) & (F.col("a_component") < F.col("b_component")) & plausible("a", "b", 0)
+        return p.join(q, on if also is None else on & also).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+    least = percent * (F.col("a_size") + F.col("b_size")) <= (100 + percent) * F.least("a_common", "b_common")
+    enough = across(rows, least | ~F.coalesce(F.col("a_home") == F.col("b_home"), F.lit(False)))
+    lone = rows.where("home is not null").select(F.col("home").alias("leader"), "id").distinct()
+    beside = members(shared_keys(items_beyond(lone, sets, items_of or six_bytes), 2, False)).distinct()
+    plain = rows.select("id", "component", *cols).distinct()
+    shared = across(beside.join(plain, "id"), None)
+    more = scratch.keep(enough.unionByName(shared).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"))
     if more.isEmpty():
         return parts
-    return components(links.unionByName(scratch.keep(verify(more))), scratch)
+    return components(links.unionByName(linked(verified(more)[0])), scratch)
+
+
+def six_bytes(raw: bytes) -> np.ndarray:
+    """Sorted 48-bit items of a set."""
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
+def _with_sets(pairs: DataFrame, sets: DataFrame, a: str, b: str) -> DataFrame:
+    left = pairs.join(sets.select(F.col("id").alias(b), F.col("items").alias("y")), b)
+    return left.join(sets.select(F.col("id").alias(a), F.col("items").alias("x")), a).select(a, b, "x", "y")
+
+
+def compared(pairs: DataFrame, sets: DataFrame, items_of: Callable[[bytes], np.ndarray]) -> DataFrame:
+    """a, b, na, nb, common: sizes of the sets (id, items) and of their intersection; an id with several sets counts by its best."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for x, y in zip(batch.column("x"), batch.column("y")):
+                p, q = items_of(x.as_py()), items_of(y.as_py())
+                both = np.concatenate([p, q])
+                both.sort()
+                out.append((len(p), len(q), int((both[1:] == both[:-1]).sum())))
+            columns = list(zip(*out)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *(pa.array(c, pa.int64()) for c in columns)], ["a", "b", "na", "nb", "common"])
+
+    found = _with_sets(pairs, sets, "a", "b").mapInArrow(work, "a long, b long, na long, nb long, common long")
+    best = F.max(F.struct((F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("s"), "na", "nb", "common")).alias("m")
+    return found.groupBy("a", "b").agg(best).select("a", "b", "m.na", "m.nb", "m.common")
+
+
+def items_beyond(pairs: DataFrame, sets: DataFrame, items_of: Callable[[bytes], np.ndarray]) -> DataFrame:
+    """(key, id) for each item of id that its leader lacks; key is a hash of leader and item."""
+    from graphmill.llm.text import mix
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for leader, i, x, y in zip(batch.column("leader").to_pylist(), batch.column("id").to_pylist(), batch.column("x"), batch.column("y")):
+                rest = np.setdiff1d(items_of(y.as_py()), items_of(x.as_py()), assume_unique=True)
+                keys.append(mix(rest ^ mix(np.array([leader], np.int64).view(np.uint64))).view(np.int64))
+                ids.append(np.full(len(rest), i, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(ids))], ["key", "id"])
+
+    return _with_sets(pairs, sets, "leader", "id").mapInArrow(work, "key long, id long")

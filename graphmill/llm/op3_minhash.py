@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from graphmill.llm import text as tx
 from graphmill.llm.links import linked_components, members, nibbles_apart, shared_keys
-from graphmill.llm.scratch import Scratch
+from graphmill.operators.scratch import Scratch
 
 M, GROUP = 12, 3
 HASHES = 2 * M * GROUP
@@ -143,31 +143,6 @@ def sets_of(docs: DataFrame, words: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, "id long, items binary")
 
 
-def six_bytes(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel()
-
-
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b) those with 100 * |intersection| >= percent * |union| of the sets (id, items)."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y")):
-                p, q = six_bytes(x.as_py()), six_bytes(y.as_py())
-                both = np.concatenate([p, q])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * common >= percent * (len(both) - common))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    left = pairs.join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
-    both = left.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a")
-    return both.select("a", "b", "x", "y").mapInArrow(work, "a long, b long").distinct()
-
-
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept."""
     scratch = Scratch(docs.sparkSession, "minhash")
@@ -184,22 +159,23 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     tables = left.join(right, "id").select(F.xxhash64("l", "r").alias("key"), "id")
     found = scratch.keep(shared_keys(tables, 3, True))
 
-    def plausible(a: str, b: str):
+    def plausible(a: str, b: str, slack: int):
         small, large = F.least(f"{a}_n_shingles", f"{b}_n_shingles"), F.greatest(f"{a}_n_shingles", f"{b}_n_shingles")
         nibs = lambda p: [F.col(f"{p}_nib{i}") for i in range(PACKED // 16)]
-        return (100 * small >= percent * large) & (nibbles_apart(nibs(a), nibs(b)) <= APART)
+        return (100 * small >= percent * large) & (nibbles_apart(nibs(a), nibs(b)) <= APART + slack)
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        sets = scratch.keep(sets_of(docs.join(ids, "doc_id", "left_semi"), words))
-        return verified(pairs, sets, percent)
+    def sets_for(ids: DataFrame) -> DataFrame:
+        # a merge join at every size: the ids grow with the corpus
+        return sets_of(docs.select(F.col("doc_id").cast("long"), "text").join(ids.withColumnRenamed("id", "doc_id").hint("merge"), "doc_id", "left_semi"), words)
 
     # a doc_id with several texts links the sets that it has
     several = nodes.select("doc_id", "id").distinct().groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
     extra = nodes.join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("id").alias("b")).where("a <> b")
-    parts = linked_components(found, own.select("id", *_TRAITS), plausible, verify, scratch, extra)
+    parts = linked_components(found, own.select("id", *_TRAITS), plausible, sets_for, percent, scratch, extra)
     # a set's representative stands for its members
     class_of = parts.select(F.col("node").alias("id"), "component")
     label = nodes.select("doc_id", "id").join(class_of, "id", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "id")).alias("component_id"))
+    label = scratch.keep(label)
+    scratch.keep_only(signed, label)
     out = signed.select("doc_id", "n_shingles").join(label, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

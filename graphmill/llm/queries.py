@@ -94,7 +94,7 @@ ORACLE_SQL = {
 with v as (
   select vec_id, embedding::double[] as v from embeddings
   where vec_id is not null and embedding is not null and len(embedding) > 0
-    and len(list_filter(embedding, x -> x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, x -> x <> 0)) > 0
+    and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0
 ), d as (
   select len(v) as n from v group by 1 order by count(*) desc, 1 limit 1
 ), u as (select vec_id, v from v where len(v) = (select n from d)
