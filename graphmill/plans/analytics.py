@@ -10,10 +10,10 @@ from graphmill.plans.registry import query, table as t
 MONEY = "decimal(18,2)"
 
 
-@query("a21_tool_daily", """select cast(ts as date) as day, event_type as tool, count(*) as calls, count(*) filter (where event_type = 'error') as errors, sum(value::decimal(18,2))::double as total_ms, round(sum(value::decimal(18,2))::double / count(*), 4) as avg_ms from events group by 1, 2""")
+@query("a21_tool_daily", """select cast(ts as date) as day, event_type as tool, count(*) as calls, count(*) filter (where event_type = 'error') as errors, sum(value::decimal(18,2))::double as total_ms, sum(value::decimal(18,2))::double / count(*) as avg_ms from events group by 1, 2""")
 def a21(spark, d):
     total = F.sum(F.col("value").cast(MONEY)).cast("double")
-    return t(spark, d, "events").groupBy(F.to_date("ts").alias("day"), F.col("event_type").alias("tool")).agg(F.count("*").alias("calls"), F.count_if(F.col("event_type") == "error").alias("errors"), total.alias("total_ms"), F.round(total / F.count("*"), 4).alias("avg_ms"))
+    return t(spark, d, "events").groupBy(F.to_date("ts").alias("day"), F.col("event_type").alias("tool")).agg(F.count("*").alias("calls"), F.count_if(F.col("event_type") == "error").alias("errors"), total.alias("total_ms"), (total / F.count("*")).alias("avg_ms"))
 
 
 @query("a22_flakiness", """with c as (select user_id, event_type, count(*) as n from events group by 1, 2), s as (select user_id, max(n) as m, sum(n) as n, count(*) as k from c group by 1)
@@ -35,9 +35,9 @@ def a24(spark, d):
     return t(spark, d, "events").groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("total"), F.round(F.try_divide(F.count_if(F.col("event_type") != "error"), F.count("*")), 4).alias("pass_rate"))
 
 
-@query("a25_slowest", "select user_id, round(sum(value::decimal(18,2))::double / count(*), 4) as mean_ms from events group by 1 order by 2 desc, 1 limit 10")
+@query("a25_slowest", "select user_id, sum(value::decimal(18,2))::double / count(*) as mean_ms from events group by 1 order by 2 desc, 1 limit 10")
 def a25(spark, d):
-    return t(spark, d, "events").groupBy("user_id").agg(F.round(F.sum(F.col("value").cast(MONEY)).cast("double") / F.count("*"), 4).alias("mean_ms")).orderBy(F.desc("mean_ms"), "user_id").limit(10)
+    return t(spark, d, "events").groupBy("user_id").agg((F.sum(F.col("value").cast(MONEY)).cast("double") / F.count("*")).alias("mean_ms")).orderBy(F.desc("mean_ms"), "user_id").limit(10)
 
 
 @query("a27_findings_summary", "select l_returnflag as type, l_linestatus as severity, count(*) as n from lineitem group by grouping sets ((), (l_returnflag), (l_linestatus))")
