@@ -197,6 +197,29 @@ def test_quality_separates(spark):
     assert out and all(x.kept == (x.doc_id % 5 != 0) for x in out)
 
 
+def test_quality_cuts_between_labels(spark):
+    """Junk a little below the good texts goes: a few words in ten are shouted."""
+    rng = random.Random(3)
+    good = [a + b for a in "bcdfghjklm" for b in ("an", "or", "ist", "ell")]
+    docs, labels = [], []
+    for i in range(400):
+        w = [rng.choice(good) for _ in range(120)]
+        if i % 8 == 0:
+            for k in rng.sample(range(120), 4):
+                w[k] = w[k].upper() + "!!"
+        docs.append((i, " ".join(w)))
+        labels.append((i, int(i % 8 != 0), 0))
+    out = op4_quality.judge(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).where("not base_failed").collect()
+    assert sum(x.kept for x in out if x.doc_id % 8 == 0) <= 2
+    assert sum(not x.kept for x in out if x.doc_id % 8) <= 2
+
+
+def test_quality_best_cut():
+    cut = op4_quality.best_cut
+    assert cut([(-100, 0, 5), (-10, 1, 3), (0, 50, 1), (5, 50, 0)]) == (-9 + 0) / 2 / op4_quality.STEPS
+    assert cut([(0, 5, 0), (3, 5, 0)]) is None and cut([(0, 5, 1), (3, 5, 0)]) is None and cut([]) is None
+
+
 # 5: language
 
 
