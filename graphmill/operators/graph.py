@@ -152,20 +152,23 @@ def graph_diff(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return come.unionByName(gone)
 
 
-def strongly_connected(edges: DataFrame, rounds: int = 30) -> DataFrame:
+def strongly_connected(edges: DataFrame) -> DataFrame:
     """(id, component) of nodes on a cycle: trimming to nodes with both kinds of edges, then smallest labels forwards and backwards.
 
     A node whose smallest forward and backward reaching labels agree is in that label's
-    component; settled nodes go and the rest runs again.
+    component; settled nodes go, and so do edges between nodes of different labels, since a
+    component has one pair of labels. The rest runs again until no edge is left; each round
+    settles the component of the smallest id at least.
     """
     scratch = Scratch(edges.sparkSession, "scc")
     e = scratch.keep(edges.where("source <> target").select("source", "target").distinct())
     found = None
-    for _ in range(rounds):
+    while True:
         while True:  # trim
             n = e.count()
             ok = e.select(F.col("source").alias("x")).intersect(e.select(F.col("target").alias("x")))
             t = scratch.keep(e.join(ok.withColumnRenamed("x", "source"), "source", "left_semi").join(ok.withColumnRenamed("x", "target"), "target", "left_semi").select("source", "target"))
+            scratch.drop(e)
             e = t
             if t.count() == n:
                 break
@@ -179,6 +182,7 @@ def strongly_connected(edges: DataFrame, rounds: int = 30) -> DataFrame:
                 step = e.select(F.col(a).alias("id"), F.col(b).alias("to")).join(lab, "id").select(F.col("to").alias("id"), "m")
                 new = scratch.keep(lab.unionByName(step).groupBy("id").agg(F.min("m").alias("m")))
                 moved = new.exceptAll(lab).limit(1).count()
+                scratch.drop(lab)
                 lab = new
                 if not moved:
                     return lab
@@ -186,7 +190,12 @@ def strongly_connected(edges: DataFrame, rounds: int = 30) -> DataFrame:
         f, g = spread("source", "target"), spread("target", "source")
         done = scratch.keep(f.join(g.withColumnRenamed("m", "w"), "id").where("m = w").select("id", F.col("m").alias("component")))
         found = done if found is None else found.unionByName(done)
-        e = scratch.keep(e.join(done.select(F.col("id").alias("source")), "source", "left_anti").join(done.select(F.col("id").alias("target")), "target", "left_anti"))
+        rest = scratch.keep(f.join(g.withColumnRenamed("m", "w"), "id").where("m <> w"))
+        end = lambda k: rest.select(F.col("id").alias(k), "m", "w")
+        cut = scratch.keep(e.join(end("source"), "source").join(end("target"), ["target", "m", "w"]).select("source", "target"))
+        for x in (e, f, g, rest):
+            scratch.drop(x)
+        e = cut
     if found is None:
         return e.select(F.col("source").alias("id"), F.col("target").alias("component")).limit(0)
     w = Window.partitionBy("component")

@@ -50,6 +50,12 @@ def test_strongly_connected(spark):
     assert {(x.id, x.component) for x in g.strongly_connected(e).collect()} == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4)}
 
 
+def test_strongly_connected_chain(spark):
+    n = 35
+    pairs = [p for i in range(n) for p in ((2 * i, 2 * i + 1), (2 * i + 1, 2 * i), (2 * i + 1, 2 * i + 2))]
+    assert {(x.id, x.component) for x in g.strongly_connected(edges(spark, pairs)).collect()} == {(i, i - i % 2) for i in range(2 * n)}
+
+
 def test_edge_fusion_caps(spark):
     e = spark.createDataFrame([(1, 2, "calls", "a", 0.78), (1, 2, "calls", "b", 0.95), (1, 2, "co", "a", 0.3), (1, 2, "co", "b", 0.4)], "source long, target long, family string, resolver string, confidence_score double")
     got = {x.family: (x.confidence_score, x.resolvers) for x in g.fuse_edges(e, ("calls",)).collect()}
