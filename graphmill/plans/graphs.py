@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from graphmill.operators import graph as g
@@ -110,8 +111,10 @@ def communities(spark, sf_dir):
 
 @query("g7_cycles")
 def cycles(spark, sf_dir):
-    x = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 200).alias("source"), ((F.col("o_custkey") * 7 + F.month("o_orderdate")) % 200).alias("target")).distinct()
-    return g.strongly_connected(x.where("(source + target) % 5 = 0"))
+    # part -> part of the next line of the same order, over all orders
+    x = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("source"))
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "source")
+    return g.strongly_connected(x.withColumn("target", F.lead("source").over(w)).where("target is not null").select("source", "target"))
 
 
 @query("g10_cohesion", f"""with {EDGES}, {NODES}, p as (select distinct least(source, target) as a, greatest(source, target) as b from edges where source <> target),

@@ -8,6 +8,7 @@ from graphmill.functions import columns as c
 from graphmill.operators import graph as g
 from graphmill.operators import relational as r
 from graphmill.operators import retrieval as v
+from graphmill.plans.queries import QUERIES
 
 
 def edges(spark, pairs):
@@ -56,6 +57,26 @@ def test_strongly_connected_chain(spark):
     assert {(x.id, x.component) for x in g.strongly_connected(edges(spark, pairs)).collect()} == {(i, i - i % 2) for i in range(2 * n)}
 
 
+def test_cycles_over_whole_keys(spark, sf_dir):
+    parts = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey").collect()
+    lines, after = sorted(map(tuple, parts)), {}
+    for (o, _, a), (q, _, b) in zip(lines, lines[1:]):
+        if o == q and a != b:
+            after.setdefault(a, set()).add(b)
+
+    def reached(x):
+        seen, todo = set(), [x]
+        while todo:
+            new = after.get(todo.pop(), set()) - seen
+            seen |= new
+            todo.extend(new)
+        return seen
+
+    to = {x: reached(x) for x in after}
+    want = {(x, min(y for y in to[x] if x in to.get(y, ()))) for x in after if x in to[x]}
+    assert {(x.id, x.component) for x in QUERIES["g7_cycles"](spark, sf_dir).collect()} == want
+
+
 def test_edge_fusion_caps(spark):
     e = spark.createDataFrame([(1, 2, "calls", "a", 0.78), (1, 2, "calls", "b", 0.95), (1, 2, "co", "a", 0.3), (1, 2, "co", "b", 0.4)], "source long, target long, family string, resolver string, confidence_score double")
     got = {x.family: (x.confidence_score, x.resolvers) for x in g.fuse_edges(e, ("calls",)).collect()}
