@@ -1,15 +1,16 @@
 """Secret scans: a pattern finds candidates, a random forest removes the false positives; DataFrame functions only.
 
 A candidate is a run of at least 12 characters of the key alphabet with a digit, or of 16
-capitals and digits. The forest sees its length, its transitions between kinds of
-characters, how much of it dictionary words cover, the path it comes from and the words
-beside it. It is trained from labelled findings: a table of (candidate, before, path,
-secret), by default one that labelled_findings() makes by rule. The trained trees become
+capitals and digits, or what a secret word is assigned (a quoted or non-blank run of 6 or
+more), or the password in a URL. The forest sees its length, its transitions between kinds
+of characters, how much of it dictionary words cover, the path it comes from and the words
+on both sides. It is trained from labelled findings: a table of (candidate, before, path,
+secret, and after if there is one), by default one that labelled_findings() makes by rule. The trained trees become
 one SQL expression, so scanning needs no model on the executors, no shuffle and no Python.
 
 Nulls and odd cases: null or empty text has no candidates; a null path has no path words;
 a null doc_id stays null; a candidate that a document repeats is one finding for each
-distinct text before it; repeated rows are scanned each by itself; columns besides those
+distinct text around it; repeated rows are scanned each by itself; columns besides those
 named pass through redact() unchanged.
 """
 
@@ -22,9 +23,12 @@ from pyspark.sql import functions as F
 
 TREES, DEPTH, FINDINGS = 15, 5, 4000
 THRESHOLD = 0.5
-CANDIDATE = "(?<![A-Za-z0-9+/_-])(?:(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{12,}+={0,2}|[A-Z0-9]{16,}+)"
 MARK = "[REDACTED]"
-BEFORE = 40
+BEFORE = AFTER = 40
+#: Occurrences beside one that its context is read across; at 6 characters each they fill BEFORE.
+ACROSS = 7
+#: A shorter secret is replaced only where it stands by itself.
+SHORT = 12
 #: Words whose share of a candidate tells a name or a placeholder from random characters.
 DICTIONARY = (
     "example", "sample", "test", "dummy", "your", "this", "that", "with", "from", "name", "file", "image", "photo", "version", "release", "build",
@@ -32,18 +36,27 @@ DICTIONARY = (
     "section", "chapter", "table", "figure", "model", "server", "client", "local", "host", "mail", "group", "order", "item", "product", "change", "insert", "here", "xxxx", "0000", "1234",
 )
 SECRET_WORDS = "passwo?r?d|passwd|pwd|secret|token|api.?key|access.?key|credential|private.?key|bearer|authorization|client.?secret"
+_ASSIGNED = f"(?i:{SECRET_WORDS}|(?<![a-z])key)[\"'`]? {{0,3}}[:=] {{0,3}}"
+CANDIDATE = (
+    # the short look-behinds come first, since the long ones are slow
+    "(?<=[:=\"' ])(?<=[:=] {0,3}[\"']?)(?:"
+    f"(?<={_ASSIGNED}\")[^\"\\n]{{6,}}(?=\")|(?<={_ASSIGNED}')[^'\\n]{{6,}}(?=')|(?<={_ASSIGNED})[^\\s\"'`]{{5,}}[^\\s\"'`,;.)\\]}}>])"
+    "|(?<=:)(?<=://[^\\s:/@]{0,60}:)[^\\s@/]+(?=@)"
+    "|(?<![A-Za-z0-9+/_-])(?:(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{12,}+={0,2}|[A-Z0-9]{16,}+)"
+)
 PLAIN_WORDS = "commit|sha-?\\d*|md5|hash|checksum|digest|integrity|uuid|guid|isbn|issn|doi|card|phone|tel|call|version|revision|serial|order|invoice|http|www"
 PATH_WORDS = "test|spec|example|fixture|mock|sample|doc|lock"
-FEATURES = ("length", "distinct", "digits", "uppers", "lowers", "symbols", "changes", "vowels", "covered", "hex", "prefix", "numeric", "path", "secret_word", "plain_word", "assigned", "quoted")
+FEATURES = ("length", "distinct", "digits", "uppers", "lowers", "symbols", "changes", "vowels", "covered", "hex", "prefix", "numeric", "path", "secret_word", "plain_word", "assigned", "quoted", "secret_after", "plain_after", "in_url", "reference")
 
 
-def features(candidate: Column, before: Column, path: Column) -> list[Column]:
+def features(candidate: Column, before: Column, path: Column, after: Column) -> list[Column]:
     """The numbers that the forest sees, in the order of FEATURES."""
     n = F.greatest(F.length(candidate), F.lit(1)).cast("double")
     share = lambda keep: F.length(F.regexp_replace(candidate, f"[^{keep}]", "")) / n
     kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(candidate, "[a-z]+", "l"), "[A-Z]+", "u"), "[0-9]+", "d"), "[^lud]+", "s")
     low = F.lower(candidate)
     near = F.lower(F.coalesce(before, F.lit("")))
+    then = F.lower(F.coalesce(after, F.lit("")))
     flag = lambda c: c.cast("double")
     return [
         n,
@@ -63,6 +76,10 @@ def features(candidate: Column, before: Column, path: Column) -> list[Column]:
         flag(near.rlike(f"\\b({PLAIN_WORDS})\\b[^a-z]*$")),
         flag(near.rlike("[=:] *[\"'`]?$")),
         flag(near.rlike("[\"'`]$")),
+        flag(then.rlike(f"^[^a-z]*((is|was|as|for) +)?((the|my|our|a) +)?({SECRET_WORDS})")),
+        flag(then.rlike(f"^[^a-z]*((is|was|as|for) +)?((the|my|our|a) +)?({PLAIN_WORDS})\\b")),
+        flag(near.rlike("://[^ :/@]*:$") & then.startswith("@")),
+        flag(candidate.rlike("^[$<{%]|[(]|^[A-Za-z_]+[.][A-Za-z_.]+$")),
     ]
 
 
@@ -77,6 +94,7 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     word = pick(["the value of ", "see also ", "in ", "", "and then ", "about "], 3)
     d1, d2 = pick(DICTIONARY[:40], 4), pick(DICTIONARY[5:45], 5)
     length = F.pmod(F.xxhash64("m"), F.lit(24)).cast("int") + 14
+    short = F.pmod(F.xxhash64("m"), F.lit(14)).cast("int") + 6
     kinds = [
         (F.substring("k", F.lit(1), length), F.concat(word, key, join), 1),
         (F.substring("k", 1, 40), F.concat(word, key, join), 1),
@@ -94,16 +112,26 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
         (F.concat(F.lit("xxxxxxxxxxxx"), F.substring(digits, 2, 4)), F.concat(key, join), 0),
         (F.concat(d1, F.lit("-"), d2, F.lit("/"), F.substring(digits, 2, 8)), F.concat(word, pick(["path ", "at ", "/", "http://host/"], 7)), 0),
         (F.concat(F.upper(d1), F.upper(d2), F.lit("CONSTANT1")), word, 0),
+        (F.concat(d2, F.substring(digits, 2, 1)), F.concat(word, key, join), 1),
+        (F.regexp_replace(F.substring(b64, F.lit(1), short), "[0-9]", "Z"), F.concat(word, key, join), 1),
+        (F.concat(F.initcap(d1), F.lit("@"), F.substring(digits, 2, 2), F.lit("!"), F.substring(b64, 1, 2)), F.concat(word, key, join), 1),
+        (F.concat_ws(" ", d1, d2, F.reverse(d1), F.reverse(d2)), F.concat(key, F.lit("=\"")), 1),
+        (F.substring(b64, F.lit(1), short), F.concat(word, F.lit("postgres://"), d1, F.lit(":")), 1, "@host/db"),
+        (F.concat(d2, F.substring(digits, 2, 1)), F.concat(word, F.lit("postgres://"), d1, F.lit(":")), 1, "@host/db"),
+        (F.substring("k", F.lit(1), length), word, 1, " is the password"),
+        (F.substring("k", 1, 40), word, 0, " is the commit"),
+        (F.concat(pick(["${", "<", "os.environ.", "get(", "config."], 9), d1, F.lit("_"), d2), F.concat(word, key, join), 0),
+        (d2, F.concat(word, key, F.lit(": ")), 0),
     ]
     which = F.pmod("id", F.lit(len(kinds)))
-    case = lambda j: F.coalesce(*(F.when(which == i, x[j] if j < 2 else F.lit(x[2])) for i, x in enumerate(kinds)))
-    return raw.select(case(0).alias("candidate"), case(1).alias("before"), pick(["src/app", "src/main", "web", "config", "tests/unit", "docs/guide"], 8).alias("path"), case(2).alias("secret"))
+    case = lambda j: F.coalesce(*(F.when(which == i, x[j] if j < 2 else F.lit((*x, "")[j])) for i, x in enumerate(kinds)))
+    return raw.select(case(0).alias("candidate"), case(1).alias("before"), pick(["src/app", "src/main", "web", "config", "tests/unit", "docs/guide"], 8).alias("path"), case(2).alias("secret"), case(3).alias("after"))
 
 
 def trained_score(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = 5):
-    """A function (candidate, before, path) -> Column: mean share of secrets in the leaves that the trees end in."""
+    """Functions (candidate, before, path, after) -> features -> Column: mean share of secrets in the leaves that the trees end in."""
     x = findings.where("candidate is not null and secret in (0, 1)")
-    x = x.select(F.col("secret").cast("double").alias("label"), *(c.alias(n) for c, n in zip(features(F.col("candidate"), F.col("before"), F.col("path")), FEATURES)))
+    x = x.select(F.col("secret").cast("double").alias("label"), *(c.alias(n) for c, n in zip(features(F.col("candidate"), F.col("before"), F.col("path"), F.col("after") if "after" in x.columns else F.lit("")), FEATURES)))
     model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt", featuresCol="x").fit(VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(x))
 
     def read(node) -> tuple:
@@ -120,8 +148,8 @@ def trained_score(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, s
             return F.lit(float(node[0]))
         return F.when(f[FEATURES[node[0]]] <= F.lit(float(node[1])), column(node[2], f)).otherwise(column(node[3], f))
 
-    def features_of(candidate: Column, before: Column, path: Column) -> Column:
-        return F.struct(*(c.cast("double").alias(n) for c, n in zip(features(candidate, before, path), FEATURES)))
+    def features_of(candidate: Column, before: Column, path: Column, after: Column) -> Column:
+        return F.struct(*(c.cast("double").alias(n) for c, n in zip(features(candidate, before, path, after), FEATURES)))
 
     def score_of(f: Column) -> Column:
         total = column(forest[0], f)
@@ -133,27 +161,34 @@ def trained_score(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, s
 
 
 def candidates(text: Column) -> Column:
-    """Distinct (candidate, before) of a text; the text before a candidate ends at its line's start."""
+    """Distinct (candidate, before, after) of a text; each occurrence has the text beside it in its own line."""
     lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda x: x.rlike(CANDIDATE))
-    found = F.transform(lines, lambda x: F.transform(F.regexp_extract_all(x, F.lit(CANDIDATE), 0), lambda c: F.struct(c.alias("candidate"), F.right(F.call_function("substring_index", x, c, F.lit(1)), F.lit(BEFORE)).alias("before"))))
-    return F.array_distinct(F.flatten(found))
+    parts = F.transform(lines, lambda x: F.struct(F.regexp_extract_all(x, F.lit(CANDIDATE), 0).alias("c"), F.split(x, CANDIDATE, -1).alias("gap")))
+    at = lambda a, i: F.coalesce(F.get(a, i), F.lit(""))
+
+    def beside(p: Column) -> Column:
+        before = lambda i: F.concat(*(y for k in range(ACROSS, 0, -1) for y in (at(p["gap"], i - k), at(p["c"], i - k))), at(p["gap"], i))
+        after = lambda i: F.concat(at(p["gap"], i + 1), *(y for k in range(1, ACROSS + 1) for y in (at(p["c"], i + k), at(p["gap"], i + k + 1))))
+        return F.transform(p["c"], lambda c, i: F.struct(c.alias("candidate"), F.right(before(i), F.lit(BEFORE)).alias("before"), F.left(after(i), F.lit(AFTER)).alias("after")))
+
+    return F.array_distinct(F.flatten(F.transform(parts, beside)))
 
 
 def _scored(docs: DataFrame, path: str, findings: DataFrame | None) -> DataFrame:
-    """row (the columns of docs), text and secrets: (candidate, before, score) of each candidate. Three projections, so that nothing is computed twice."""
+    """row (the columns of docs), text and secrets: (candidate, before, after, score) of each candidate. Three projections, so that nothing is computed twice."""
     features_of, score_of = trained_score(findings if findings is not None else labelled_findings(docs.sparkSession))
     where = F.col(path) if path in docs.columns else F.lit(None)
     d = docs.select(F.struct("*").alias("row"), F.col("text").alias("text"), where.cast("string").alias("path")).withColumn("c", candidates(F.col("text")))
-    d = d.withColumn("x", F.transform("c", lambda c: F.struct(c["candidate"].alias("candidate"), c["before"].alias("before"), features_of(c["candidate"], c["before"], F.col("path")).alias("f"))))
-    scored = F.transform("x", lambda c: F.struct(c["candidate"].alias("candidate"), c["before"].alias("before"), score_of(c["f"]).alias("score")))
+    d = d.withColumn("x", F.transform("c", lambda c: F.struct(c["candidate"].alias("candidate"), c["before"].alias("before"), c["after"].alias("after"), features_of(c["candidate"], c["before"], F.col("path"), c["after"]).alias("f"))))
+    scored = F.transform("x", lambda c: F.struct(c["candidate"].alias("candidate"), c["before"].alias("before"), c["after"].alias("after"), score_of(c["f"]).alias("score")))
     return d.select("row", "text", scored.alias("secrets"))
 
 
 def scan(docs: DataFrame, path: str = "source", findings: DataFrame | None = None, least: float = THRESHOLD) -> DataFrame:
-    """One row per candidate: doc_id, candidate, before, score, secret."""
+    """One row per candidate: doc_id, candidate, before, after, score, secret."""
     d = _scored(docs.select("doc_id", "text", *([path] if path in docs.columns else [])), path, findings)
     s = d.select("row.doc_id", F.explode("secrets").alias("s"))
-    return s.select("doc_id", "s.candidate", "s.before", "s.score", (F.col("s.score") >= least).alias("secret"))
+    return s.select("doc_id", "s.candidate", "s.before", "s.after", "s.score", (F.col("s.score") >= least).alias("secret"))
 
 
 def redact(docs: DataFrame, path: str = "source", findings: DataFrame | None = None, least: float = THRESHOLD) -> DataFrame:
@@ -162,6 +197,7 @@ def redact(docs: DataFrame, path: str = "source", findings: DataFrame | None = N
     secrets = F.array_distinct(F.transform(F.filter("secrets", lambda s: s["score"] >= least), lambda s: s["candidate"]))
     # a secret that is part of another goes after it
     d = d.select("row", "text", F.transform(F.array_sort(F.transform(secrets, lambda s: F.struct((-F.length(s)).alias("n"), s.alias("s")))), lambda x: x["s"]).alias("gone"))
-    text = F.aggregate("gone", F.col("text"), lambda t, s: F.replace(t, s, F.lit(MARK)))
+    alone = lambda s: F.concat(F.lit("(?<![A-Za-z0-9])\\Q"), F.replace(s, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E(?![A-Za-z0-9])"))
+    text = F.aggregate("gone", F.col("text"), lambda t, s: F.when(F.length(s) >= SHORT, F.replace(t, s, F.lit(MARK))).otherwise(F.regexp_replace(t, alone(s), F.lit(MARK))))
     keep = [text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns if c != "n_secrets"]
     return d.select(*keep, F.coalesce(F.size("gone"), F.lit(0)).alias("n_secrets"))

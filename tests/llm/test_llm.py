@@ -276,6 +276,21 @@ def test_secrets(spark, odd):
     assert set(odd.columns) <= set(out.columns) and out.count() == odd.count()
 
 
+def test_secrets_assigned(spark):
+    texts = ["password=hunter2 here", 'password="P@ssw0rd!x"', "see postgres://user:s3cret@host/db", 'api_key = "kJhGfDsAqWeRtYuIoP"', 'secret="correct horse battery staple"']
+    want = ["hunter2", "P@ssw0rd!x", "s3cret", "kJhGfDsAqWeRtYuIoP", "correct horse battery staple"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    red = {x.doc_id: x.text for x in op7_secrets.redact(df).collect()}
+    assert [red[i] for i in range(5)] == [t.replace(w, op7_secrets.MARK) for t, w in zip(texts, want)]
+
+
+def test_secrets_own_context(spark):
+    x = "b7db7aa4a5fcc78305881234b7db7aa4a5fcc783"
+    df = spark.createDataFrame([(1, f"commit {x} and token={x} end")], "doc_id long, text string")
+    got = {(r.before.strip()[-6:], r.after[:4]): r.secret for r in op7_secrets.scan(df).collect()}
+    assert got == {("commit", " and"): False, ("token=", " end"): True}
+
+
 # 8: lines
 
 
