@@ -8,9 +8,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: How many records Spark puts into an Arrow batch.
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only a session without one (as in tests) gets /tmp/checkpoints."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file:///tmp/checkpoints"
+    """The folder in spark.checkpoint.dir. Only a local session without one (as in tests) gets /tmp/checkpoints: on a cluster executors would not share it."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder and not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return folder or "file:///tmp/checkpoints"
 
 
 class Scratch:
@@ -22,10 +29,18 @@ class Scratch:
         self.paths: dict[int, tuple[str, DataFrame]] = {}
         self.n = 0
 
-    def keep(self, df: DataFrame) -> DataFrame:
+    def keep(self, df: DataFrame, batch: int | None = None) -> DataFrame:
+        """The written table; batch bounds the records of an Arrow batch while it is written."""
         self.n += 1
         path = f"{self.root}/{self.n}"
-        df.write.parquet(path)
+        usual = self.spark.conf.get(_BATCH)
+        try:
+            if batch:
+                self.spark.conf.set(_BATCH, batch)
+            df.write.parquet(path)
+        finally:
+            if batch:
+                self.spark.conf.set(_BATCH, usual)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path, out  # held, so that its id stays its own
         return out
