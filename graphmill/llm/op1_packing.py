@@ -76,8 +76,7 @@ class Encoder:
         s, e = byte_level_spans(c, offs)
         if not len(s):
             return s, np.zeros(len(texts) + 1, np.int64)
-        whole, ss, ee = "".join(texts), s, e
-        number = self.cache.look(tx.hashes(c, s, e), lambda i: whole[ss[i] : ee[i]])
+        number = self.cache.look(c, s, e, "".join(texts))
         return number, np.searchsorted(s, offs)
 
     def counts(self, texts: list[str]) -> np.ndarray:

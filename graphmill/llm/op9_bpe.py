@@ -172,8 +172,7 @@ class Codec:
         s, e = word_level_spans(c, offs)
         if not len(s):
             return [([], [], 0)] * len(texts)
-        whole = "".join(texts)
-        number = self.cache.look(tx.hashes(c, s, e), lambda i: whole[s[i] : e[i]]).tolist()
+        number = self.cache.look(c, s, e, "".join(texts)).tolist()
         at = np.searchsorted(s, offs).tolist()
         out = []
         for lo, hi in zip(at, at[1:]):

@@ -1,6 +1,6 @@
 """Text as flat numpy arrays: code points, classes, runs and 64-bit hashes of runs.
 
-Everything works on a block of documents at once (about a million characters), so
+Everything works on a block of documents at once (a quarter of a million characters), so
 that the cost per character is a few array passes and memory is bounded by the
 longest single document.
 """
@@ -15,14 +15,15 @@ import numpy as np
 import pyarrow as pa
 
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
-#: Characters handled together; a longer single text makes a block of its own.
-BLOCK = 1 << 20
+#: Characters handled together, so that temporary arrays stay in the cache; a longer single text makes a block of its own.
+BLOCK = 1 << 18
 #: Unicode White_Space, which differs from str.isspace in U+001C..U+001F.
 WHITE_SPACE = (9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 
 _U = np.uint64
-_BASE = _U(0x9E3779B97F4A7C15)
-_INVERSE = _U(pow(int(_BASE), -1, 1 << 64))
+#: Modulus and bases of the two polynomials that hashes() evaluates.
+_P = _U((1 << 31) - 1)
+_BASES = (1_203_948_437, 1_871_530_229)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -49,25 +50,36 @@ def classes() -> np.ndarray:
 
 
 @lru_cache(1)
-def _salt() -> np.ndarray:
-    return mix(np.arange(0x110000, dtype=np.uint64) + _U(0x51ED270B))
+def _salts() -> tuple[np.ndarray, np.ndarray]:
+    """Two random numbers below the modulus for every code point."""
+    x = mix(np.arange(0x110000, dtype=np.uint64) + _U(0x51ED270B))
+    return (x >> _U(33)) % _P, (x & _P) % _P
 
 
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+def _fold(x: np.ndarray) -> np.ndarray:
+    """A smaller number of the same remainder: below 2**33 for any x, at most the modulus + 2 for x below 2**33."""
+    return (x & _P) + (x >> _U(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS[0]) < n + 1:
-        size = max(n + 1, BLOCK + 4096)
-        both = []
-        for base in (_BASE, _INVERSE):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            both.append(np.cumprod(p, dtype=np.uint64))
-        if size > 4 * BLOCK:  # not kept: one very long text should not pin memory
-            return both[0], both[1]
-        _POWERS[:] = both
-    return _POWERS[0], _POWERS[1]
+def _remainder(x: np.ndarray) -> np.ndarray:
+    x = _fold(_fold(x))
+    return np.where(x >= _P, x - _P, x)
+
+
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """base ** i modulo the prime for i < n."""
+    known = _POWERS.get(base, np.ones(1, np.uint64))
+    if len(known) < n:
+        out = known
+        while len(out) < max(n, BLOCK + 4096):
+            out = np.concatenate([out, _remainder(out * _U(pow(base, len(out), int(_P))))])
+        if n > 4 * BLOCK:  # not kept: one very long text should not pin memory
+            return out[:n]
+        _POWERS[base] = known = out
+    return known[:n]
 
 
 def blocks(lengths: np.ndarray, limit: int = BLOCK) -> Iterator[tuple[int, int]]:
@@ -117,11 +129,33 @@ def runs(inside: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def hashes(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the spans: equal spans, equal hashes, wherever they stand."""
-    up, down = _powers(len(symbols))
-    sums = np.zeros(len(symbols) + 1, np.uint64)
-    np.cumsum(_salt()[symbols] * up[: len(symbols)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    """64-bit hashes of the spans: equal spans, equal hashes, wherever they stand.
+
+    Two polynomials modulo a prime over random numbers for the symbols, from prefix sums; a
+    modulus of 2**64 would have constructible collisions at every base. Two different spans
+    of up to n symbols are equal with probability (n / 2**31)**2 at most, usually 2**-62;
+    who needs spans told apart for certain compares them (see tokens.Cache).
+    """
+    out = np.zeros(len(starts), np.uint64)
+    for base, salt in zip(_BASES, _salts()):
+        sums = np.zeros(len(symbols) + 1, np.uint64)
+        np.cumsum(_fold(salt[symbols] * _powers(base, len(symbols))), out=sums[1:])
+        down = _powers(pow(base, -1, int(_P)), len(symbols) + 1)[starts]
+        out = out << _U(31) | _remainder(_remainder(sums[ends] - sums[starts]) * down)
+    return mix(out ^ mix((ends - starts).astype(np.uint64)))
+
+
+def gram_hashes(symbols: np.ndarray, n: int) -> np.ndarray:
+    """64-bit hashes of all runs of n symbols, by joining the hashes of shorter runs in pairs."""
+    h, width = mix(symbols.astype(np.uint64) + _U(0x51ED270B)), 1
+    while width < n and len(symbols) >= n:
+        by = min(width, n - width)
+        a, b = h[: len(h) - by], h[by:]
+        h = (a ^ a >> _U(29)) * _U(0x9E3779B97F4A7C15) + b
+        h ^= h >> _U(32)
+        h *= _U(0xD6E8FEB86659FD93)
+        width += by
+    return h if len(symbols) >= n else h[:0]
 
 
 _SPACE_BYTE = np.zeros(256, bool)
