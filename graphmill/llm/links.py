@@ -2,134 +2,81 @@
 
 1. Bucket rows (key, id) are range-partitioned and sorted by (key, id), so that a key with
    very many ids spreads over several tasks, and one streaming pass over each partition
-   proposes each id with its bucket's leader, the first id: a number of pairs in
-   proportion to the rows, never all pairs of a bucket.
-2. Proposed pairs are verified exactly; links give components.
-3. Buckets that still touch several components are finished exactly. With the leader L
-   known, |x & y| <= min(|x & L|, |y & L|) + |(x - L) & (y - L)|. So two ids of different
-   components can only be linked if the first term suffices, or if they share an item that
-   the leader lacks. The first is a join condition on counts from step 2, the second a join
-   on those few items. What is left is verified. So no link between two ids of a bucket is
-   lost, and copies of one original that differ from each other cost no pairs.
+   drops the keys that only one id has (members_of).
+2. Each bucket has a leader, the member that shares most with others, and each member is
+   compared with it exactly: as many pairs as rows. Links give components.
+3. Where members of a leader are not linked with it and components differ, all members are
+   written as their difference from the leader's set, since |x ^ y| follows from
+   |x ^ L|, |y ^ L| and what these two share. Those that are not linked with the leader are
+   compared with all others, in blocks of about BLOCK by hash: a task holds one block as
+   posting lists, streams another past it, and returns only links that join components it
+   has not joined yet. So no link between two ids of a bucket is lost, no pair is ever a row,
+   and a task's memory is that of a block, whatever the size of the group.
+
+Comparison streams over rows sorted by leader: the leader's set comes once for at most CROWD
+members, so a hot leader spreads over tasks. The work of step 3 is a group's unlinked
+members times its members, at some 50 ns each, spread over the square of its blocks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphmill.llm.text import ragged
 from graphmill.operators.scratch import Scratch
 
-PAIR, EDGE, MEMBER = 0, 1, 2
-#: How much further apart than plausible, in sixty-fourths of the packed minhashes, an id may be from a leader that is to bound its other pairs.
-LOOSE = 6
-_FOUND = "kind int, key long, id long, other long"
+#: Members that one copy of a leader's set is sent to.
+CROWD = 512
+#: Members that a task holds while others pass.
+BLOCK = 2048
+#: Rows of an Arrow batch where whole sets travel.
+SETS_AT_ONCE = 256
 
 
-class _Runs:
-    """Runs of equal keys in a stream of sorted (key, id) rows, in memory that a run's length doesn't change."""
+def members_of(rows: DataFrame) -> DataFrame:
+    """The distinct (key, id) rows whose key has several ids, and of each partition the first and last key whatever it has.
 
-    def __init__(self, least: int, pairs: bool):
-        self.least, self.pairs = least, pairs
-        self.key = self.leader = self.before = None
-        self.count = 0
-        self.held: list[int] = []  # members of the open run, while it is shorter than least
-        self.first_key = None
-
-    def batch(self, key: np.ndarray, ids: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        out = []
-        same = np.empty(len(key), bool)
-        same[1:] = (key[1:] == key[:-1]) & (ids[1:] == ids[:-1])
-        same[0] = self.key is not None and key[0] == self.key and ids[0] == self.before
-        key, ids = key[~same], ids[~same]
-        if not len(key):
-            return out
-        if self.first_key is None:
-            self.first_key = int(key[0])
-        new = np.empty(len(key), bool)
-        new[1:] = key[1:] != key[:-1]
-        new[0] = self.key is None or key[0] != self.key
-        start = np.flatnonzero(new)
-        if new[0]:
-            self._close(out)
-            bounds = np.append(start, len(key))
-        else:
-            bounds = np.concatenate([[0], start, [len(key)]])
-        leader_of = np.repeat(ids[bounds[:-1]], np.diff(bounds))
-        if not new[0]:
-            leader_of[: bounds[1]] = self.leader
-        follower = ~new
-        if self.pairs and follower.any():
-            out.append((PAIR, key[follower], ids[follower], leader_of[follower]))
-        size = np.diff(bounds).copy()
-        open_before = 0 if new[0] else self.count
-        size[0] += open_before
-        if size[0] >= self.least and open_before and self.held:
-            out.append((MEMBER, np.full(len(self.held), key[0]), np.array(self.held), np.zeros(len(self.held), np.int64)))
-            self.held = []
-        whole = (size >= self.least) | (key[bounds[:-1]] == self.first_key)
-        show = np.repeat(whole, np.diff(bounds))
-        if show.any():
-            out.append((MEMBER, key[show], ids[show], np.zeros(int(show.sum()), np.int64)))
-        last = int(bounds[-2])
-        self.key, self.leader, self.before, self.count = int(key[-1]), int(leader_of[-1]), int(ids[-1]), int(size[-1])
-        if whole[-1]:
-            self.held = []
-        else:
-            self.held = (self.held if last == 0 and not new[0] else []) + ids[last:].tolist()
-        if int(bounds[1]) and key[0] == self.first_key and new[0]:
-            out.append((EDGE, key[:1], leader_of[:1], np.zeros(1, np.int64)))
-        return out
-
-    def _close(self, out: list) -> None:
-        self.held = []
-
-    def end(self) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """The last run may go on in the next partition: its leader, and its members if not yet told."""
-        if self.key is None:
-            return []
-        k, zero = np.array([self.key]), np.zeros(1, np.int64)
-        out = [(EDGE, k, np.array([self.leader]), zero)]
-        if self.held:
-            out.append((MEMBER, np.full(len(self.held), self.key), np.array(self.held), np.zeros(len(self.held), np.int64)))
-        return out
-
-
-def shared_keys(rows: DataFrame, least: int, pairs: bool) -> DataFrame:
-    """What the sorted stream of (key, id) shows: proposed pairs, leaders at the partitions' edges, members of runs of at least `least` ids."""
+    A run of one key may be of any length: only its first id and the fact that more follow are held.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs = _Runs(least, pairs)
+        first_key = key = None  # of the stream, of the open run
+        only = before = None  # the open run's single id, until it is told; its last id
 
-        def told(parts):
-            for kind, key, a, b in parts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key.astype(np.int64)), pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64))], ["kind", "key", "id", "other"])
+        def told(k: np.ndarray, i: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(i, pa.int64())], ["key", "id"])
 
         for batch in batches:
-            if batch.num_rows:
-                yield from told(runs.batch(batch.column("key").to_numpy(zero_copy_only=False), batch.column("id").to_numpy(zero_copy_only=False)))
-        yield from told(runs.end())
+            k, i = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "id"))
+            same = np.zeros(len(k), bool)
+            same[1:] = (k[1:] == k[:-1]) & (i[1:] == i[:-1])
+            same[:1] = (k[:1] == key) & (i[:1] == before) if key is not None else False
+            k, i = k[~same], i[~same]
+            if not len(k):
+                continue
+            first_key = int(k[0]) if first_key is None else first_key
+            more = np.append(k[1:] == k[:-1], False)  # the next row has the same key
+            show = more.copy()
+            show[1:] |= more[:-1]
+            show |= k == first_key
+            goes_on = key is not None and int(k[0]) == key
+            if goes_on:
+                show[0] = True
+                if only is not None:
+                    yield told(np.array([key]), np.array([only]))
+            yield told(k[show], i[show])
+            only = None if show[-1] else int(i[-1])
+            key, before = int(k[-1]), int(i[-1])
+        if only is not None:
+            yield told(np.array([key]), np.array([only]))
 
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.select("key", "id").repartitionByRange(n, "key", "id").sortWithinPartitions("key", "id").mapInArrow(work, _FOUND)
-
-
-def proposed(found: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b), a < b: those within partitions, and leaders of a key that spans several."""
-    edge = found.where(F.col("kind") == EDGE)
-    first = edge.groupBy("key").agg(F.min("id").alias("other"))
-    across = edge.select("key", "id").join(first, "key").select("id", "other")
-    both = found.where(F.col("kind") == PAIR).select("id", "other").unionByName(across)
-    return both.where("id <> other").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
-
-
-def members(found: DataFrame) -> DataFrame:
-    return found.where(F.col("kind") == MEMBER).select("key", "id")
+    return rows.select("key", "id").repartitionByRange(n, "key", "id").sortWithinPartitions("key", "id").mapInArrow(work, "key long, id long")
 
 
 def _signed(df: DataFrame) -> tuple:
@@ -142,7 +89,8 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
     Union-find by alternating large-star and small-star steps: each node's larger
     neighbours, then its smaller ones, are linked to the smallest. Each step is a
-    pre-aggregated minimum and an equi-join, so a hub's neighbours need not meet in one task.
+    pre-aggregated minimum and a join with these minima, one row for each node; a hub's
+    edges are one key of that join, which adaptive execution splits.
     """
     e = scratch.keep(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     sign = _signed(e)
@@ -162,108 +110,180 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
-def nibbles_apart(a: list[Column], b: list[Column]) -> Column:
-    """Number of 4-bit groups in which packed longs differ."""
-    total = []
-    for x, y in zip(a, b):
-        d = x.bitwiseXOR(y)
-        d = d.bitwiseOR(F.shiftrightunsigned(d, 1))
-        d = d.bitwiseOR(F.shiftrightunsigned(d, 2))
-        total.append(F.bit_count(d.bitwiseAND(F.lit(0x1111111111111111))))
-    return reduce(lambda p, q: p + q, total)
-
-
-def linked_components(found: DataFrame, traits: DataFrame, plausible: Callable[[str, str, int], Column], sets_for: Callable[[DataFrame], DataFrame], percent: int, scratch: Scratch, extra: DataFrame | None = None, items_of: Callable[[bytes], np.ndarray] | None = None) -> DataFrame:
+def linked_components(rows: DataFrame, sets_for: Callable[[DataFrame], DataFrame], decode: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], percent: int, scratch: Scratch, extra: DataFrame | None = None) -> DataFrame:
     """(node, component) by exact links, 100 * |intersection| >= percent * |union|, among ids that share a bucket.
 
-    found: from shared_keys with least=3 and pairs. traits: id and columns that
-    plausible(a prefix, b prefix, slack) compares before sets are. sets_for(ids) gives the sets
-    (id, items) of a table of ids; items_of makes the sorted hashes of a set from its items. extra: further links (a, b).
+    rows: kept (key, id) rows from members_of. sets_for(ids) gives the sets (id, items), one of
+    each id; decode makes of a column of items the sorted distinct hashes of all sets (below
+    2**48) and where each set's start. extra: further links (a, b), kept.
     """
-    cols = [c for c in traits.columns if c != "id"]
-    side = lambda p: traits.select(F.col("id").alias(p), *(F.col(c).alias(f"{p}_{c}") for c in cols))
-
-    def verified(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Pairs with the sizes of sets and intersection, and the sets."""
-        sets = scratch.keep(sets_for(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
-        out = scratch.keep(compared(pairs, sets, items_of or six_bytes))
-        scratch.release()
-        return out, sets
-
-    linked = lambda df: df.where(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
-    proposals = proposed(found).join(side("a"), "a").join(side("b"), "b").where(plausible("a", "b", LOOSE)).select("a", "b")
-    tested, sets = verified(scratch.keep(proposals))
-    links = linked(tested) if extra is None else linked(tested).unionByName(extra)
-    parts = components(links, scratch)
-
-    bucket = members(found).distinct().join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    state = bucket.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), F.min("id").alias("leader"))
-    open_rows = bucket.join(state.where("lo < hi and n > 2").select("key", "leader"), "key").where("id <> leader").drop("leader")
-    # an id's home is the leader compared with it that most ids were compared with; pairs with the same home have the bound
-    crowd = tested.groupBy("a").agg(F.count("*").alias("crowd"))
-    home = tested.join(crowd, "a").groupBy(F.col("b").alias("id")).agg(F.max(F.struct("crowd", (-F.col("a")).alias("a"), F.col("nb").alias("size"), "common")).alias("h")).select("id", (-F.col("h.a")).alias("home"), "h.size", "h.common")
-    rows = scratch.keep(open_rows.join(home, "id", "left").join(traits, "id"))
-
-    def across(r: DataFrame, also: Column | None) -> DataFrame:
-        p = r.select("key", *(F.col(c).alias({"id": "a"}.get(c, f"a_{c}")) for c in r.columns if c != "key"))
-        q = r.select("key", *(F.col(c).alias({"id": "b"}.get(c, f"b_{c}")) for c in r.columns if c != "key"))
-        on = (p.key == q.key) & (F.col("a_component") < F.col("b_component")) & plausible("a", "b", 0)
-        return p.join(q, on if also is None else on & also).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-
-    least = percent * (F.col("a_size") + F.col("b_size")) <= (100 + percent) * F.least("a_common", "b_common")
-    enough = across(rows, least | ~F.coalesce(F.col("a_home") == F.col("b_home"), F.lit(False)))
-    lone = rows.where("home is not null").select(F.col("home").alias("leader"), "id").distinct()
-    beside = members(shared_keys(items_beyond(lone, sets, items_of or six_bytes), 2, False)).distinct()
-    plain = rows.select("id", "component", *cols).distinct()
-    shared = across(beside.join(plain, "id"), None)
-    more = scratch.keep(enough.unionByName(shared).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"))
+    size = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    # the order of leadership: how many others an id meets in its buckets
+    rank = scratch.keep(rows.join(size, "key").groupBy("id").agg(F.sum("n").alias("rank")))
+    sets = scratch.keep(sets_for(rank.select("id")), SETS_AT_ONCE)
+    scratch.release()
+    ranked = rows.join(size.select("key"), "key").join(rank, "id")
+    leader = ranked.groupBy("key").agg(F.max(F.struct("rank", (-F.col("id")).alias("i"))).alias("x")).select("key", (-F.col("x.i")).alias("leader"))
+    pairs = scratch.keep(rows.join(leader, "key").where("id <> leader").select("leader", "id").distinct())
+    met = scratch.keep(_streamed(pairs, sets, decode, percent, False), SETS_AT_ONCE)
+    scratch.release()
+    links = met.where("linked").select(F.col("leader").alias("a"), F.col("id").alias("b"))
+    parts = components(links if extra is None else links.unionByName(extra), scratch)
+    placed = met.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    spans = placed.groupBy("leader").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.bool_and("linked").alias("all"), F.count("*").alias("n"))
+    open_pairs = placed.join(spans.where("lo < hi and not all").select("leader", F.ceil(F.col("n") / BLOCK).alias("blocks")), "leader")
+    open_pairs = scratch.keep(open_pairs.select("leader", "id", "linked", "component", "blocks"))
+    if open_pairs.isEmpty():
+        return parts
+    apart = scratch.keep(_streamed(open_pairs.select("leader", "id"), sets, decode, percent, True), SETS_AT_ONCE)
+    scratch.release()
+    more = scratch.keep(_across(open_pairs.join(apart, ["leader", "id"]), percent), SETS_AT_ONCE)
+    scratch.release()
     if more.isEmpty():
         return parts
-    return components(links.unionByName(linked(verified(more)[0])), scratch)
+    return components(more.unionByName(parts.select(F.col("component").alias("a"), F.col("node").alias("b"))), scratch)
 
 
-def six_bytes(raw: bytes) -> np.ndarray:
-    """Sorted 48-bit items of a set."""
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel()
-
-
-def _with_sets(pairs: DataFrame, sets: DataFrame, a: str, b: str) -> DataFrame:
-    left = pairs.join(sets.select(F.col("id").alias(b), F.col("items").alias("y")), b)
-    return left.join(sets.select(F.col("id").alias(a), F.col("items").alias("x")), a).select(a, b, "x", "y")
-
-
-def compared(pairs: DataFrame, sets: DataFrame, items_of: Callable[[bytes], np.ndarray]) -> DataFrame:
-    """a, b, na, nb, common: sizes of the sets (id, items) and of their intersection; an id with several sets counts by its best."""
+def _streamed(pairs: DataFrame, sets: DataFrame, decode: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], percent: int, apart: bool) -> DataFrame:
+    """(leader, id, linked) of each pair (leader, id), or with apart (leader, id, size, items): the set's size and its difference from the leader's set."""
+    crowd = pairs.groupBy("leader").agg(F.ceil(F.count("*") / CROWD).alias("salts"))
+    many = crowd.where("salts > 1")
+    salt = F.coalesce(F.pmod(F.xxhash64("id"), F.col("salts")), F.lit(0))
+    own = pairs.join(many, "leader", "left").select("leader", salt.cast("long").alias("salt"), F.lit(1).alias("kind"), "id").join(sets, "id")
+    heads = crowd.select("leader", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("leader").alias("id")).join(sets, "id")
+    columns = ["leader", "salt", "kind", "id", "items"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None, np.zeros(0, np.uint64)
         for batch in batches:
+            leader, member, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("leader", "kind", "id"))
+            flat, at = decode(batch.column("items"))
+            n = np.diff(at)
+            start = np.flatnonzero(np.append(True, leader[1:] != leader[:-1]) | (member == 0))
             out = []
-            for x, y in zip(batch.column("x"), batch.column("y")):
-                p, q = items_of(x.as_py()), items_of(y.as_py())
-                both = np.concatenate([p, q])
-                both.sort()
-                out.append((len(p), len(q), int((both[1:] == both[:-1]).sum())))
-            columns = list(zip(*out)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *(pa.array(c, pa.int64()) for c in columns)], ["a", "b", "na", "nb", "common"])
+            for lo, hi in zip(start.tolist(), [*start[1:].tolist(), len(leader)]):
+                if member[lo] == 0:
+                    held = leader[lo], flat[at[lo] : at[lo + 1]].copy()
+                    lo += 1
+                if lo == hi:
+                    continue
+                if held[0] != leader[lo]:
+                    raise ValueError("a leader without a set")
+                head, size = held[1], n[lo:hi]
+                if apart:
+                    for k in range(lo, hi):
+                        out.append((leader[k], ids[k], n[k], as_bytes(np.setxor1d(head, flat[at[k] : at[k + 1]], assume_unique=True))))
+                    continue
+                items = flat[at[lo] : at[hi]]
+                hit = head[np.minimum(np.searchsorted(head, items), len(head) - 1)] == items if len(head) else np.zeros(len(items), bool)
+                sums = np.zeros(len(items) + 1, np.int64)
+                np.cumsum(hit, out=sums[1:])
+                edge = at[lo : hi + 1] - at[lo]
+                common = sums[edge[1:]] - sums[edge[:-1]]
+                out.append((leader[lo:hi], ids[lo:hi], 100 * common >= percent * (len(head) + size - common)))
+            if out and apart:
+                a, b, c, d = zip(*out)
+                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (a, b, c)), pa.array(d, pa.binary())], ["leader", "id", "size", "items"])
+            elif out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["leader", "id", "linked"])
+
+    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = heads.select(columns).unionByName(own.select(columns)).repartition(n, "leader", "salt").sortWithinPartitions("leader", "salt", "kind")
+    return dealt.mapInArrow(work, "leader long, id long, size long, items binary" if apart else "leader long, id long, linked boolean")
+
+
+def _across(members: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components, enough to join them, from members(leader, id, linked, component, blocks, size, items)."""
+    block = F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block")
+    every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    columns = ["leader", "i", "j", "kind", "id", "component", "size", "items"]
+    rest = [F.col(c) for c in ("id", "component", "size", "items")]
+    left = members.where("not linked").select("leader", block.alias("i"), F.explode(every).alias("j"), F.lit(0).alias("kind"), *rest)
+    right = members.select("leader", F.explode(every).alias("i"), block.alias("j"), F.lit(1).alias("kind"), *rest)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held, block = None, [], None
+        for batch in batches:
+            leader, i, j, kind, ids, part, size = (batch.column(c).to_numpy(zero_copy_only=False) for c in columns[:-1])
+            flat, at = six_bytes(batch.column("items"))
+            found = []
+            for r in range(len(ids)):
+                key = int(leader[r]), int(i[r]), int(j[r])
+                if key != group:
+                    group, held, block = key, [], None
+                own = int(ids[r]), int(part[r]), int(size[r]), flat[at[r] : at[r + 1]]
+                if kind[r] == 0:
+                    held.append((*own[:3], own[3].copy()))
+                    continue
+                if block is None:
+                    block, held = _Block(held, percent), []
+                found += block.links(*own)
+            if found:
+                a, b = zip(*found)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = left.select(columns).unionByName(right.select(columns)).repartition(n, "leader", "i", "j").sortWithinPartitions("leader", "i", "j", "kind")
+    return dealt.mapInArrow(work, "a long, b long")
+
+
+class _Block:
+    """A block of members of one leader as posting lists of their differences from it."""
+
+    def __init__(self, rows: list[tuple[int, int, int, np.ndarray]], percent: int):
+        self.percent = percent
+        self.ids, self.part, self.size = (np.array([r[k] for r in rows], np.int64) for k in range(3))
+        self.apart = np.array([len(r[3]) for r in rows], np.int64)
+        flat = np.concatenate([r[3] for r in rows]) if rows else np.zeros(0, np.uint64)
+        owner = np.repeat(np.arange(len(rows)), self.apart)
+        order = np.argsort(flat, kind="stable")
+        self.owner, flat = owner[order], flat[order]
+        self.start = np.flatnonzero(np.append(True, flat[1:] != flat[:-1])) if len(flat) else np.zeros(0, np.int64)
+        self.item = flat[self.start]
+        self.end = np.append(self.start[1:], len(flat))
+        self.root: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        while (y := self.root.get(x, x)) != x:
+            self.root[x] = x = self.root.get(y, y)
+        return x
+
+    def links(self, own: int, part: int, size: int, items: np.ndarray) -> list[tuple[int, int]]:
+        """Links of another member with those of the block, one for each component that is not joined with its own yet."""
+        if not len(self.item):
+            return []
+        at = np.minimum(np.searchsorted(self.item, items), len(self.item) - 1)
+        at = at[self.item[at] == items]
+        shared = np.bincount(self.owner[ragged(self.start[at], self.end[at] - self.start[at])], minlength=len(self.ids))
+        differ = self.apart + len(items) - 2 * shared
+        both = self.size + size
+        near = np.flatnonzero((100 * (both - differ) >= self.percent * (both + differ)) & (self.part != part) & (self.ids != own))
+        out = []
+        for k in near.tolist():
+            a, b = self.find(int(self.part[k])), self.find(part)
+            if a != b:
+                self.root[max(a, b)] = min(a, b)
+                out.append((int(self.ids[k]), own))
+        return out
 
-    found = _with_sets(pairs, sets, "a", "b").mapInArrow(work, "a long, b long, na long, nb long, common long")
-    best = F.max(F.struct((F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("s"), "na", "nb", "common")).alias("m")
-    return found.groupBy("a", "b").agg(best).select("a", "b", "m.na", "m.nb", "m.common")
 
+def as_bytes(items: np.ndarray) -> bytes:
+    """Six bytes for each 48-bit item."""
+    return items.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
-def items_beyond(pairs: DataFrame, sets: DataFrame, items_of: Callable[[bytes], np.ndarray]) -> DataFrame:
-    """(key, id) for each item of id that its leader lacks; key is a hash of leader and item."""
-    from graphmill.llm.text import mix
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for leader, i, x, y in zip(batch.column("leader").to_pylist(), batch.column("id").to_pylist(), batch.column("x"), batch.column("y")):
-                rest = np.setdiff1d(items_of(y.as_py()), items_of(x.as_py()), assume_unique=True)
-                keys.append(mix(rest ^ mix(np.array([leader], np.int64).view(np.uint64))).view(np.int64))
-                ids.append(np.full(len(rest), i, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(ids))], ["key", "id"])
-
-    return _with_sets(pairs, sets, "leader", "id").mapInArrow(work, "key long, id long")
+def six_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The sets of a column of sorted 48-bit items."""
+    raw, offs = binary(column)
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = raw.reshape(-1, 6)
+    return out.view("<u8").ravel(), offs // 6
+
+
+def binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary column without nulls, and where each value starts."""
+    column = column.cast(pa.large_binary())
+    offs = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return data[offs[0] : offs[-1]], offs - offs[0]

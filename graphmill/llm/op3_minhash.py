@@ -6,11 +6,15 @@ of the right collection, so M * M tables of 2 * GROUP minhashes each cost only
 2 * M * GROUP of them. Two sets of Jaccard similarity s meet in no table with probability
 1 - (1 - (1 - s**GROUP)**M)**2: with the values below 4e-4 at 0.8. Only ids whose left and
 right groups are both shared with another id are put into tables at all.
-What meets is compared exactly on full sets (48-bit hashes of shingles).
+What meets is compared exactly on full sets (48-bit hashes of shingles), see links.py.
+
+Two different shingles of a document count as one with probability 2**-48 for each pair of
+them, so n_shingles of a text of n words is short by one with probability n**2 / 2**49.
 
 Nulls and odd cases: null, empty or blank text has no shingles and is linked with nothing;
-a null doc_id has no component and is kept; rows that repeat a doc_id are one node with
-the links of all of them; columns besides doc_id and text are ignored.
+a null doc_id has no component and is kept; rows that repeat a doc_id are linked with each
+other and have the links of all of them; a text may be of any length; an empty table gives
+an empty one; columns besides doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -23,14 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphmill.llm import text as tx
-from graphmill.llm.links import linked_components, members, nibbles_apart, shared_keys
+from graphmill.llm.links import linked_components, members_of, six_bytes
 from graphmill.operators.scratch import Scratch
 
 M, GROUP = 12, 3
 HASHES = 2 * M * GROUP
-#: Minhashes whose low four bits are packed for a comparison before the exact one, and how many may differ:
-#: at similarity 0.8 the mean is 12 and 27 or more have probability 2e-5.
-PACKED, APART = 64, 26
 _U = np.uint64
 _LOW48 = _U((1 << 48) - 1)
 
@@ -62,12 +63,6 @@ def group_keys(minima: np.ndarray, first: int, size: int) -> np.ndarray:
     return k.view(np.int64)
 
 
-def packed_nibbles(minima: np.ndarray, n: int) -> list[np.ndarray]:
-    """n // 16 longs with the low four bits of the first n minima."""
-    low = (tx.mix(minima[:n].astype(np.uint64)) & _U(15)) << (_U(4) * np.arange(n, dtype=np.uint64) % _U(64))[:, None]
-    return [np.bitwise_or.reduce(low[i : i + 16]).view(np.int64) for i in range(0, n, 16)]
-
-
 def shingle_sets(data: np.ndarray, offs: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct 48-bit shingle hashes of all texts, and where each text's start."""
     h, at = tx.ascii_words(data, offs)
@@ -98,12 +93,8 @@ def byte_blocks(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, n
         yield lo, hi, data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
 
 
-_SIGNED = "n_shingles long, h1 long, h2 long, " + ", ".join(f"nib{i} long" for i in range(PACKED // 16)) + ", lefts array<long>, rights array<long>"
-_TRAITS = ["n_shingles", *(f"nib{i}" for i in range(PACKED // 16))]
-
-
 def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """Of each row: doc_id, number of shingles, two hashes of the set, packed minhashes and the group keys."""
+    """Of each row: doc_id, number of shingles, two hashes of the set, and the group keys."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,36 +102,43 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
                 s, at = shingle_sets(data, offs, words)
                 n = np.diff(at)
                 has = np.flatnonzero(n)
-                columns = [np.zeros(hi - lo, np.int64) for _ in range(2 + PACKED // 16)]
+                h1, h2 = set_hashes(s, at)
                 keys = np.zeros((hi - lo, 2 * M), np.int64)
                 if len(has):
-                    starts = at[:-1][has]
-                    x = tx.mix(s + _U(1))
-                    minima = minhashes(x, starts, HASHES)
-                    columns[0][has] = np.add.reduceat(x, starts).view(np.int64)
-                    columns[1][has] = np.bitwise_xor.reduceat(tx.mix(x), starts).view(np.int64)
-                    for c, v in zip(columns[2:], packed_nibbles(minima, PACKED)):
-                        c[has] = v
+                    minima = minhashes(tx.mix(s + _U(1)), at[:-1][has], HASHES)
                     for i in range(2 * M):
                         keys[has, i] = group_keys(minima, i * GROUP, GROUP)
                 offsets = pa.array(np.arange(hi - lo + 1) * M, pa.int32())
                 lists = [pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(k).ravel())) for k in (keys[:, :M], keys[:, M:])]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(n.astype(np.int64)), *map(pa.array, columns), *lists], ["doc_id", "n_shingles", "h1", "h2", *_TRAITS[1:], "lefts", "rights"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(n.astype(np.int64)), pa.array(h1), pa.array(h2), *lists], ["doc_id", "n_shingles", "h1", "h2", "lefts", "rights"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, "doc_id long, n_shingles long, h1 long, h2 long, lefts array<long>, rights array<long>")
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, "doc_id long, " + _SIGNED)
+
+def set_hashes(s: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each set; 0 of an empty one."""
+    has = np.flatnonzero(np.diff(at))
+    h1, h2 = np.zeros(len(at) - 1, np.int64), np.zeros(len(at) - 1, np.int64)
+    if len(has):
+        x, starts = tx.mix(s + _U(1)), at[:-1][has]
+        h1[has] = np.add.reduceat(x, starts).view(np.int64)
+        h2[has] = np.bitwise_xor.reduceat(tx.mix(x), starts).view(np.int64)
+    return h1, h2
 
 
 def sets_of(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id and its sorted shingle hashes, six bytes each."""
+    """doc_id, the set's two hashes and its sorted shingle hashes, six bytes each."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offs in byte_blocks(batch):
                 s, at = shingle_sets(data, offs, words)
+                h1, h2 = set_hashes(s, at)
                 raw = s.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array([raw[6 * a : 6 * b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())], pa.binary())], ["id", "items"])
+                items = pa.array([raw[6 * a : 6 * b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(h1), pa.array(h2), items], ["doc_id", "h1", "h2", "items"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, "id long, items binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, "doc_id long, h1 long, h2 long, items binary")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -148,33 +146,41 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     scratch = Scratch(docs.sparkSession, "minhash")
     signed = scratch.keep(signatures(docs, words))
     linkable = signed.where("n_shingles > 0 and doc_id is not null")
-    # equal sets are one node: the smallest doc_id stands for them
-    same = linkable.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("id"))
-    nodes = scratch.keep(linkable.join(same, ["h1", "h2", "n_shingles"]).select("doc_id", "id", *_TRAITS, "lefts", "rights"))
-    own = nodes.where("doc_id = id")
-    sides = own.select("id", F.explode(F.concat("lefts", "rights")).alias("key"))
-    shared = scratch.keep(members(shared_keys(sides, 2, False)))
+    # equal sets are one node: the smallest doc_id stands for them; a doc_id with several sets has a node for each
+    several = scratch.keep(linkable.select("doc_id", "h1", "h2").distinct().groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    odd = not several.isEmpty()
+    nodes = linkable.select("doc_id", "h1", "h2", "n_shingles")
+    if odd:
+        nodes = nodes.join(several.withColumn("odd", F.lit(True)), "doc_id", "left").withColumn("id", F.when("odd", F.xxhash64("doc_id", "h1", "h2")).otherwise(F.col("doc_id"))).drop("odd")
+    else:
+        nodes = nodes.withColumn("id", F.col("doc_id"))
+    same = nodes.groupBy("h1", "h2", "n_shingles").agg(F.min(F.struct("id", "doc_id")).alias("x")).select("h1", "h2", "n_shingles", "x.id", F.col("x.doc_id").alias("of"))
+    same = scratch.keep(same)
+    own = linkable.join(same.withColumnRenamed("of", "doc_id"), ["doc_id", "h1", "h2", "n_shingles"]).select("id", "lefts", "rights").dropDuplicates(["id"])
+    own = scratch.keep(own)
+    shared = scratch.keep(members_of(own.select("id", F.explode(F.concat("lefts", "rights")).alias("key"))))
     hit = shared.join(own.select("id", "lefts"), "id").select("id", "key", F.array_contains("lefts", F.col("key")).alias("left"))
     left, right = hit.where("left").select("id", F.col("key").alias("l")), hit.where("not left").select("id", F.col("key").alias("r"))
-    tables = left.join(right, "id").select(F.xxhash64("l", "r").alias("key"), "id")
-    found = scratch.keep(shared_keys(tables, 3, True))
-
-    def plausible(a: str, b: str, slack: int):
-        small, large = F.least(f"{a}_n_shingles", f"{b}_n_shingles"), F.greatest(f"{a}_n_shingles", f"{b}_n_shingles")
-        nibs = lambda p: [F.col(f"{p}_nib{i}") for i in range(PACKED // 16)]
-        return (100 * small >= percent * large) & (nibbles_apart(nibs(a), nibs(b)) <= APART + slack)
+    rows = scratch.keep(members_of(left.join(right, "id").select(F.xxhash64("l", "r").alias("key"), "id")))
 
     def sets_for(ids: DataFrame) -> DataFrame:
+        wanted = same.join(ids, "id").select("id", F.col("of").alias("doc_id"), "h1", "h2")
         # a merge join at every size: the ids grow with the corpus
-        return sets_of(docs.select(F.col("doc_id").cast("long"), "text").join(ids.withColumnRenamed("id", "doc_id").hint("merge"), "doc_id", "left_semi"), words)
-
-    # a doc_id with several texts links the sets that it has
-    several = nodes.select("doc_id", "id").distinct().groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
-    extra = nodes.join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("id").alias("b")).where("a <> b")
-    parts = linked_components(found, own.select("id", *_TRAITS), plausible, sets_for, percent, scratch, extra)
-    # a set's representative stands for its members
-    class_of = parts.select(F.col("node").alias("id"), "component")
-    label = nodes.select("doc_id", "id").join(class_of, "id", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "id")).alias("component_id"))
+        source = docs.select(F.col("doc_id").cast("long"), "text").join(wanted.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
+        sets = sets_of(source, words).join(wanted.hint("merge"), ["doc_id", "h1", "h2"])
+        return sets.groupBy("id").agg(F.min("items").alias("items"))
+
+    place = nodes.select("doc_id", "h1", "h2", "n_shingles").join(same.drop("of"), ["h1", "h2", "n_shingles"]).select("doc_id", "id").distinct()
+    extra = None
+    if odd:
+        # all sets of one doc_id are linked
+        held = place.join(several, "doc_id", "left_semi")
+        extra = scratch.keep(held.join(held.groupBy("doc_id").agg(F.min("id").alias("a")), "doc_id").select("a", F.col("id").alias("b")).where("a <> b"))
+    parts = linked_components(rows, sets_for, six_bytes, percent, scratch, extra)
+    label = place.join(parts.withColumnRenamed("node", "id"), "id", "left").select("doc_id", F.coalesce("component", "id").alias("component_id")).distinct()
+    if odd:
+        # a component that is named after a hashed id gets its smallest doc_id
+        label = label.join(label.groupBy("component_id").agg(F.min("doc_id").alias("least")), "component_id").select("doc_id", F.col("least").alias("component_id")).distinct()
     label = scratch.keep(label)
     scratch.keep_only(signed, label)
     out = signed.select("doc_id", "n_shingles").join(label, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))

@@ -302,9 +302,9 @@ def test_lines(spark, odd):
     docs = [(i, "\n".join(vary(rng.choice(pool)) if rng.random() < 0.6 else rng.choice(["", "ok", word() * 9]) for _ in range(rng.randrange(1, 9)))) for i in range(60)]
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
     lines = [(d, i, s.lower().strip(" \t\n\v\f\r")) for d, t in docs for i, s in enumerate(t.split("\n"))]
-    lines = [x for x in lines if len(x[2]) >= 20]
+    lines = [x for x in lines if x[2]]
     texts = list(dict.fromkeys(s for _, _, s in lines))
-    root = components({i: {s[j : j + 8] for j in range(len(s) - 7)} for i, s in enumerate(texts)}, 80)
+    root = components({i: {s[j : j + 8] for j in range(len(s) - 7)} or {s} for i, s in enumerate(texts)}, 80)
     seen, gone = set(), set()
     for d, i, s in lines:
         c = root[texts.index(s)]
