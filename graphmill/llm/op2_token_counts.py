@@ -1,12 +1,14 @@
 """Exact length histogram of a corpus, and by suffix sums the totals at every context limit.
 
-Nulls and odd cases: null or empty text has length 0; rows with equal text count each;
-an empty table gives an empty histogram; columns besides text are ignored.
+Nulls and odd cases: null or empty text has length 0; rows with equal text or a null doc_id
+count each; a text may be of any length; an empty table gives an empty histogram; columns
+besides doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import public_tokenizers
 import pyarrow as pa
@@ -14,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphmill.llm.op1_packing import BYTE_LEVEL, encoder, text_lists
+from graphmill.operators.scratch import Scratch
 
 #: Lengths of one block of the two-level suffix sums.
 SPAN = 4096
@@ -46,7 +49,7 @@ def context_totals(histogram: DataFrame) -> DataFrame:
     of at most this length. Between two lengths that occur, kept_tokens is linear, so the
     rows answer every limit (see truncated_total).
 
-    The sums have two levels: blocks of SPAN lengths are summed each in its own partition,
+    The histogram is read twice: pass a written one (see corpus_totals). The sums have two levels: blocks of SPAN lengths are summed each in its own partition,
     and only the totals of the blocks, one row each, meet in one task.
     """
     h = histogram.withColumn("block", F.floor(F.col("n_tokens") / SPAN)).withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
@@ -73,6 +76,7 @@ def context_totals(histogram: DataFrame) -> DataFrame:
         kept.alias("kept_tokens"),
         (F.col("all_tokens") - kept).alias("lost_tokens"),
         F.col("all_tokens").alias("total_tokens"),
+        F.col("all_docs").alias("total_docs"),
         F.round((F.col("all_docs") - longer) / F.col("all_docs"), 9).alias("quantile"),
     )
 
@@ -85,5 +89,12 @@ def truncated_total(totals: DataFrame, limit: int) -> DataFrame:
 
 
 def length_at_quantile(totals: DataFrame, q: float) -> DataFrame:
-    """One row: the least length that at least the share q of the documents do not exceed."""
-    return totals.where(F.col("quantile") >= q).agg(F.min("n_tokens").alias("n_tokens"))
+    """One row: the least length that at least the share q of the documents do not exceed, in whole numbers; null without documents."""
+    share = Fraction(str(q))
+    most = F.col("total_docs").cast("decimal(38,0)") - F.col("docs_longer")
+    return totals.where(most * F.lit(share.denominator) >= F.col("total_docs").cast("decimal(20,0)") * F.lit(share.numerator)).agg(F.min("n_tokens").alias("n_tokens"))
+
+
+def corpus_totals(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """context_totals of a table of documents; each text is tokenised once, and the histogram, one row for each length, is written."""
+    return context_totals(Scratch(docs.sparkSession, "lengths").keep(length_histogram(document_lengths(docs, path))))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphmill.llm.op1_packing import pack_power_of_two
-from graphmill.llm.op2_token_counts import context_totals, document_lengths, length_histogram
+from graphmill.llm.op2_token_counts import corpus_totals
 from graphmill.llm.op3_minhash import near_duplicates
 from graphmill.llm.op4_quality import judge
 from graphmill.llm.op5_language import identify, learn
@@ -28,7 +28,7 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals of the corpus at each document length taken as context limit."""
-    return context_totals(length_histogram(document_lengths(table(spark, sf_dir, "documents"))))
+    return corpus_totals(table(spark, sf_dir, "documents"))
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
