@@ -2,19 +2,21 @@
 
 Learning takes the character 4-grams of lower-case letters (runs of other characters count
 as one blank) that at least MIN_SHARE of a language's sampled texts have, and OF_BEST of the
-share in the language where the gram is commonest. They are put into
-a bit-sliced Bloom filter: an array of slots with one bit for each language; a gram sets its
-language's bit in K slots. The AND of a gram's K slots is the set of all languages that
-contain it, for one look-up of any number of languages. Per-language popcounts over a
-text's grams, less what false positives are expected to add, decide.
+share in the language where the gram is commonest, shares being smoothed by one text. They
+are put into a bit-sliced Bloom filter: an array of slots with one bit for each language; a
+gram sets its language's bit in K slots. The AND of a gram's K slots is the set of all
+languages that it was put in for, for one look-up of any number of languages. Per-language
+popcounts over a text's grams, less what false positives are expected to add, decide. The
+filter has at least 8 slots for each gram of the language with most, however many they are.
 
 Learning takes at most per_language texts of each language, those with the smallest hash of
 doc_id (documented bound). Every text is read whole.
 
 Nulls and odd cases: null text or text without a letter is `und` with score 0; letters but
 no known gram give the most frequent learned language with score 0; with nothing learned
-everything is `und`; ties go to the alphabetically first language; a null doc_id stays
-null; repeated rows are each predicted by itself.
+(as from an empty table) everything is `und`; ties go to the alphabetically first language; a
+null doc_id stays null; a text may be of any length; repeated rows are each predicted by
+itself; columns besides those named are ignored.
 """
 
 from __future__ import annotations
@@ -30,8 +32,8 @@ from pyspark.sql import functions as F
 from graphmill.llm import text as tx
 from graphmill.llm.op1_packing import text_lists
 
-PER_LANGUAGE, MIN_SHARE, MOST_GRAMS, OF_BEST = 2000, 0.004, 50_000, 0.25
-SLOTS, K, N = 1 << 20, 3, 4
+PER_LANGUAGE, MIN_SHARE, OF_BEST = 2000, 0.004, 0.25
+LEAST_BITS, K, N = 20, 3, 4
 _U = np.uint64
 
 
@@ -57,14 +59,16 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tx.mix(h[inside]), doc[: len(h)][inside], has
 
 
-def slots(h: np.ndarray) -> list[np.ndarray]:
-    return [((h >> _U(20 * i)) & _U(SLOTS - 1)).astype(np.int64) for i in range(K)]
+def slots(h: np.ndarray, size: int) -> list[np.ndarray]:
+    """The K slots of each gram in a filter of that many slots, a power of two up to 2**32."""
+    out = [h & _U(size - 1), h >> _U(32) & _U(size - 1), tx.mix(h) & _U(size - 1)]
+    return [x.astype(np.int64) for x in out]
 
 
 @dataclass
 class Filters:
     languages: list[str]
-    masks: np.ndarray  # SLOTS x words of 64 languages
+    masks: np.ndarray  # slots x words of 64 languages
     false: np.ndarray  # false positive rate of each language
     common: int  # most frequent language
 
@@ -74,7 +78,7 @@ class Filters:
         n = len(texts)
         if not self.languages:
             return ["und"] * n, np.zeros(n)
-        a, b, c = slots(h)
+        a, b, c = slots(h, len(self.masks))
         hits = np.zeros((n, len(self.languages)))
         for word in range(self.masks.shape[1]):
             m = self.masks[:, word]
@@ -92,8 +96,14 @@ class Filters:
 def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Filters:
     """docs: doc_id, text and lang of the rows that may be learned from."""
     rows = docs.where("lang is not null and text is not null and doc_id is not null")
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.select("doc_id", "lang").withColumn("r", F.row_number().over(w)).where(F.col("r") <= per_language).select(F.col("doc_id").alias("_id")).distinct()
+    # only ids whose hash is small enough to be chosen, or very nearly, are sorted: some per_language of each language
+    present = [(r["lang"], r["n"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()]
+    if not present:
+        return Filters([], np.zeros((1 << LEAST_BITS, 1), np.uint64), np.zeros(0), 0)
+    near = F.create_map(*(x for k, n in present for x in (F.lit(k), F.lit(min(1 << 40, int((per_language + 8 * per_language**0.5 + 8) / n * (1 << 40)))))))
+    small = rows.select("doc_id", "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) <= near[F.col("lang")])
+    w = Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)), "doc_id")
+    chosen = small.withColumn("r", F.row_number().over(w)).where(F.col("r") <= per_language).select(F.col("doc_id").alias("_id")).distinct()
     sample = rows.select("doc_id", "lang", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("lang", "text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,28 +123,27 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Filters:
     counts = sample.mapInArrow(work, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     sizes = {r["lang"]: r["n"] for r in sample.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(sizes)
-    if not languages:
-        return Filters([], np.zeros((SLOTS, 1), np.uint64), np.zeros(0), 0)
-    enough = F.create_map(*(x for k, v in sizes.items() for x in (F.lit(k), F.lit(max(2, int(np.ceil(MIN_SHARE * v)))))))
-    top = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    share = F.col("n") / F.create_map(*(x for k, v in sizes.items() for x in (F.lit(k), F.lit(v))))[F.col("lang")]
+    of = lambda value: F.create_map(*(x for k, v in sizes.items() for x in (F.lit(k), F.lit(value(v)))))[F.col("lang")]
+    share = (F.col("n") + 1) / of(lambda v: v + 2)
     best = F.max(share).over(Window.partitionBy("gram"))
-    counts = counts.withColumn("of_best", share / best).where(F.col("of_best") >= OF_BEST)
-    kept = counts.where(F.col("n") >= enough[F.col("lang")]).withColumn("r", F.row_number().over(top)).where(F.col("r") <= MOST_GRAMS).select("lang", "gram").toArrow()
-    masks = np.zeros((SLOTS, -(-len(languages) // 64)), np.uint64)
+    common = counts.withColumn("of_best", share / best).where((F.col("of_best") >= OF_BEST) & (F.col("n") >= of(lambda v: 1 if v < 20 else max(2, int(np.ceil(MIN_SHARE * v))))))
+    kept = common.select("lang", "gram").toArrow()
+    place = {x: i for i, x in enumerate(languages)}
+    by = np.array([place[x] for x in kept.column("lang").to_pylist()], np.int64)
+    most = int(np.bincount(by, minlength=1).max())
+    size = 1 << max(LEAST_BITS, (8 * most - 1).bit_length() if most else 0)
+    masks = np.zeros((size, -(-len(languages) // 64)), np.uint64)
     false = np.zeros(len(languages))
-    by = np.array([languages.index(x) for x in kept.column("lang").to_pylist()], np.int64)
     gram = kept.column("gram").to_numpy().view(np.uint64) if len(kept) else np.zeros(0, np.uint64)
     for i in range(len(languages)):
-        for s in slots(gram[by == i]):
+        for s in slots(gram[by == i], size):
             masks[s, i // 64] |= _U(1) << _U(i % 64)
         false[i] = ((masks[:, i // 64] >> _U(i % 64)) & _U(1)).mean() ** K
-    totals = docs.where("lang is not null").groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").first()
-    return Filters(languages, masks, false, languages.index(totals["lang"]) if totals and totals["lang"] in languages else 0)
+    return Filters(languages, masks, false, place[min((-n, x) for x, n in present if x in place)[1]])
 
 
 def identify(docs: DataFrame, filters: Filters) -> DataFrame:
-    """doc_id, lang_pred and score of each row; the filters (SLOTS x 8 bytes for 64 languages) are sent once to each executor."""
+    """doc_id, lang_pred and score of each row; the filters (8 bytes a slot for 64 languages) are sent once to each executor."""
     shared = docs.sparkSession.sparkContext.broadcast(filters)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
