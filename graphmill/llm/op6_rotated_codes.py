@@ -2,19 +2,22 @@
 
 Each vector less the centroid is rotated by a fixed random orthogonal matrix; the signs of
 its coordinates are its code, one bit each. With two scalars for each vector, its norm and
-how well its code points along it, inner products are estimated without the vector, and the
-estimate has an error bound. For each query, vectors whose upper bound reaches the 20th
-best lower bound are reranked exactly on the original vectors, in double precision.
+how well its code points along it, inner products are estimated from the packed bits: a table
+for each byte of the code holds the query's part for all 256 values. The estimate has an
+error bound. For each query, vectors whose upper bound reaches the kth best score so far, or
+where there are none the kth best lower bound, are reranked exactly on the original vectors,
+in double precision.
 
-The index has every row and is written in chunks of at most CHUNK rows, whatever the keys
-are. Queries are taken in blocks of at most BLOCK rows, each broadcast by itself; a block
-meets all chunks and each chunk returns at most k rows for a query.
+The index has every row. It is dealt to partitions of about PART vectors by row, whatever the
+keys are, and each partition gets all queries, in blocks of at most BLOCK, as rows of a
+table: nothing goes through the driver but the centroid. A partition returns at most k rows
+for a query; those are merged by a window over one query's rows.
 
 Nulls and odd cases: vectors that are null, zero, of another than the usual length or
 hold null or non-finite components take no part; null ids take no part; rows that repeat an
 id are candidates each by itself but the query's own id is never its neighbour; ties go to
-the smaller id; with fewer candidates than k all are returned; columns besides the two are
-ignored.
+the smaller id; with fewer candidates than k all are returned, with none an empty table;
+columns besides the two are ignored. No text takes part.
 """
 
 from __future__ import annotations
@@ -26,9 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphmill.operators.scratch import Scratch
-
-CHUNK, BLOCK = 16_384, 8_192
+CHUNK, BLOCK, PART = 4_096, 256, 65_536
 #: Width of the error bound in standard deviations of the estimate.
 WIDTH = 4.0
 
@@ -59,39 +60,56 @@ def encode_rows(x: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> tuple[np
     return np.packbits(bits, axis=1), norm, np.where(norm > 0, along, 1.0)
 
 
-def search_chunk(ids: np.ndarray, x: np.ndarray, codes: np.ndarray, norm: np.ndarray, along: np.ndarray, query_ids: np.ndarray, q: np.ndarray, centre: np.ndarray, turn: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(query id, ids, scores) of the k nearest rows of the chunk to each query."""
-    dim = x.shape[1]
-    signs = (np.unpackbits(codes, axis=1, count=dim).astype(np.float32) * 2 - 1) / np.float32(np.sqrt(dim))
-    turned = (q @ turn.T).astype(np.float32)
-    q_norm = np.linalg.norm(q, axis=1)
-    # <x, q> = <centre, q> + norm * <unit, turned q>, and <unit, q> is about <code, q> / along
-    est = (turned @ signs.T) * (norm / along)[None, :] + (q @ centre)[:, None]
-    # a unit vector's part across its code is sqrt(1 - along^2) long and points anywhere in dim - 1 dimensions
-    spread = WIDTH * norm * np.sqrt(np.maximum(1 - along**2, 0)) / along / np.sqrt(max(dim - 1, 1))
-    for i in range(len(q)):
-        other = ids != query_ids[i]
-        slack = spread * q_norm[i] + 1e-5 * (1 + abs(q_norm[i]))
-        low = np.where(other, est[i] - slack, -np.inf)
-        if len(ids) > k:
-            bar = np.partition(low, len(low) - k)[len(low) - k]
-            near = np.flatnonzero(other & (est[i] + slack >= bar))
-        else:
-            near = np.flatnonzero(other)
-        exact = np.zeros(len(near))
-        for d in range(dim):  # from left to right in double precision
-            exact += x[near, d] * q[i, d]
-        best = np.lexsort((ids[near], -exact))[:k]
-        yield int(query_ids[i]), ids[near][best], exact[best]
+class Part:
+    """Vectors of one partition, their codes column by column and the scalars of the estimate."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, norm: np.ndarray, along: np.ndarray):
+        dim = x.shape[1]
+        self.ids, self.x, self.codes = ids, x, np.ascontiguousarray(codes.T)
+        # <x, q> = <centre, q> + norm * <unit, turned q>, and <unit, q> is about <code, q> / along
+        self.scale = (norm / along / np.sqrt(dim)).astype(np.float32)
+        # a unit vector's part across its code is sqrt(1 - along^2) long and points anywhere in dim - 1 dimensions
+        self.spread = (WIDTH * norm * np.sqrt(np.maximum(1 - along**2, 0)) / along / np.sqrt(max(dim - 1, 1))).astype(np.float32)
+
+    def nearest(self, own: int, q: np.ndarray, turned: np.ndarray, base: float, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """ids and scores of the k nearest to q, the vector of id own; base is its inner product with the centre."""
+        dim, length = len(q), float(np.linalg.norm(q))
+        padded = np.zeros(8 * len(self.codes), np.float32)
+        padded[:dim] = turned
+        signs = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float32) * 2 - 1
+        tables = padded.reshape(-1, 8) @ signs.T
+        best_ids, best = np.zeros(0, np.int64), np.zeros(0)
+        for lo in range(0, len(self.ids), CHUNK):
+            hi = min(lo + CHUNK, len(self.ids))
+            estimate = tables[0][self.codes[0, lo:hi]]
+            for t, c in zip(tables[1:], self.codes[1:, lo:hi]):
+                estimate += t[c]
+            estimate *= self.scale[lo:hi]
+            slack = self.spread[lo:hi] * np.float32(length) + np.float32(1e-5 * (1 + length))
+            upper = estimate + slack
+            if len(best) >= k:
+                bar = best[-1] - base
+            elif hi - lo > k + 1:  # one of them may be the query itself
+                low = estimate - slack
+                bar = np.partition(low, hi - lo - k - 1)[hi - lo - k - 1]
+            else:
+                bar = -np.inf
+            near = lo + np.flatnonzero(upper >= bar - 1e-4 * (1 + abs(bar)))
+            near = near[self.ids[near] != own]
+            exact = np.zeros(len(near))
+            for d in range(dim):  # from left to right in double precision
+                exact += self.x[near, d] * q[d]
+            best_ids, best = np.append(best_ids, self.ids[near]), np.append(best, exact)
+            order = np.lexsort((best_ids, -best))[:k]
+            best_ids, best = best_ids[order], best[order]
+        return best_ids, best
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, seed: int = 7, vec: str = "embedding", key: str = "vec_id") -> DataFrame:
     """query_id, rank, vec_id, score of each query's k nearest rows by inner product. Both tables have key and vec."""
     spark = vectors.sparkSession
-    scratch = Scratch(spark, "codes")
     rows = usable(vectors, vec, key)
     usual = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    out = "query_id long, vec_id long, score double"
     if usual is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim = usual["d"]
@@ -99,64 +117,54 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, seed: int = 7,
     means = rows.select(F.posexplode("v").alias("d", "x")).groupBy("d").agg(F.avg("x").alias("m")).collect()
     centre = np.array([r["m"] for r in sorted(means, key=lambda r: r["d"])])
     turn = rotation(dim, seed)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-usual["count"] // PART))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, CHUNK):
-                b = batch.slice(lo, CHUNK)
-                codes, norm, along = encode_rows(_matrix(b.column("v"), dim), centre, turn)
-                yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norm), pa.array(along)], ["vec_id", "v", "code", "norm", "along"])
-
-    coded = scratch.keep(rows.mapInArrow(index, "vec_id long, v array<double>, code binary, norm double, along double"))
-    asked = scratch.keep(usable(queries, vec, key).where(F.size("v") == dim).select("vec_id", "v", F.monotonically_increasing_id().alias("n")))
-    # blocks of the query set by ranges of its row numbers: cuts are found by exact counts for each task
-    counts = sorted((r["p"], r["c"]) for r in asked.groupBy(F.shiftright("n", 33).alias("p")).agg(F.count("*").alias("c")).collect())
-    ranges, open_parts, size = [], [], 0
-    for p, c in counts:
-        for lo in range(0, c, BLOCK):
-            part = (p * (1 << 33) + lo, p * (1 << 33) + min(c, lo + BLOCK))
-            if size and size + part[1] - part[0] > BLOCK:
-                ranges.append(open_parts)
-                open_parts, size = [], 0
-            open_parts = [*open_parts, part]
-            size += part[1] - part[0]
-    if open_parts:
-        ranges.append(open_parts)
-
-    found = None
-    for block in ranges:
-        inside = " or ".join(f"(n >= {a} and n < {b})" for a, b in block)
-        got = asked.where(inside).select("vec_id", "v").toArrow()
-        shared = spark.sparkContext.broadcast((np.array(got.column("vec_id").to_pylist(), np.int64), np.array(got.column("v").to_pylist(), float).reshape(-1, dim)))
-
-        def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            query_ids, q = shared.value
-
-            def answer(chunk: pa.Table) -> Iterator[pa.RecordBatch]:
-                chunk = chunk.combine_chunks()
-                ids = chunk.column("vec_id").to_numpy()
-                x = np.concatenate([_matrix(c, dim) for c in chunk.column("v").chunks])
-                codes = np.frombuffer(b"".join(chunk.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
-                norm, along = chunk.column("norm").to_numpy(), chunk.column("along").to_numpy()
-                for lo in range(0, len(q), 512):
-                    parts = list(search_chunk(ids, x, codes, norm, along, query_ids[lo : lo + 512], q[lo : lo + 512], centre, turn, k))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat([a for a, _, _ in parts], [len(b) for _, b, _ in parts]).astype(np.int64)), pa.array(np.concatenate([b for _, b, _ in parts])), pa.array(np.concatenate([s for _, _, s in parts]))], ["query_id", "vec_id", "score"])
-
-            held, n = [], 0
-            for batch in batches:
-                for lo in range(0, batch.num_rows, CHUNK):
-                    b = batch.slice(lo, CHUNK)
-                    if n + b.num_rows > CHUNK:
-                        yield from answer(pa.Table.from_batches(held))
-                        held, n = [], 0
-                    held.append(b)
-                    n += b.num_rows
-            if n:
-                yield from answer(pa.Table.from_batches(held))
+            codes, norm, along = encode_rows(_matrix(batch.column("v"), dim), centre, turn)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norm), pa.array(along)], ["part", "vec_id", "v", "code", "norm", "along"])
+
+    # dealt by the row's place, not by its key: copies of an id spread too
+    dealt = rows.select(F.pmod(F.hash(F.monotonically_increasing_id()), F.lit(parts)).alias("part"), "vec_id", "v")
+    coded = dealt.mapInArrow(index, "part int, vec_id long, v array<double>, code binary, norm double, along double")
+    asked = usable(queries, vec, key).where(F.size("v") == dim).select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "vec_id", "v")
+    asked = asked.select("part", "vec_id", "v", *(F.lit(None).cast(t).alias(n) for n, t in (("code", "binary"), ("norm", "double"), ("along", "double"))))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        at, part = None, None
+
+        def built() -> Part | None:
+            if not held:
+                return None
+            t = pa.Table.from_batches(held).combine_chunks()
+            x = np.concatenate([_matrix(c, dim) for c in t.column("v").chunks])
+            codes = np.frombuffer(b"".join(t.column("code").to_pylist()), np.uint8).reshape(len(x), -1)
+            return Part(t.column("vec_id").to_numpy(), x, codes, t.column("norm").to_numpy(), t.column("along").to_numpy())
 
-        part = coded.mapInArrow(work, out)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        for batch in batches:
+            number = batch.column("part").to_numpy()
+            query = batch.column("code").is_null().to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero(np.append(True, (number[1:] != number[:-1]) | (query[1:] != query[:-1])))
+            for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(number)]):
+                b = batch.slice(lo, hi - lo)
+                if number[lo] != at:
+                    at, held, part = number[lo], [], None
+                if not query[lo]:
+                    held.append(b)
+                    continue
+                if part is None:
+                    part, held = built(), []
+                if part is None:
+                    continue
+                ids, q = b.column("vec_id").to_numpy(), _matrix(b.column("v"), dim)
+                for i in range(0, len(ids), BLOCK):
+                    turned, base = q[i : i + BLOCK] @ turn.T, q[i : i + BLOCK] @ centre
+                    found = [part.nearest(own, v, t, float(c), k) for own, v, t, c in zip(ids[i : i + BLOCK].tolist(), q[i : i + BLOCK], turned, base)]
+                    sizes = [len(f) for f, _ in found]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[i : i + BLOCK], sizes)), pa.array(np.concatenate([f for f, _ in found])), pa.array(np.concatenate([s for _, s in found]))], ["query_id", "vec_id", "score"])
+
+    both = coded.unionByName(asked).repartition(parts, "part").sortWithinPartitions("part", F.col("code").isNull())
+    found = both.mapInArrow(work, "query_id long, vec_id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
