@@ -1,17 +1,23 @@
 """Secret scans: a pattern finds candidates, a random forest removes the false positives; DataFrame functions only.
 
-A candidate is a run of at least 12 characters of the key alphabet with a digit, or of 16
-capitals and digits, or what a secret word is assigned (a quoted or non-blank run of 6 or
-more), or the password in a URL. The forest sees its length, its transitions between kinds
-of characters, how much of it dictionary words cover, the path it comes from and the words
-on both sides. It is trained from labelled findings: a table of (candidate, before, path,
-secret, and after if there is one), by default one that labelled_findings() makes by rule. The trained trees become
-one SQL expression, so scanning needs no model on the executors, no shuffle and no Python.
+A candidate is a run of at least 12 characters of the key alphabet with a digit, of 16
+capitals and digits, or of 16 letters with capitals among small ones, or what a secret word is
+assigned (a quoted or non-blank run of 6 or more), or the password in a URL. The forest sees
+its length, its transitions between kinds of characters, how much of it dictionary words
+cover, the path it comes from and the words on both sides. It is trained from labelled
+findings: a table of (candidate, before, path, secret, and after if there is one), by default
+one that labelled_findings() makes by rule, half of it with words that no feature knows. The
+trained trees become one SQL expression, so scanning needs no model on the executors, no
+shuffle and no Python.
+
+Every occurrence is a finding of its own, with its place, and is judged by the text beside it
+in its own line (BEFORE and AFTER characters, which bound the features and no finding).
+redact() replaces the spans of the findings that are secrets and nothing else.
 
 Nulls and odd cases: null or empty text has no candidates; a null path has no path words;
-a null doc_id stays null; a candidate that a document repeats is one finding for each
-distinct text around it; repeated rows are scanned each by itself; columns besides those
-named pass through redact() unchanged.
+a null doc_id stays null; repeated rows are scanned each by itself; a text may be of any
+length; an empty table gives no findings; columns besides those named pass through redact(),
+and where docs has a column n_secrets, the new one is n_secrets_.
 """
 
 from __future__ import annotations
@@ -27,8 +33,6 @@ MARK = "[REDACTED]"
 BEFORE = AFTER = 40
 #: Occurrences beside one that its context is read across; at 6 characters each they fill BEFORE.
 ACROSS = 7
-#: A shorter secret is replaced only where it stands by itself.
-SHORT = 12
 #: Words whose share of a candidate tells a name or a placeholder from random characters.
 DICTIONARY = (
     "example", "sample", "test", "dummy", "your", "this", "that", "with", "from", "name", "file", "image", "photo", "version", "release", "build",
@@ -42,7 +46,7 @@ CANDIDATE = (
     "(?<=[:=\"' ])(?<=[:=] {0,3}[\"']?)(?:"
     f"(?<={_ASSIGNED}\")[^\"\\n]{{6,}}(?=\")|(?<={_ASSIGNED}')[^'\\n]{{6,}}(?=')|(?<={_ASSIGNED})[^\\s\"'`]{{5,}}[^\\s\"'`,;.)\\]}}>])"
     "|(?<=:)(?<=://[^\\s:/@]{0,60}:)[^\\s@/]+(?=@)"
-    "|(?<![A-Za-z0-9+/_-])(?:(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{12,}+={0,2}|[A-Z0-9]{16,}+)"
+    "|(?<![A-Za-z0-9+/_-])(?:(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{12,}+={0,2}|[A-Z0-9]{16,}+|(?=(?:[a-z]*[A-Z]){3})(?=[A-Z]*[a-z])[A-Za-z]{16,}+)"
 )
 PLAIN_WORDS = "commit|sha-?\\d*|md5|hash|checksum|digest|integrity|uuid|guid|isbn|issn|doi|card|phone|tel|call|version|revision|serial|order|invoice|http|www"
 PATH_WORDS = "test|spec|example|fixture|mock|sample|doc|lock"
@@ -90,6 +94,9 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     pick = lambda words, salt: F.element_at(F.array(*(F.lit(w) for w in words)), F.pmod(F.xxhash64("k", F.lit(salt)), F.lit(len(words))).cast("int") + 1)
     digits = F.regexp_replace(F.conv(F.substring("k", 1, 14), 16, 10), "^", "4")
     key = pick(["password", "api_key", "secret", "token", "access_key", "auth_token", "client_secret", "passwd"], 1)
+    # words that no feature looks for, so that the forest must also judge by the candidate itself
+    other_key = pick(["login", "auth", "sign_with", "webhook", "db_pass", "session", "use this to enter", "unlock with"], 10)
+    other_word = pick(["artifact", "object", "etag", "trace id", "fingerprint", "build", "ticket", "layer"], 11)
     join = pick(["=", " = \"", ": ", ": \"", "='", " is "], 2)
     word = pick(["the value of ", "see also ", "in ", "", "and then ", "about "], 3)
     d1, d2 = pick(DICTIONARY[:40], 4), pick(DICTIONARY[5:45], 5)
@@ -122,6 +129,13 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
         (F.substring("k", 1, 40), word, 0, " is the commit"),
         (F.concat(pick(["${", "<", "os.environ.", "get(", "config."], 9), d1, F.lit("_"), d2), F.concat(word, key, join), 0),
         (d2, F.concat(word, key, F.lit(": ")), 0),
+        (F.substring(b64, F.lit(1), length), F.concat(word, other_key, join), 1),
+        (F.regexp_replace(F.substring(b64, F.lit(1), length), "[0-9+/]", "Q"), F.concat(word, other_key, join), 1),
+        (F.concat(pick(["ghp_", "xoxb-", "sk_live_", "glpat-", "AIza"], 12), F.substring(F.regexp_replace(b64, "[+/=]", "x"), 1, 32)), F.concat(word, other_key, F.lit(" ")), 1),
+        (F.substring("k", 1, 40), F.concat(word, other_word, F.lit(" ")), 0),
+        (F.substring("k", 1, 32), F.concat(word, other_word, join), 0),
+        (F.concat(d1, F.initcap(d2), F.initcap(pick(DICTIONARY[8:40], 13)), F.initcap(pick(DICTIONARY[3:30], 14))), F.concat(word, other_word, F.lit(" ")), 0),
+        (F.concat(F.upper(d1), F.lit("_"), F.substring(digits, 2, 8)), F.concat(word, other_word, F.lit(": ")), 0),
     ]
     which = F.pmod("id", F.lit(len(kinds)))
     case = lambda j: F.coalesce(*(F.when(which == i, x[j] if j < 2 else F.lit((*x, "")[j])) for i, x in enumerate(kinds)))
@@ -160,44 +174,53 @@ def trained_score(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, s
     return features_of, score_of
 
 
-def candidates(text: Column) -> Column:
-    """Distinct (candidate, before, after) of a text; each occurrence has the text beside it in its own line."""
-    lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda x: x.rlike(CANDIDATE))
-    parts = F.transform(lines, lambda x: F.struct(F.regexp_extract_all(x, F.lit(CANDIDATE), 0).alias("c"), F.split(x, CANDIDATE, -1).alias("gap")))
-    at = lambda a, i: F.coalesce(F.get(a, i), F.lit(""))
+def occurrences(line: Column) -> Column:
+    """c, the candidates of a line, and gap, the text before, between and after them; null without candidates."""
+    return F.when(line.rlike(CANDIDATE), F.struct(F.regexp_extract_all(line, F.lit(CANDIDATE), 0).alias("c"), F.split(line, CANDIDATE, -1).alias("gap")))
 
-    def beside(p: Column) -> Column:
-        before = lambda i: F.concat(*(y for k in range(ACROSS, 0, -1) for y in (at(p["gap"], i - k), at(p["c"], i - k))), at(p["gap"], i))
-        after = lambda i: F.concat(at(p["gap"], i + 1), *(y for k in range(1, ACROSS + 1) for y in (at(p["c"], i + k), at(p["gap"], i + k + 1))))
-        return F.transform(p["c"], lambda c, i: F.struct(c.alias("candidate"), F.right(before(i), F.lit(BEFORE)).alias("before"), F.left(after(i), F.lit(AFTER)).alias("after")))
 
-    return F.array_distinct(F.flatten(F.transform(parts, beside)))
+def placed(p: Column) -> Column:
+    """(candidate, start, before, after) of each candidate in what occurrences() gave; start counts characters of the line from 0."""
+    at = lambda a, i: F.coalesce(F.get(a, i), F.lit(""))
+    before = lambda i: F.concat(*(y for k in range(ACROSS, 0, -1) for y in (at(p["gap"], i - k), at(p["c"], i - k))), at(p["gap"], i))
+    after = lambda i: F.concat(at(p["gap"], i + 1), *(y for k in range(1, ACROSS + 1) for y in (at(p["c"], i + k), at(p["gap"], i + k + 1))))
+    start = lambda i: F.length(F.array_join(F.slice(p["gap"], 1, i + 1), "")) + F.length(F.array_join(F.slice(p["c"], 1, i), ""))
+    return F.transform(p["c"], lambda c, i: F.struct(c.alias("candidate"), start(i).alias("start"), F.right(before(i), F.lit(BEFORE)).alias("before"), F.left(after(i), F.lit(AFTER)).alias("after")))
 
 
 def _scored(docs: DataFrame, path: str, findings: DataFrame | None) -> DataFrame:
-    """row (the columns of docs), text and secrets: (candidate, before, after, score) of each candidate. Three projections, so that nothing is computed twice."""
+    """row (the columns of docs), text, lines, p (occurrences of each line) and secrets: of each line the (candidate, start, before, after, score) of its occurrences.
+
+    Projections one upon the other, so that nothing is computed twice.
+    """
     features_of, score_of = trained_score(findings if findings is not None else labelled_findings(docs.sparkSession))
     where = F.col(path) if path in docs.columns else F.lit(None)
-    d = docs.select(F.struct("*").alias("row"), F.col("text").alias("text"), where.cast("string").alias("path")).withColumn("c", candidates(F.col("text")))
-    d = d.withColumn("x", F.transform("c", lambda c: F.struct(c["candidate"].alias("candidate"), c["before"].alias("before"), c["after"].alias("after"), features_of(c["candidate"], c["before"], F.col("path"), c["after"]).alias("f"))))
-    scored = F.transform("x", lambda c: F.struct(c["candidate"].alias("candidate"), c["before"].alias("before"), c["after"].alias("after"), score_of(c["f"]).alias("score")))
-    return d.select("row", "text", scored.alias("secrets"))
+    d = docs.select(F.struct("*").alias("row"), F.col("text").alias("text"), where.cast("string").alias("path"), F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("lines"))
+    d = d.withColumn("p", F.transform("lines", occurrences))
+    d = d.withColumn("c", F.transform("p", lambda p: F.when(p.isNotNull(), placed(p))))
+    own = ("candidate", "start", "before", "after")
+    named = lambda c, last: F.struct(*(c[n].alias(n) for n in own), last)
+    d = d.withColumn("x", F.transform("c", lambda line: F.transform(line, lambda c: named(c, features_of(c["candidate"], c["before"], F.col("path"), c["after"]).alias("f")))))
+    scored = F.transform("x", lambda line: F.transform(line, lambda c: named(c, score_of(c["f"]).alias("score"))))
+    return d.select("row", "text", "lines", "p", scored.alias("secrets"))
 
 
 def scan(docs: DataFrame, path: str = "source", findings: DataFrame | None = None, least: float = THRESHOLD) -> DataFrame:
-    """One row per candidate: doc_id, candidate, before, after, score, secret."""
+    """One row per occurrence of a candidate: doc_id, line (from 0), start, candidate, before, after, score, secret."""
     d = _scored(docs.select("doc_id", "text", *([path] if path in docs.columns else [])), path, findings)
-    s = d.select("row.doc_id", F.explode("secrets").alias("s"))
-    return s.select("doc_id", "s.candidate", "s.before", "s.after", "s.score", (F.col("s.score") >= least).alias("secret"))
+    s = d.select("row.doc_id", F.posexplode("secrets").alias("line", "s")).select("doc_id", "line", F.explode("s").alias("s"))
+    return s.select("doc_id", "line", "s.start", "s.candidate", "s.before", "s.after", "s.score", (F.col("s.score") >= least).alias("secret"))
 
 
 def redact(docs: DataFrame, path: str = "source", findings: DataFrame | None = None, least: float = THRESHOLD) -> DataFrame:
-    """All rows and columns of docs with each secret in text replaced by MARK, and n_secrets (which takes the place of a column of that name)."""
+    """All rows and columns of docs with the span of each secret in text replaced by MARK, and n_secrets, their number."""
     d = _scored(docs, path, findings)
-    secrets = F.array_distinct(F.transform(F.filter("secrets", lambda s: s["score"] >= least), lambda s: s["candidate"]))
-    # a secret that is part of another goes after it
-    d = d.select("row", "text", F.transform(F.array_sort(F.transform(secrets, lambda s: F.struct((-F.length(s)).alias("n"), s.alias("s")))), lambda x: x["s"]).alias("gone"))
-    alone = lambda s: F.concat(F.lit("(?<![A-Za-z0-9])\\Q"), F.replace(s, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E(?![A-Za-z0-9])"))
-    text = F.aggregate("gone", F.col("text"), lambda t, s: F.when(F.length(s) >= SHORT, F.replace(t, s, F.lit(MARK))).otherwise(F.regexp_replace(t, alone(s), F.lit(MARK))))
-    keep = [text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns if c != "n_secrets"]
-    return d.select(*keep, F.coalesce(F.size("gone"), F.lit(0)).alias("n_secrets"))
+    n = F.aggregate(F.transform("secrets", lambda line: F.coalesce(F.size(F.filter(line, lambda s: s["score"] >= least)), F.lit(0))), F.lit(0), lambda a, b: a + F.greatest(b, F.lit(0)))
+    d = d.withColumn("n", n)
+    whole = lambda i: F.array_join(F.zip_with(F.get("p", i)["gap"], F.get("secrets", i), lambda g, s: F.concat(g, F.when(s["score"] >= least, F.lit(MARK)).otherwise(F.coalesce(s["candidate"], F.lit(""))))), "")
+    text = F.when(F.col("n") > 0, F.array_join(F.transform("lines", lambda x, i: F.coalesce(whole(i), x)), "\n")).otherwise(F.col("text"))
+    keep = [text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns]
+    name = "n_secrets"
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return d.select(*keep, F.col("n").alias(name))
