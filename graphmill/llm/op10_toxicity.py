@@ -3,15 +3,20 @@
 Features are the words of a text and their beginnings of 4, 5 and 6 letters, each once. The
 loss has, besides the labels' cross-entropy, a penalty on the change of the score when an
 identity term of a labelled text is swapped for another of its kind: a group's name alone
-must not move the score, so neutral mentions aren't taken for attacks.
+must not move the score, so neutral mentions aren't taken for attacks. It takes the features
+that at least LEAST_DOCS labelled texts have and whose rates in the two classes lie over
+LEAST_ERRORS standard errors apart, and all identity terms, however many they are.
 
 Training takes at most per_class labelled rows of each class, those with the smallest hash
-of doc_id (documented bound); the prior comes from all labels. Every text is scored whole.
+of doc_id (documented bound); the prior comes from all labels. The rates of features are
+counted by Spark; of each labelled text only the chosen features reach the driver. Every text
+is scored whole.
 
 Nulls and odd cases: null or empty text has the score of no features; a null doc_id is
-scored and never trained on; rows with a null label are not trained on; repeated rows are
-scored each by itself; with one class or no labels every score is the prior; columns
-besides those named are ignored.
+scored and never trained on; rows with a null label are not trained on, and of labels that
+contradict each other for one doc_id toxic counts; rows that repeat a doc_id are scored each
+by itself; with one class or no labels (as from an empty table) every score is the prior; a
+text may be of any length; score() passes all columns through.
 """
 
 from __future__ import annotations
@@ -26,8 +31,9 @@ from pyspark.sql import functions as F
 
 from graphmill.llm import text as tx
 from graphmill.llm.op1_packing import text_lists
+from graphmill.operators.scratch import Scratch
 
-PER_CLASS, FEATURES, LEAST_DOCS = 2000, 4096, 3
+PER_CLASS, LEAST_DOCS, LEAST_ERRORS = 2000, 3, 2.0
 THRESHOLD = 0.7
 BEGINNINGS = (4, 5, 6)
 #: Terms that name groups of people; a swap stays within a line.
@@ -37,6 +43,9 @@ IDENTITY_TERMS = (
     ("black", "white", "asian", "latino"), ("gay", "straight", "lesbian", "bisexual"), ("trans", "cis"),
     ("immigrants", "natives"), ("immigrant", "native"), ("old", "young"), ("disabled", "deaf", "blind"),
     ("africans", "europeans", "americans", "asians"),
+    ("frauen", "männer"), ("frau", "mann"), ("muslime", "christen", "juden", "atheisten"), ("ausländer", "einheimische"), ("schwarze", "weiße"),
+    ("femmes", "hommes"), ("femme", "homme"), ("musulmans", "chrétiens", "juifs", "athées"), ("noirs", "blancs"), ("étrangers", "français"),
+    ("mujeres", "hombres"), ("mujer", "hombre"), ("musulmanes", "cristianos", "judíos", "ateos"), ("negros", "blancos"), ("extranjeros", "españoles"),
 )
 _U = np.uint64
 _LOW48 = _U((1 << 48) - 1)
@@ -77,28 +86,38 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.bias + sums[at[1:]] - sums[at[:-1]], -500, 500)))
 
 
-def fit(rows: list[np.ndarray], swaps: list[tuple[int, np.ndarray]], y: np.ndarray, prior: float, strength: float = 1.0, l2: float = 1e-4, steps: int = 400) -> Model:
+def identity_features() -> np.ndarray:
+    """Sorted features of all identity terms."""
+    return features([" ".join(t for line in IDENTITY_TERMS for t in line)])[0]
+
+
+def telling(df: np.ndarray, df1: np.ndarray, n0: float, n1: float) -> np.ndarray:
+    """Which features tell the classes apart; df and df1: the texts, and those of label 1, that have each."""
+    p1, p0 = (df1 + 0.5) / (n1 + 1), (df - df1 + 0.5) / (n0 + 1)
+    z = np.abs(p1 - p0) / np.sqrt(p1 * (1 - p1) / n1 + p0 * (1 - p0) / n0 + 1e-12)
+    return (z > LEAST_ERRORS) & (df >= LEAST_DOCS)
+
+
+def chosen_features(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """Sorted features of the labelled texts that the model has weights for."""
+    every, inverse = np.unique(np.concatenate(rows), return_inverse=True)
+    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    df, df1 = np.bincount(inverse, minlength=len(every)), np.bincount(inverse, weights=y[row], minlength=len(every))
+    return every[telling(df, df1, len(y) - y.sum(), y.sum()) | np.isin(every, identity_features())]
+
+
+def fit(rows: list[np.ndarray], swaps: list[tuple[int, np.ndarray]], y: np.ndarray, prior: float, strength: float = 1.0, l2: float = 1e-4, steps: int = 400, keys: np.ndarray | None = None) -> Model:
     """Logistic weights by gradient descent with Adam's step sizes.
 
     rows: the feature hashes of each labelled text. swaps: (row, the features of that text after a swap).
+    keys: the features that get weights, sorted; chosen_features() if not given.
     """
     logit = float(np.log(prior / (1 - prior)))
     if not len(rows) or y.min() == y.max():
         return Model(np.zeros(0, np.uint64), np.zeros(0), logit)
-    every, inverse = np.unique(np.concatenate(rows), return_inverse=True)
-    lengths = np.array([len(r) for r in rows])
-    row = np.repeat(np.arange(len(rows)), lengths)
     n1, n0 = y.sum(), len(y) - y.sum()
-    df1 = np.bincount(inverse, weights=y[row], minlength=len(every))
-    df = np.bincount(inverse, minlength=len(every))
-    p1, p0 = (df1 + 0.5) / (n1 + 1), (df - df1 + 0.5) / (n0 + 1)
-    # how far the rates lie apart, in standard errors
-    z = np.abs(p1 - p0) / np.sqrt(p1 * (1 - p1) / n1 + p0 * (1 - p0) / n0 + 1e-12)
-    z[df < LEAST_DOCS] = 0
-    identity = features([" ".join(t for line in IDENTITY_TERMS for t in line)])[0]
-    chosen = np.sort(np.unique(np.append(np.argsort(-z, kind="stable")[:FEATURES], np.flatnonzero(np.isin(every, identity)))))
-    chosen = chosen[(z[chosen] > 2) | np.isin(every[chosen], identity)]
-    keys = every[chosen]
+    if keys is None:
+        keys = chosen_features(rows, y)
 
     def matrix(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         flat = np.concatenate(lists) if lists else np.zeros(0, np.uint64)
@@ -171,33 +190,47 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
                 lists[1] = [x if s is not None else None for x, s in zip(lists[1], swaps)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo).cast(pa.int64()), batch.column("y").slice(lo, hi - lo).cast(pa.int32()), *(pa.array(x, pa.list_(pa.int64())) for x in lists)], ["doc_id", "y", "own", "swap"])
 
-    got = labelled_sample(docs, labels, per_class).mapInArrow(work, "doc_id long, y int, own array<long>, swap array<long>").toArrow().sort_by("doc_id").combine_chunks()
-
-    def split(column: str) -> list[np.ndarray | None]:
-        col = got.column(column).combine_chunks() if len(got) else pa.array([], pa.list_(pa.int64()))
-        col = col.chunk(0) if isinstance(col, pa.ChunkedArray) else col
-        values, offs = col.values.to_numpy(zero_copy_only=False).astype(np.uint64), col.offsets.to_numpy()
-        return [values[a:b] if ok else None for a, b, ok in zip(offs[:-1], offs[1:], col.is_valid().to_pylist())]
+    sample = Scratch(docs.sparkSession, "toxicity").keep(labelled_sample(docs, labels, per_class).mapInArrow(work, "doc_id long, y int, own array<long>, swap array<long>"))
+    sizes = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    prior = (n1 + 0.5) / (n0 + n1 + 1)
+    if not (sizes.get(0) and sizes.get(1)):
+        return fit([], [], np.zeros(0), prior)
+    # only what may be telling comes to the driver: telling() is applied there, exactly
+    stats = sample.select("y", F.explode("own").alias("f")).groupBy("f").agg(F.count("*").alias("df"), F.sum("y").alias("df1")).where(F.col("df") >= LEAST_DOCS)
+    apart = F.abs((F.col("df1") + 0.5) / (sizes[1] + 1) - (F.col("df") - F.col("df1") + 0.5) / (sizes[0] + 1))
+    error = lambda p, n: p * (1 - p) / n
+    spread = F.sqrt(error((F.col("df1") + 0.5) / (sizes[1] + 1), sizes[1]) + error((F.col("df") - F.col("df1") + 0.5) / (sizes[0] + 1), sizes[0]))
+    stats = stats.where(apart > 0.999 * LEAST_ERRORS * spread).toArrow()
+    f, df, df1 = (stats.column(c).to_numpy() for c in ("f", "df", "df1"))
+    keys = np.unique(np.append(f.astype(np.uint64)[telling(df.astype(float), df1.astype(float), sizes[0], sizes[1])], identity_features()))
+
+    def narrowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = []
+            for name in ("own", "swap"):
+                lists = [None if x is None else np.flatnonzero(np.isin(keys, np.array(x, np.uint64))).tolist() for x in batch.column(name).to_pylist()]
+                columns.append(pa.array(lists, pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), *columns], ["doc_id", "y", "own", "swap"])
 
-    rows = split("own")
-    swaps = [(i, s) for i, s in enumerate(split("swap")) if s is not None]
-    y = np.array(got.column("y").to_pylist(), float)
-    return fit(rows, swaps, y, (n1 + 0.5) / (n0 + n1 + 1))
+    got = sample.mapInArrow(narrowed, "doc_id long, y int, own array<long>, swap array<long>").toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending")]).to_pylist()
+    at = lambda x: keys[np.array(x, np.int64)]
+    swaps = [(i, at(x["swap"])) for i, x in enumerate(got) if x["swap"] is not None]
+    return fit([at(x["own"]) for x in got], swaps, np.array([x["y"] for x in got], float), prior, keys=keys)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of docs, and score, which must not be among them."""
+def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """All columns of docs, and the score as `name`, which takes the place of a column of that name."""
     from pyspark.sql import types as T
 
-    out = T.StructType([*(f for f in docs.schema.fields if f.name != "score"), T.StructField("score", T.DoubleType())])
+    out = T.StructType([*(f for f in docs.schema.fields if f.name != name), T.StructField(name, T.DoubleType())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, texts in text_lists(batch):
                 own = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(model.scores(texts))], [*own.schema.names, "score"])
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(model.scores(texts))], [*own.schema.names, name])
 
-    return docs.select(*(c for c in docs.columns if c != "score")).mapInArrow(work, out)
+    return docs.select(*(c for c in docs.columns if c != name)).mapInArrow(work, out)
 
 
 def remainder(column: str, n: int):
