@@ -136,6 +136,7 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
         (F.substring("k", 1, 32), F.concat(word, other_word, join), 0),
         (F.concat(d1, F.initcap(d2), F.initcap(pick(DICTIONARY[8:40], 13)), F.initcap(pick(DICTIONARY[3:30], 14))), F.concat(word, other_word, F.lit(" ")), 0),
         (F.concat(F.upper(d1), F.lit("_"), F.substring(digits, 2, 8)), F.concat(word, other_word, F.lit(": ")), 0),
+        (F.substring(F.upper(F.concat(F.reverse(d1), F.reverse(d2), d2, d1, F.reverse(d2))), F.lit(1), short + 10), F.concat(F.upper(word), F.upper(F.reverse(d2)), pick(["!! ", " ", ", ", ": "], 15)), 0),
     ]
     which = F.pmod("id", F.lit(len(kinds)))
     case = lambda j: F.coalesce(*(F.when(which == i, x[j] if j < 2 else F.lit((*x, "")[j])) for i, x in enumerate(kinds)))
