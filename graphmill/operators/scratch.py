@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-#: How many records Spark puts into an Arrow batch.
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Settings while a table is written: Arrow batches of bounded bytes, and shuffle files that go once the table is there.
+_WRITING = {"spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20), "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -29,18 +29,18 @@ class Scratch:
         self.paths: dict[int, tuple[str, DataFrame]] = {}
         self.n = 0
 
-    def keep(self, df: DataFrame, batch: int | None = None) -> DataFrame:
-        """The written table; batch bounds the records of an Arrow batch while it is written."""
+    def keep(self, df: DataFrame) -> DataFrame:
+        """The written table. Its shuffles are of no more use then, since later plans read the files."""
         self.n += 1
         path = f"{self.root}/{self.n}"
-        usual = self.spark.conf.get(_BATCH)
+        usual = {k: self.spark.conf.get(k, None) for k in _WRITING}
+        for k, v in _WRITING.items():
+            self.spark.conf.set(k, v)
         try:
-            if batch:
-                self.spark.conf.set(_BATCH, batch)
             df.write.parquet(path)
         finally:
-            if batch:
-                self.spark.conf.set(_BATCH, usual)
+            for k, v in usual.items():
+                self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path, out  # held, so that its id stays its own
         return out
