@@ -5,12 +5,12 @@
    drops the keys that only one id has (members_of).
 2. Each bucket has a leader, the member that shares most with others, and each member is
    compared with it exactly: as many pairs as rows. Links give components.
-3. Where members of a leader are not linked with it and components differ, all members are
-   written as their difference from the leader's set, since |x ^ y| follows from
-   |x ^ L|, |y ^ L| and what these two share. Those that are not linked with the leader are
-   compared with all others, in blocks of about BLOCK by hash: a task holds one block as
-   posting lists, streams another past it, and returns only links that join components it
-   has not joined yet. So no link between two ids of a bucket is lost, no pair is ever a row,
+3. Where members of a leader are not linked with it and components differ, those that are not
+   linked with it are compared with all others, in blocks by hash of about BLOCK members and
+   ITEMS items. A task gets the leader's set and takes every member as its difference from it,
+   since |x ^ y| follows from |x ^ L|, |y ^ L| and what these two share. It holds one block as
+   posting lists, streams another past it, and returns only links that join components it has
+   not joined yet. So no link between two ids of a bucket is lost, no pair is ever a row,
    and a task's memory is that of a block, whatever the size of the group.
 
 Comparison streams over rows sorted by leader: the leader's set comes once for at most CROWD
@@ -27,15 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphmill.llm.text import ragged
+from graphmill.llm.text import blocks, ragged
 from graphmill.operators.scratch import Scratch
 
 #: Members that one copy of a leader's set is sent to.
 CROWD = 512
-#: Members that a task holds while others pass.
+#: Members that a task holds while others pass, at most about.
 BLOCK = 2048
-#: Rows of an Arrow batch where whole sets travel.
-SETS_AT_ONCE = 256
+#: Items of sets that a task holds while others pass, and about how many it handles at once.
+ITEMS, AT_ONCE = 2 << 20, 1 << 20
 
 
 def members_of(rows: DataFrame) -> DataFrame:
@@ -120,32 +120,40 @@ def linked_components(rows: DataFrame, sets_for: Callable[[DataFrame], DataFrame
     size = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     # the order of leadership: how many others an id meets in its buckets
     rank = scratch.keep(rows.join(size, "key").groupBy("id").agg(F.sum("n").alias("rank")))
-    sets = scratch.keep(sets_for(rank.select("id")), SETS_AT_ONCE)
+    sets = scratch.keep(sets_for(rank.select("id")))
     scratch.release()
     ranked = rows.join(size.select("key"), "key").join(rank, "id")
     leader = ranked.groupBy("key").agg(F.max(F.struct("rank", (-F.col("id")).alias("i"))).alias("x")).select("key", (-F.col("x.i")).alias("leader"))
     pairs = scratch.keep(rows.join(leader, "key").where("id <> leader").select("leader", "id").distinct())
-    met = scratch.keep(_streamed(pairs, sets, decode, percent, False), SETS_AT_ONCE)
+    met = scratch.keep(_streamed(pairs, sets, decode, percent))
     scratch.release()
     links = met.where("linked").select(F.col("leader").alias("a"), F.col("id").alias("b"))
     parts = components(links if extra is None else links.unionByName(extra), scratch)
     placed = met.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    spans = placed.groupBy("leader").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.bool_and("linked").alias("all"), F.count("*").alias("n"))
-    open_pairs = placed.join(spans.where("lo < hi and not all").select("leader", F.ceil(F.col("n") / BLOCK).alias("blocks")), "leader")
+    spans = placed.groupBy("leader").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.bool_and("linked").alias("all"), F.count("*").alias("n"), F.sum("size").alias("items"))
+    parted = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("items") / ITEMS)).alias("blocks")
+    open_pairs = placed.join(spans.where("lo < hi and not all").select("leader", parted), "leader")
     open_pairs = scratch.keep(open_pairs.select("leader", "id", "linked", "component", "blocks"))
     if open_pairs.isEmpty():
         return parts
-    apart = scratch.keep(_streamed(open_pairs.select("leader", "id"), sets, decode, percent, True), SETS_AT_ONCE)
-    scratch.release()
-    more = scratch.keep(_across(open_pairs.join(apart, ["leader", "id"]), percent), SETS_AT_ONCE)
+    more = scratch.keep(_across(open_pairs, sets, decode, percent))
     scratch.release()
     if more.isEmpty():
         return parts
     return components(more.unionByName(parts.select(F.col("component").alias("a"), F.col("node").alias("b"))), scratch)
 
 
-def _streamed(pairs: DataFrame, sets: DataFrame, decode: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], percent: int, apart: bool) -> DataFrame:
-    """(leader, id, linked) of each pair (leader, id), or with apart (leader, id, size, items): the set's size and its difference from the leader's set."""
+def _decoded(batch: pa.RecordBatch, decode: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of a batch of about AT_ONCE bytes of sets, with the sets' items and where each set starts."""
+    column = batch.column("items").cast(pa.large_binary())
+    offs = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    for lo, hi in blocks(np.maximum(np.diff(offs), AT_ONCE // 50_000), AT_ONCE):
+        part = batch.slice(lo, hi - lo)
+        yield part, *decode(part.column("items"))
+
+
+def _streamed(pairs: DataFrame, sets: DataFrame, decode: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], percent: int) -> DataFrame:
+    """(leader, id, linked, size) of each pair (leader, id); size is that of the set of id."""
     crowd = pairs.groupBy("leader").agg(F.ceil(F.count("*") / CROWD).alias("salts"))
     many = crowd.where("salts > 1")
     salt = F.coalesce(F.pmod(F.xxhash64("id"), F.col("salts")), F.lit(0))
@@ -155,75 +163,72 @@ def _streamed(pairs: DataFrame, sets: DataFrame, decode: Callable[[pa.Array], tu
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None, np.zeros(0, np.uint64)
-        for batch in batches:
-            leader, member, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("leader", "kind", "id"))
-            flat, at = decode(batch.column("items"))
-            n = np.diff(at)
-            start = np.flatnonzero(np.append(True, leader[1:] != leader[:-1]) | (member == 0))
-            out = []
-            for lo, hi in zip(start.tolist(), [*start[1:].tolist(), len(leader)]):
-                if member[lo] == 0:
-                    held = leader[lo], flat[at[lo] : at[lo + 1]].copy()
-                    lo += 1
-                if lo == hi:
-                    continue
-                if held[0] != leader[lo]:
-                    raise ValueError("a leader without a set")
-                head, size = held[1], n[lo:hi]
-                if apart:
-                    for k in range(lo, hi):
-                        out.append((leader[k], ids[k], n[k], as_bytes(np.setxor1d(head, flat[at[k] : at[k + 1]], assume_unique=True))))
-                    continue
-                items = flat[at[lo] : at[hi]]
-                hit = head[np.minimum(np.searchsorted(head, items), len(head) - 1)] == items if len(head) else np.zeros(len(items), bool)
-                sums = np.zeros(len(items) + 1, np.int64)
-                np.cumsum(hit, out=sums[1:])
-                edge = at[lo : hi + 1] - at[lo]
-                common = sums[edge[1:]] - sums[edge[:-1]]
-                out.append((leader[lo:hi], ids[lo:hi], 100 * common >= percent * (len(head) + size - common)))
-            if out and apart:
-                a, b, c, d = zip(*out)
-                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (a, b, c)), pa.array(d, pa.binary())], ["leader", "id", "size", "items"])
-            elif out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["leader", "id", "linked"])
+        for whole in batches:
+            for batch, flat, at in _decoded(whole, decode):
+                leader, member, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("leader", "kind", "id"))
+                n = np.diff(at)
+                start = np.flatnonzero(np.append(True, leader[1:] != leader[:-1]) | (member == 0))
+                out = []
+                for lo, hi in zip(start.tolist(), [*start[1:].tolist(), len(leader)]):
+                    if member[lo] == 0:
+                        held = leader[lo], flat[at[lo] : at[lo + 1]].copy()
+                        lo += 1
+                    if lo == hi:
+                        continue
+                    if held[0] != leader[lo]:
+                        raise ValueError("a leader without a set")
+                    head, size, items = held[1], n[lo:hi], flat[at[lo] : at[hi]]
+                    hit = head[np.minimum(np.searchsorted(head, items), len(head) - 1)] == items if len(head) else np.zeros(len(items), bool)
+                    sums = np.zeros(len(items) + 1, np.int64)
+                    np.cumsum(hit, out=sums[1:])
+                    edge = at[lo : hi + 1] - at[lo]
+                    common = sums[edge[1:]] - sums[edge[:-1]]
+                    out.append((leader[lo:hi], ids[lo:hi], 100 * common >= percent * (len(head) + size - common), size))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["leader", "id", "linked", "size"])
 
     n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = heads.select(columns).unionByName(own.select(columns)).repartition(n, "leader", "salt").sortWithinPartitions("leader", "salt", "kind")
-    return dealt.mapInArrow(work, "leader long, id long, size long, items binary" if apart else "leader long, id long, linked boolean")
+    return dealt.mapInArrow(work, "leader long, id long, linked boolean, size long")
 
 
-def _across(members: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between components, enough to join them, from members(leader, id, linked, component, blocks, size, items)."""
-    block = F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block")
+def _across(members: DataFrame, sets: DataFrame, decode: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], percent: int) -> DataFrame:
+    """Links (a, b) between components, enough to join them, from members(leader, id, linked, component, blocks)."""
+    block = F.pmod(F.xxhash64("id"), F.col("blocks"))
     every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
-    columns = ["leader", "i", "j", "kind", "id", "component", "size", "items"]
-    rest = [F.col(c) for c in ("id", "component", "size", "items")]
-    left = members.where("not linked").select("leader", block.alias("i"), F.explode(every).alias("j"), F.lit(0).alias("kind"), *rest)
-    right = members.select("leader", F.explode(every).alias("i"), block.alias("j"), F.lit(1).alias("kind"), *rest)
+    columns = ["leader", "i", "j", "kind", "id", "component", "items"]
+    m = members.join(sets, "id")
+    head = members.select("leader", "blocks").distinct().join(sets.withColumnRenamed("id", "leader"), "leader")
+    head = head.select("leader", F.explode(every).alias("i"), every.alias("_j"), "items").select("leader", "i", F.explode("_j").alias("j"), F.lit(0).alias("kind"), F.col("leader").alias("id"), F.col("leader").alias("component"), "items")
+    left = m.where("not linked").select("leader", block.alias("i"), F.explode(every).alias("j"), F.lit(1).alias("kind"), "id", "component", "items")
+    right = m.select("leader", F.explode(every).alias("i"), block.alias("j"), F.lit(2).alias("kind"), "id", "component", "items")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, held, block = None, [], None
-        for batch in batches:
-            leader, i, j, kind, ids, part, size = (batch.column(c).to_numpy(zero_copy_only=False) for c in columns[:-1])
-            flat, at = six_bytes(batch.column("items"))
-            found = []
-            for r in range(len(ids)):
-                key = int(leader[r]), int(i[r]), int(j[r])
-                if key != group:
-                    group, held, block = key, [], None
-                own = int(ids[r]), int(part[r]), int(size[r]), flat[at[r] : at[r + 1]]
-                if kind[r] == 0:
-                    held.append((*own[:3], own[3].copy()))
-                    continue
-                if block is None:
-                    block, held = _Block(held, percent), []
-                found += block.links(*own)
-            if found:
-                a, b = zip(*found)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        group, head, held, block = None, None, [], None
+        for whole in batches:
+            for batch, flat, at in _decoded(whole, decode):
+                leader, i, j, kind, ids, part = (batch.column(c).to_numpy(zero_copy_only=False).tolist() for c in columns[:-1])
+                found = []
+                for r in range(len(ids)):
+                    if (leader[r], i[r], j[r]) != group:
+                        group, head, held, block = (leader[r], i[r], j[r]), None, [], None
+                    items = flat[at[r] : at[r + 1]]
+                    if kind[r] == 0:
+                        head = items.copy()
+                        continue
+                    own = ids[r], part[r], len(items), np.setxor1d(head, items, assume_unique=True)
+                    if kind[r] == 1:
+                        held.append(own)
+                        continue
+                    if block is None:
+                        block, held = _Block(held, percent), []
+                    found += block.links(*own)
+                if found:
+                    a, b = zip(*found)
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = left.select(columns).unionByName(right.select(columns)).repartition(n, "leader", "i", "j").sortWithinPartitions("leader", "i", "j", "kind")
+    dealt = head.select(columns).unionByName(left.select(columns)).unionByName(right.select(columns)).repartition(n, "leader", "i", "j").sortWithinPartitions("leader", "i", "j", "kind")
     return dealt.mapInArrow(work, "a long, b long")
 
 
@@ -267,11 +272,6 @@ class _Block:
         return out
 
 
-def as_bytes(items: np.ndarray) -> bytes:
-    """Six bytes for each 48-bit item."""
-    return items.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-
-
 def six_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The sets of a column of sorted 48-bit items."""
     raw, offs = binary(column)
