@@ -51,6 +51,11 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(n > 0, dot(a, b) / n).otherwise(0.0)
 
 
+def cosine_distance(a: Column, b: Column) -> Column:
+    """1 - cosine similarity; 1 where a vector is empty or zero."""
+    return 1 - cosine(a, b)
+
+
 def age_days(now: Column, ts: Column) -> Column:
     """Whole days of age, never negative."""
     return F.greatest(F.lit(0), F.floor((F.unix_micros(now) - F.unix_micros(ts)) / 86_400_000_000))

@@ -48,24 +48,34 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 20, damping: floa
     return rank.select("id", (F.col("r") / F.lit(top)).alias("pagerank"))
 
 
-def reach(edges: DataFrame, start: DataFrame, depth: int, undirected: bool = False, reverse: bool = False) -> DataFrame:
-    """(id, depth) of the nodes within depth steps of start(id): breadth-first, one join and one anti-join a level."""
+def reach(edges: DataFrame, start: DataFrame, depth: int | None = None, undirected: bool = False, reverse: bool = False) -> DataFrame:
+    """(id, depth) of the nodes within depth steps of start(id), or of all that can be reached: breadth-first, one join a level.
+
+    A level is written once, and the nodes seen so far are the union of the levels. A new node
+    is two levels back at most where edges go both ways; otherwise it may be in any of them.
+    """
     scratch = Scratch(edges.sparkSession, "reach")
     hop = both_ways(edges) if undirected else edges.select(F.col("target" if reverse else "source").alias("node"), F.col("source" if reverse else "target").alias("other"))
     hop = scratch.keep(hop.distinct())
-    seen = scratch.keep(start.select("id").distinct().withColumn("depth", F.lit(0)))
-    frontier = seen
-    for d in range(1, depth + 1):
-        step = hop.join(frontier.select(F.col("id").alias("node")), "node").select(F.col("other").alias("id")).distinct()
-        frontier = scratch.keep(step.join(seen, "id", "left_anti").withColumn("depth", F.lit(d)))
-        if frontier.isEmpty():
+    levels = [scratch.keep(start.select("id").distinct().withColumn("depth", F.lit(0)))]
+    while depth is None or len(levels) <= depth:
+        step = hop.join(levels[-1].select(F.col("id").alias("node")), "node").select(F.col("other").alias("id")).distinct()
+        known = levels[-2:] if undirected else levels
+        seen = known[0].select("id")
+        for x in known[1:]:
+            seen = seen.unionByName(x.select("id"))
+        new = scratch.keep(step.join(seen, "id", "left_anti").withColumn("depth", F.lit(len(levels))))
+        if new.isEmpty():
             break
-        seen = scratch.keep(seen.unionByName(frontier))
-    return seen
+        levels.append(new)
+    out = levels[0]
+    for x in levels[1:]:
+        out = out.unionByName(x)
+    return out
 
 
-def impact(edges: DataFrame, start: DataFrame, min_confidence: float = 0.0, most: int = 50) -> DataFrame:
-    """Everything that depends on start, with depth, direct or transitive, and a tier by the best edge that discovers it."""
+def impact(edges: DataFrame, start: DataFrame, min_confidence: float = 0.0, most: int | None = None) -> DataFrame:
+    """Everything that depends on start (within `most` steps, if given), with depth, direct or transitive, and a tier by the best edge that discovers it."""
     e = edges.where(edge_confidence(edges) >= min_confidence).withColumn("c", edge_confidence(edges))
     levels = reach(e, start, most, reverse=True)
     by = e.join(levels.select(F.col("id").alias("target"), F.col("depth").alias("d")), "target")
@@ -203,6 +213,9 @@ def strongly_connected(edges: DataFrame) -> DataFrame:
 
 
 def prune_dangling(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Edges whose both ends exist."""
-    ids = nodes.select("id").distinct()
-    return edges.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
+    """Edges whose both ends exist; nodes: id, and end (source or target) where ids are good for one end only."""
+    out = edges
+    for end in ("source", "target"):
+        own = nodes.where(F.col("end") == end) if "end" in nodes.columns else nodes
+        out = out.join(own.select(F.col("id").alias(end)).distinct(), end, "left_semi")
+    return out

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphmill.functions.rules import any_in
+from graphmill.operators.scratch import Scratch
+
 
 def project_key(c: Column) -> Column:
     """PROJ-123 or proj as PROJ."""
@@ -106,3 +109,39 @@ def greedy_pack(df: DataFrame, group: str, order: list[str], cost: str, budget:
         return pdf.assign(bin=bins)
 
     return df.groupBy(group).applyInPandas(work, ", ".join(x.replace(":", " ", 1) for x in schema.split(",")) + ", bin int")
+
+
+def link_plan(links: DataFrame, targets: list[tuple[str, list[str]]], connected: list[str]) -> DataFrame:
+    """(url, target, status) of each link once: fetched by a connected tool, by one that is still to be connected, or by the agent."""
+    low = F.lower("url")
+    target = F.lit("web")
+    for name, parts in reversed(targets):
+        target = F.when(any_in(low, parts), name).otherwise(target)
+    names = [n for n, _ in targets]
+    return links.distinct().withColumn("target", target).withColumn("status", F.when(F.col("target").isin(*connected), "tool").when(F.col("target").isin(*names), "connect_needed").otherwise("agent_fetch"))
+
+
+def re_exports(symbols: DataFrame, via: DataFrame) -> DataFrame:
+    """(m, symbol) of what each module offers: its own, and all of the modules that it re-exports; via: via, m. To a fixed point, one join and one anti-join a round."""
+    scratch = Scratch(symbols.sparkSession, "exports")
+    via = scratch.keep(via)
+    new = scratch.keep(symbols.select("m", "symbol").distinct())
+    rounds = [new]
+    while True:
+        found = new.withColumnRenamed("m", "via").join(via, "via").select("m", "symbol").distinct()
+        for old in rounds:
+            found = found.join(old, ["m", "symbol"], "left_anti")
+        new = scratch.keep(found)
+        if new.isEmpty():
+            break
+        rounds.append(new)
+    out = rounds[0]
+    for x in rounds[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def cluster_labels(names: DataFrame, generic: list[str]) -> DataFrame:
+    """(cluster, label): the commonest second word of a cluster's names that is not generic, the last of equals."""
+    w = names.select("cluster", F.split("name", " ")[1].alias("word")).where(~F.col("word").isin(*generic)).groupBy("cluster", "word").agg(F.count("*").alias("n"))
+    return w.groupBy("cluster").agg(F.max_by("word", F.struct("n", "word")).alias("label"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
@@ -15,9 +15,9 @@ RRF_K = 60
 
 
 def vector_search(rows: DataFrame, query_vec: list[float], k: int, vec: str = "embedding") -> DataFrame:
-    """The k rows of highest cosine to one vector, which is a literal; top-k without a full sort."""
-    q = F.array(*(F.lit(float(x)) for x in query_vec))
-    return rows.withColumn("similarity", F.round(c.cosine(F.col(vec), q), 4)).orderBy(F.desc("similarity"), "vec_id").limit(k)
+    """The k rows of highest cosine to one vector, which is a literal; top-k by the exact value without a full sort, similarity rounded after."""
+    q = F.array(*(F.lit(float(x)) for x in query_vec)).cast("array<double>")
+    return rows.withColumn("cosine", c.cosine(F.col(vec), q)).orderBy(F.desc("cosine"), "vec_id").limit(k).withColumn("similarity", F.round("cosine", 4))
 
 
 def bm25(docs: DataFrame, terms: list[str], key: str = "doc_id", text: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
@@ -74,15 +74,17 @@ def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b)])
 
 
-def blocked_pairs(labels: DataFrame, hashes: int = 32, rows: int = 4) -> DataFrame:
+def blocked_pairs(labels: DataFrame, hashes: int = 128, rows: int = 5) -> DataFrame:
     """(a, b) of labels(id, label) that share a band of minhashes of their 3-shingles: the blocking of entity resolution.
 
+    25 bands of five of the 128 minhashes: a pair of similarity 0.7 shares one with probability 0.99.
+
     Equal labels are collapsed before, so a label that very many nodes carry makes one row.
     """
     s = c.shingles(F.regexp_replace("label", " ", ""))
     sig = F.array(*(F.array_min(F.transform("s", lambda x, i=i: F.xxhash64(x, F.lit(i)))) for i in range(hashes)))
     x = labels.select("id", s.alias("s")).select("id", sig.alias("m"))
-    bands = x.select("id", F.posexplode(F.array(*(F.xxhash64(F.slice("m", i + 1, rows)) for i in range(0, hashes, rows)))).alias("band", "key"))
+    bands = x.select("id", F.posexplode(F.array(*(F.xxhash64(F.slice("m", i + 1, rows)) for i in range(0, hashes - rows + 1, rows)))).alias("band", "key"))
     a, b = bands.withColumnRenamed("id", "a"), bands.withColumnRenamed("id", "b")
     return a.join(b, ["band", "key"]).where("a < b").select("a", "b").distinct()
 
@@ -94,10 +96,6 @@ def resolve(labels: DataFrame, least: float = 0.92) -> DataFrame:
     return j.withColumn("score", jaro_winkler("la", "lb")).where(F.col("score") >= least).select("a", "b", F.round("score", 4).alias("score"))
 
 
-def winner(order: list[Column]) -> Column:
-    return F.struct(*order)
-
-
 def stream_daily(events: DataFrame, late: str = "1 day") -> DataFrame:
     """Daily calls and errors by tool of a stream (or table) of events with a timestamp ts."""
     w = events.withWatermark("ts", late) if events.isStreaming else events

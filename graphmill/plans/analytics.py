@@ -107,14 +107,14 @@ def a13(spark, d):
     return t(spark, d, "lineitem").groupBy("l_partkey").agg(F.countDistinct("l_orderkey").alias("orders"), F.array_join(F.array_sort(F.collect_set("l_returnflag")), ",").alias("flags")).orderBy(F.desc("orders"), "l_partkey").limit(40)
 
 
-@query("a14_frequent_files", """with n as (select l_returnflag as grp, count(distinct l_orderkey) as total from lineitem group by 1), c as (select l_returnflag as grp, l_suppkey, count(distinct l_orderkey) as k from lineitem group by 1, 2)
-select grp, l_suppkey, k, round(k / total::double, 4) as share from (select c.*, total, row_number() over (partition by grp order by k desc, l_suppkey) as r from c join n using (grp)) where r <= 5""")
+@query("a14_frequent_files", """with x as (select l_returnflag as grp, l_orderkey, p_type as file from lineitem join part on l_partkey = p_partkey), n as (select grp, count(distinct l_orderkey) as total from x group by 1), c as (select grp, file, count(distinct l_orderkey) as k from x group by 1, 2)
+select grp, file, k, round(k / total::double, 4) as share from (select c.*, total, row_number() over (partition by grp order by k desc, file) as r from c join n using (grp) where k >= 0.3 * total) where r <= 5""")
 def a14(spark, d):
-    x = t(spark, d, "lineitem").select(F.col("l_returnflag").alias("grp"), "l_orderkey", "l_suppkey").distinct()
+    x = t(spark, d, "lineitem").join(t(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_returnflag").alias("grp"), "l_orderkey", F.col("p_type").alias("file")).distinct()
     n = x.select("grp", "l_orderkey").distinct().groupBy("grp").agg(F.count("*").alias("total"))
-    c = x.groupBy("grp", "l_suppkey").agg(F.count("*").alias("k"))
-    w = Window.partitionBy("grp").orderBy(F.desc("k"), "l_suppkey")
-    return c.withColumn("r", F.row_number().over(w)).where("r <= 5").join(n, "grp").select("grp", "l_suppkey", "k", F.round(F.col("k") / F.col("total"), 4).alias("share"))
+    c = x.groupBy("grp", "file").agg(F.count("*").alias("k"))
+    w = Window.partitionBy("grp").orderBy(F.desc("k"), "file")
+    return c.join(n, "grp").where("k >= 0.3 * total").withColumn("r", F.row_number().over(w)).where("r <= 5").select("grp", "file", "k", F.round(F.col("k") / F.col("total"), 4).alias("share"))
 
 
 @query("a15_dominant_tags", "with n as (select count(*) as total from documents) select lang as tag, count(*) as n, round(count(*) / (select total from n)::double, 4) as share from documents group by 1 having count(*) >= 0.1 * (select total from n)")
@@ -131,16 +131,16 @@ def a16(spark, d):
     return s.where("m > 0.25 * total").select("p_brand", "top", F.round(F.col("m") / F.col("total"), 4).alias("share"))
 
 
-@query("a18_signal_words", """with w as (select distinct doc_id, source, unnest(string_split_regex(lower(text), '[^a-z]+')) as word from documents where lang = 'en'), n as (select source, count(distinct doc_id) as n from documents where lang = 'en' group by 1),
+@query("a18_signal_words", """with w as (select distinct doc_id, source, unnest(string_split_regex(lower(text), '[^a-z]+')) as word from documents), n as (select source, count(distinct doc_id) as n from documents group by 1),
 c as (select source, word, count(*) as df from w where length(word) > 3 and word not in ('with', 'from', 'that', 'this') group by 1, 2)
-select source, word, df from (select c.*, row_number() over (partition by source order by df desc, word) as r from c join n using (source) where df >= greatest(2, 0.3 * n.n)) where r <= 5""")
+select source, word, df from (select c.*, row_number() over (partition by source order by df desc, word) as r from c join n using (source) where df >= greatest(2, 0.6 * n.n)) where r <= 5""")
 def a18(spark, d):
-    x = t(spark, d, "documents").where("lang = 'en'")
+    x = t(spark, d, "documents")
     words = F.array_distinct(F.split(F.lower("text"), "[^a-z]+"))
     c = x.select("source", F.explode(words).alias("word")).where("length(word) > 3 and word not in ('with', 'from', 'that', 'this')").groupBy("source", "word").agg(F.count("*").alias("df"))
     n = x.groupBy("source").agg(F.count("*").alias("n"))
     w = Window.partitionBy("source").orderBy(F.desc("df"), "word")
-    return c.join(n, "source").where("df >= greatest(2, 0.3 * n)").withColumn("r", F.row_number().over(w)).where("r <= 5").select("source", "word", "df")
+    return c.join(n, "source").where("df >= greatest(2, 0.6 * n)").withColumn("r", F.row_number().over(w)).where("r <= 5").select("source", "word", "df")
 
 
 @query("a19_status", "select count(*) as entries, count(*) filter (where toxic = 1) as flagged, coalesce(round(avg(quality), 4), 0) as avg_quality from labels")

@@ -44,12 +44,12 @@ def _pagerank_sql(rounds: int = 20) -> str:
     for i in range(rounds):
         parts.append(f"g{i} as (select target as id, sum(r / n_out) as got from l join r{i} on r{i}.id = l.source group by 1)")
         parts.append(f"r{i + 1} as materialized (select r{i}.id, 0.15 / (select n from n) + 0.85 * (select coalesce(sum(r), 0) from r{i} where id not in (select source from o)) / (select n from n) + 0.85 * coalesce(got, 0) as r from r{i} left join g{i} using (id))")
-    return ", ".join(parts) + f" select id, round(r / (select max(r) from r{rounds}), 4) as pagerank from r{rounds}"
+    return ", ".join(parts) + f" select id, round(r / (select max(r) from r{rounds}), 6) as pagerank from r{rounds}"
 
 
 @query("g1_pagerank", _pagerank_sql())
 def pagerank(spark, sf_dir):
-    return g.pagerank(nodes(spark, sf_dir), edges(spark, sf_dir)).select("id", F.round("pagerank", 4).alias("pagerank"))
+    return g.pagerank(nodes(spark, sf_dir), edges(spark, sf_dir)).select("id", F.round("pagerank", 6).alias("pagerank"))
 
 
 @query("g1b_degree", f"with {EDGES} select node, count(*) as degree, round(count(*) / (max(count(*)) over ())::double, 6) as degree_centrality from (select source as node from edges union all select target from edges) group by 1")
@@ -60,13 +60,13 @@ def degree(spark, sf_dir):
 
 
 @query("g3_impact", f"""with recursive {EDGES}, x as (select * from edges where confidence_score >= 0.6), up as (
-  select {NATION} + 3 as id, 0 as depth union select x.source, up.depth + 1 from up join x on x.target = up.id where up.depth < 4),
+  select {NATION} + 3 as id, 0 as depth union select x.source, up.depth + 1 from up join x on x.target = up.id),
 f as (select id, min(depth) as depth from up group by 1),
 b as (select x.source as id, max(x.confidence_score) as best from x join f a on a.id = x.source join f t on t.id = x.target where a.depth = t.depth + 1 group by 1)
 select id, depth, case when depth = 1 then 'direct' else 'transitive' end as kind, case when best >= 0.85 then 'high' when best >= 0.6 then 'medium' else 'low' end as tier from f join b using (id) where depth > 0""")
 def impact(spark, sf_dir):
     start = spark.range(1).select((F.lit(NATION) + 3).cast("long").alias("id"))
-    return g.impact(edges(spark, sf_dir), start, 0.6, 4)
+    return g.impact(edges(spark, sf_dir), start, 0.6)
 
 
 @query("g4_call_chain", f"""with recursive {EDGES}, d as (select 1::bigint as id, 0 as depth union select e.target, d.depth + 1 from d join edges e on e.source = d.id where e.confidence_score >= 0.5 and d.depth < 3)
@@ -93,15 +93,12 @@ def dead_code(spark, sf_dir):
     return nodes(spark, sf_dir).where("grp <> 'region'").join(edges(spark, sf_dir).select(F.col("target").alias("id")).distinct(), "id", "left_anti").select("id", "grp")
 
 
-@query("g18_components", """with recursive p as (select id, id as root from range(0, 300) t(id)), e as (select distinct l_orderkey % 300 as a, (l_orderkey % 300) * 7 % 300 as b from lineitem where l_quantity >= 40),
+@query("g18_components", f"""with recursive e as (select distinct l_orderkey as a, {SUPPLIER} + l_suppkey as b from lineitem where l_quantity >= 50 and l_discount >= 0.09),
 h as (select a, b from e union select b, a from e), w as (select a as id, a as root from h union select b, b from h union select h.b, w.root from w join h on h.a = w.id where w.root < h.b)
 select id, min(root) as component from w group by 1""")
 def connected(spark, sf_dir):
-    x = table(spark, sf_dir, "lineitem").where("l_quantity >= 40").select((F.col("l_orderkey") % 300).alias("source")).distinct()
-    e = x.withColumn("target", F.col("source") * 7 % 300)
-    lone = e.where("source = target").select(F.col("source").alias("id"), F.col("source").alias("component"))
-    both = g.components(e).unionByName(lone)
-    return both.groupBy("id").agg(F.min("component").alias("component"))
+    x = table(spark, sf_dir, "lineitem").where("l_quantity >= 50 and l_discount >= 0.09")
+    return g.components(x.select(F.col("l_orderkey").alias("source"), (F.lit(SUPPLIER) + F.col("l_suppkey")).alias("target")).distinct())
 
 
 @query("g11_label_propagation")
@@ -117,7 +114,7 @@ def cycles(spark, sf_dir):
     return g.strongly_connected(x.withColumn("target", F.lead("source").over(w)).where("target is not null").select("source", "target"))
 
 
-@query("g10_cohesion", f"""with {EDGES}, {NODES}, p as (select distinct least(source, target) as a, greatest(source, target) as b from edges where source <> target),
+@query("a10_cohesion", f"""with {EDGES}, {NODES}, p as (select distinct least(source, target) as a, greatest(source, target) as b from edges where source <> target),
 m as (select id, case when id >= {REGION} then id - {REGION} when id >= {NATION} then n_regionkey when id >= {SUPPLIER} then -2 else -1 end as community from nodes left join nation on id = {NATION} + n_nationkey),
 s as (select community, count(*) as n from m group by 1), i as (select x.community, count(*) as inner_edges from p join m x on x.id = a join m y on y.id = b where x.community = y.community group by 1)
 select s.community, n, coalesce(inner_edges, 0) as inner_edges, case when n <= 1 then 1.0 else round(coalesce(inner_edges, 0) / (n * (n - 1) / 2), 6) end as cohesion from s left join i using (community)""")
@@ -160,7 +157,8 @@ def prune(spark, sf_dir):
     e = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("source"), F.col("l_partkey").alias("target"))
     o = table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("source"))
     p = table(spark, sf_dir, "part").where("p_size > 10").select(F.col("p_partkey").alias("target"))
-    return e.join(o, "source", "left_semi").join(p, "target", "left_semi").select("source", "target")
+    ends = o.select(F.col("source").alias("id"), F.lit("source").alias("end")).unionByName(p.select(F.col("target").alias("id"), F.lit("target").alias("end")))
+    return g.prune_dangling(ends, e).select("source", "target")
 
 
 @query("a8_cross_cluster", f"""with {EDGES}, m as (select {SUPPLIER} + s_suppkey as id, s_nationkey as c from supplier), k as (select a.target as s1, b.target as s2 from edges a join edges b on a.source = b.source and a.target < b.target where a.relation = 'supplied_by' and b.relation = 'supplied_by')

@@ -11,14 +11,19 @@ from graphmill.plans.registry import query, table as t
 TERMS = ["licensed", "thing", "worthless"]
 
 
-def _probe(spark, d):
-    return t(spark, d, "embeddings").where("vec_id = 7").select("embedding").first()[0]
+def query_vector(spark, d):
+    """The vector with id 7; without one an empty vector, which is near nothing."""
+    row = t(spark, d, "embeddings").where("vec_id = 7").select("embedding").first()
+    return row[0] if row and row[0] is not None else []
+
+
+_probe = query_vector
 
 
 COS = "list_inner_product(e.embedding::double[], q.v) / (sqrt(list_inner_product(e.embedding::double[], e.embedding::double[])) * sqrt(list_inner_product(q.v, q.v)))"
 
 
-@query("v1_vector_search", f"with q as (select embedding::double[] as v from embeddings where vec_id = 7) select vec_id, label, round({COS}, 4) as similarity from embeddings e, q order by 3 desc, 1 limit 20")
+@query("v1_vector_search", f"with q as (select embedding::double[] as v from embeddings where vec_id = 7) select vec_id, label, round({COS}, 4) as similarity from embeddings e, q order by {COS} desc, vec_id limit 20")
 def v1(spark, d):
     return v.vector_search(t(spark, d, "embeddings"), _probe(spark, d), 20).select("vec_id", "label", "similarity")
 
@@ -39,11 +44,11 @@ def v3(spark, d):
     return v.bm25(t(spark, d, "documents"), TERMS).select("doc_id", F.round("score", 4).alias("score")).orderBy(F.desc("score"), "doc_id").limit(50)
 
 
-@query("v6_hybrid", f"""with {BM}, q as (select embedding::double[] as v from embeddings where vec_id = 7), vr as (select vec_id as doc_id, label, row_number() over (order by s desc, vec_id) - 1 as rank from (select vec_id, label, round({COS}, 4) as s from embeddings e, q order by 3 desc, 1 limit 80)),
+@query("v6_hybrid", f"""with {BM}, q as (select embedding::double[] as v from embeddings where vec_id = 7), vr as (select vec_id as doc_id, label, row_number() over (order by s desc, vec_id) - 1 as rank from (select vec_id, label, {COS} as s from embeddings e, q order by 3 desc, 1 limit 80)),
 tr as (select doc_id, row_number() over (order by s desc, doc_id) - 1 as rank from (select doc_id, round(score, 4) as s from bm order by 2 desc, 1 limit 80))
 select vr.doc_id, round((1.0 / (61 + vr.rank) + coalesce(1.0 / (61 + tr.rank), 0)) * (1 + 0.5 * (label % 3) / 2.0), 6) as adjusted from vr left join tr using (doc_id) order by 2 desc, 1 limit 20""")
 def v6(spark, d):
-    near = v.ranked(v.vector_search(t(spark, d, "embeddings"), _probe(spark, d), 80).select(F.col("vec_id").alias("doc_id"), "label", "similarity"), [F.desc("similarity"), "doc_id"])
+    near = v.ranked(v.vector_search(t(spark, d, "embeddings"), _probe(spark, d), 80).select(F.col("vec_id").alias("doc_id"), "label", "cosine"), [F.desc("cosine"), "doc_id"])
     text = v.ranked(v3_top(spark, d), [F.desc("s"), "doc_id"])
     fused = v.reciprocal_rank_fusion(near, text, "doc_id").join(near.select("doc_id", "label"), "doc_id")
     return fused.select("doc_id", F.round(F.col("rrf") * (1 + 0.5 * (F.col("label") % 3) / 2.0), 6).alias("adjusted")).orderBy(F.desc("adjusted"), "doc_id").limit(20)

@@ -36,11 +36,13 @@ def append_daily(events: DataFrame, path: str, ts: str = "ts") -> None:
 
 
 def upsert_table(spark: SparkSession, new: DataFrame, path: str, keys: list[str]) -> None:
-    """Rewrites the table at path into a sibling folder and swaps the folders, so that a failed job leaves the old table."""
+    """Rewrites the table at path into a sibling folder and swaps the folders: the old one is moved aside first and deleted last, so that at no time both are gone."""
     old = spark.read.parquet(path)
     upsert(old, new, keys).write.mode("overwrite").parquet(f"{path}.next")
     jvm = spark._jvm
     at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
     fs = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(at(path), True)
+    fs.delete(at(f"{path}.before"), True)
+    fs.rename(at(path), at(f"{path}.before"))
     fs.rename(at(f"{path}.next"), at(path))
+    fs.delete(at(f"{path}.before"), True)

@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from graphmill.functions import columns as c
@@ -117,3 +118,102 @@ def test_columns(spark):
     x = df.select(c.url_path(F.col("u")).alias("u"), c.entropy(F.col("e")).alias("e"), c.effort_minutes(F.col("m")).alias("m")).first()
     assert (x.u, x.m) == ("/api/*/x", 630)
     assert abs(x.e - 1.0) < 1e-9
+
+
+# betweenness, importance and the graph's other parts
+
+
+def brandes(nodes, edges, sources):
+    out = dict.fromkeys(nodes, 0.0)
+    succ = {n: sorted({b for a, b in edges if a == n and b != n}) for n in nodes}
+    for s in sources:
+        dist, paths, order, preds = {s: 0}, {s: 1.0}, [], {n: [] for n in nodes}
+        queue = [s]
+        while queue:
+            v = queue.pop(0)
+            order.append(v)
+            for w in succ[v]:
+                if w not in dist:
+                    dist[w] = dist[v] + 1
+                    queue.append(w)
+                if dist[w] == dist[v] + 1:
+                    paths[w] = paths.get(w, 0.0) + paths[v]
+                    preds[w].append(v)
+        dep = dict.fromkeys(nodes, 0.0)
+        for w in reversed(order):
+            for v in preds[w]:
+                dep[v] += paths[v] / paths[w] * (1 + dep[w])
+            if w != s:
+                out[w] += dep[w]
+    top = max(out.values()) or 1.0
+    return {n: v / top for n, v in out.items()}
+
+
+def test_betweenness(spark):
+    from graphmill.operators import codegraph as k
+
+    rng = random.Random(4)
+    nodes = list(range(30))
+    edges = [(rng.randrange(30), rng.randrange(30)) for _ in range(70)] + [(1, 2), (2, 3), (3, 4), (5, 5)]
+    n = spark.createDataFrame([(i,) for i in nodes], "id long")
+    e = spark.createDataFrame(edges, "source long, target long")
+    got = {r.id: r.betweenness for r in k.betweenness(n, e, k.sampled_sources(n)).collect()}
+    want = brandes(nodes, edges, nodes)
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in nodes)
+    few = sorted(r.id for r in k.sampled_sources(n, 7).collect())
+    assert few == sorted(random.Random(42).sample(range(30), 7))
+    assert all(r.betweenness == 0 for r in k.betweenness(n, e.limit(0), n).collect())
+
+
+def test_stable_communities(spark):
+    from graphmill.operators import codegraph as k
+
+    rng = random.Random(6)
+    new = [(i, rng.randrange(8)) for i in range(200)]
+    old = [(i, rng.randrange(6) * 3) for i in range(150)]
+    got = {r.community: r.final for r in k.stable_communities(spark.createDataFrame(new, "id long, community long"), spark.createDataFrame(old, "id long, community long")).collect()}
+    overlap = {}
+    was = dict(old)
+    for i, c in new:
+        if i in was:
+            overlap[was[i], c] = overlap.get((was[i], c), 0) + 1
+    want, used = {}, set()
+    for (o, c), _ in sorted(overlap.items(), key=lambda x: (-x[1], x[0][0], x[0][1])):
+        if c not in want and o not in used:
+            want[c] = o
+            used.add(o)
+    sizes = {c: ([i for i, x in new if x == c]) for c in {c for _, c in new}}
+    free = 0
+    for c in sorted((c for c in sizes if c not in want), key=lambda c: (-len(sizes[c]), min(sizes[c]))):
+        while free in used:
+            free += 1
+        want[c] = free
+        used.add(free)
+    assert got == want
+
+
+def test_merged_dimensions(spark):
+    from graphmill.functions import rules as r
+
+    df = spark.createDataFrame([(["Correct results!", "ab", "correct RESULTS", "results", "other thing", "a third"],)], "d array<string>")
+    assert df.select(r.merged_dimensions(["base dimension"], F.col("d"), 3)).first()[0] == ["base dimension", "Correct results!", "other thing"]
+
+
+def test_smart_query(spark):
+    from graphmill.operators import memory as m
+
+    near = spark.createDataFrame([(i, 1 - i / 10, i) for i in range(8)], "id long, similarity double, rank int")
+    text = spark.createDataFrame([(3, 0), (9, 1)], "id long, rank int")
+    rows = spark.createDataFrame([(i, ["T"] if i < 6 else [], 1.0, 0.0, 0.0, i == 1) for i in range(10)], "id long, tags array<string>, decay double, confidence double, boost double, negated boolean")
+    got = m.smart_query(near, text, rows, "9", 3, 0.3, ["t"]).collect()
+    by = {(x.kind, x.place): x.id for x in got}
+    assert by == {("result", 1): 9, ("result", 2): 3, ("result", 3): 0, ("negative", 1): 1}
+    assert {x.id for x in m.smart_query(near, text, rows, None, 3, 0.3, ["none"]).collect()} == {3, 0, 2, 1}
+
+
+def test_one_repository(spark):
+    from graphmill.operators import codegraph as k
+
+    k.one_repository(spark.createDataFrame([("a",), (None,)], "repo string"))
+    with pytest.raises(ValueError):
+        k.one_repository(spark.createDataFrame([("a",), ("b",)], "repo string"))
