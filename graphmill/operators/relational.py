@@ -95,20 +95,32 @@ def version_tuple(c: Column) -> Column:
 
 
 def greedy_pack(df: DataFrame, group: str, order: list[str], cost: str, budget: int) -> DataFrame:
-    """Bins of rows in order: a row goes into the open bin or opens the next one. State runs within a group, so a group is one task."""
-    schema = df.schema.simpleString()[7:-1]
-
-    def work(pdf):
-        pdf = pdf.sort_values(order, kind="stable")
-        bins, n, used = [], -1, budget + 1
-        for c in pdf[cost]:
-            if used + c > budget and used > 0:
-                n, used = n + 1, 0
-            used += c
-            bins.append(n)
-        return pdf.assign(bin=bins)
-
-    return df.groupBy(group).applyInPandas(work, ", ".join(x.replace(":", " ", 1) for x in schema.split(",")) + ", bin int")
+    """Bins of rows in order: a row goes into the open bin or opens the next one.
+
+    That is sequential within a group, so a group is one task; its rows are sorted by Spark and
+    pass in Arrow batches, of which one at a time is held.
+    """
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, first, n, used = None, True, -1, 0
+        for batch in batches:
+            bins = []
+            for g, c in zip(batch.column(group).to_pylist(), batch.column(cost).to_pylist()):
+                if first or g != own:
+                    own, first, n, used = g, False, -1, 0
+                c = c or 0
+                if n < 0 or (used + c > budget and used > 0):
+                    n, used = n + 1, 0
+                used += c
+                bins.append(n)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bins, pa.int32())], [*batch.schema.names, "bin"])
+
+    schema = T.StructType([*df.schema.fields, T.StructField("bin", T.IntegerType())])
+    return df.repartition(group).sortWithinPartitions(group, *order).mapInArrow(work, schema)
 
 
 def link_plan(links: DataFrame, targets: list[tuple[str, list[str]]], connected: list[str]) -> DataFrame:

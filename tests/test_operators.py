@@ -217,3 +217,18 @@ def test_one_repository(spark):
     k.one_repository(spark.createDataFrame([("a",), (None,)], "repo string"))
     with pytest.raises(ValueError):
         k.one_repository(spark.createDataFrame([("a",), ("b",)], "repo string"))
+
+
+def test_greedy_pack(spark):
+    rng = random.Random(1)
+    rows = [(f"g{i % 3}", i, rng.randrange(1, 60)) for i in range(90)] + [("g0", 100, 500), (None, 1, 5)]
+    want = {}
+    for g in ("g0", "g1", "g2", None):
+        n, used = -1, 0
+        for _, o, c in sorted((x for x in rows if x[0] == g), key=lambda x: x[1]):
+            if n < 0 or (used + c > 100 and used > 0):
+                n, used = n + 1, 0
+            used += c
+            want[g, o] = n
+    got = r.greedy_pack(spark.createDataFrame(rows, "g string, o int, c int").repartition(4), "g", ["o"], "c", 100).collect()
+    assert {(x.g, x.o): x.bin for x in got} == want

@@ -25,9 +25,9 @@ def test_node_link(spark, tmp_path):
 
 def test_junit(spark, tmp_path):
     p = tmp_path / "r.xml"
-    p.write_text('<testsuite><testcase name="a" time="1.5"/><testcase name="b"><failure message="m"/></testcase><testcase name="c"><skipped message=""/></testcase><testcase name="d"><failure message="m"/><error message="e"/></testcase></testsuite>')
+    p.write_text('<testsuite name="orders"><testcase name="adds_tax" time="1.5"/><testcase name="rounds_down" time="0.25"><failure message="3 is not 4">at line 9</failure></testcase><testcase name="needs_printer"><skipped message="none here"/></testcase><testcase name="loses_link" time="2"><failure message="timeout"/><error message="socket closed"/></testcase></testsuite>')
     cases = f.junit(spark, str(p))
-    assert {r.name: r.status for r in cases.collect()} == {"a": "passed", "b": "failed", "c": "skipped", "d": "error"}
+    assert {r.name: r.status for r in cases.collect()} == {"adds_tax": "passed", "rounds_down": "failed", "needs_printer": "skipped", "loses_link": "error"}
     assert f.junit_totals(cases).first().asDict() == {"total": 4, "passed": 1, "failed": 1, "error": 1, "skipped": 1}
 
 
@@ -47,8 +47,8 @@ def test_git_lines(spark):
 
 def test_owner_rules_and_hunks(spark, tmp_path):
     p = tmp_path / "OWNERS"
-    p.write_text("# all\n*.py @general\n\n/src/auth/*.py @security @lead\n")
-    assert [(r.pattern, r.owners) for r in f.owner_rules(spark, str(p)).orderBy("rule").collect()] == [("*.py", ["@general"]), ("/src/auth/*.py", ["@security", "@lead"])]
+    p.write_text("# who looks after what\ndocs/** @writers\n\n*.sql @warehouse @night-shift\n")
+    assert [(r.pattern, r.owners) for r in f.owner_rules(spark, str(p)).orderBy("rule").collect()] == [("docs/**", ["@writers"]), ("*.sql", ["@warehouse", "@night-shift"])]
     c = spark.createDataFrame([("x", "a\n<<<<<<< HEAD\nours\n=======\ntheirs\n>>>>>>> b\n")], "path string, content string")
     assert [(r.ours, r.theirs) for r in f.conflict_hunks(c).collect()] == [("ours\n", "theirs\n")]
 
