@@ -9,14 +9,17 @@ import zlib
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+import xxhash
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from graphmill.llm import op1_packing, op2_token_counts, op3_minhash, op4_quality, op5_language, op6_rotated_codes, op7_secrets, op8_line_dedup, op9_bpe, op10_toxicity
+from graphmill.llm import links, op1_packing, op2_token_counts, op3_minhash, op4_quality, op5_language, op6_rotated_codes, op7_secrets, op8_line_dedup, op9_bpe, op10_toxicity
 from graphmill.llm import queries as q
+from graphmill.llm import text as tx
 
 BYTE = public_tokenizers.path("byte_bpe_50k.json")
 WORD = public_tokenizers.path("word_bpe_49k.json")
@@ -99,6 +102,37 @@ def test_token_counts(spark, odd):
         assert op2_token_counts.truncated_total(totals, limit).first()[0] == sum(min(v, limit) for v in n)
 
 
+def thue_morse():
+    """Two words of 1,024 letters that a polynomial modulo 2**64 with an odd base can't tell apart."""
+    a = "a"
+    for _ in range(10):
+        a += a.translate(str.maketrans("ab", "ba"))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_told_apart(monkeypatch):
+    a, b = thue_morse()
+    c, offs = tx.codes([a, b])
+    h = tx.hashes(c, offs[:-1], offs[1:])
+    assert h[0] != h[1]
+    texts = [a, b, f"x {b} {a}"]
+
+    def same():
+        library = Tokenizer.from_file(BYTE)
+        flat, at = op1_packing.Encoder(BYTE).encode(texts)
+        assert [flat[i:j].tolist() for i, j in zip(at, at[1:])] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+        assert op1_packing.Encoder(BYTE).counts(texts).tolist() == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+        words_ = Tokenizer.from_file(WORD)
+        assert [x[0] for x in op9_bpe.Codec(WORD).strings(texts)] == [" ".join(map(str, words_.encode(t, add_special_tokens=False).ids)) for t in texts]
+
+    same()
+    sets, at = op3_minhash.shingle_sets(*tx.utf8(pa.array([f"one two three {a}", f"one two three {b}"])), 4)
+    assert len(set(sets.tolist())) == 2
+    # even if all hashes were equal
+    monkeypatch.setattr(tx, "hashes", lambda c, s, e: np.full(len(s), 7, np.uint64))
+    same()
+
+
 # 3: near duplicates
 
 
@@ -148,6 +182,38 @@ def test_near_duplicates_planted(spark):
     assert all(x.n_shingles == len(sets[i]) and x.kept == (want[i] == i) for i, x in got.items())
 
 
+def test_near_duplicates_crowded(spark, monkeypatch):
+    """A family of which few are linked with its leader, in many small blocks, and a cut-off branch of it."""
+    monkeypatch.setattr(links, "BLOCK", 5)
+    monkeypatch.setattr(links, "CROWD", 3)
+    monkeypatch.setattr(links, "AT_ONCE", 4000)
+    rng = random.Random(9)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(4000)]
+    base = rng.choices(vocabulary, k=120)
+    texts = [" ".join(base)]
+    branch = base[:100]
+    for i in range(70):
+        copy = list(base if i % 3 else branch)
+        for _ in range(rng.randrange(2, 9)):
+            copy[rng.randrange(len(copy))] = rng.choice(vocabulary)
+        texts.append(" ".join(copy))
+        if i % 5 == 0:
+            copy[rng.randrange(len(copy))] = "twin"
+            texts.append(" ".join(copy))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = components({i: shingle_set(t, 4) for i, t in enumerate(texts)}, 80)
+    assert len(set(want.values())) > 10
+    assert {x.doc_id: x.component_id for x in op3_minhash.near_duplicates(df, 4, 80).collect()} == want
+
+
+def test_near_duplicates_several_texts(spark):
+    """A doc_id with several texts joins their components, and its component is named after the smallest doc_id."""
+    base = [" ".join(f"{c}{i}" for i in range(50)) for c in "xyz"]
+    rows = [(5, base[0]), (5, base[1]), (2, base[1]), (9, base[0]), (7, base[2])]
+    got = {(x.doc_id, x.component_id) for x in op3_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(5, 2), (2, 2), (9, 2), (7, 7)}
+
+
 def test_near_duplicates_odd(spark, odd):
     got = op3_minhash.near_duplicates(odd, 5, 80).collect()
     assert len(got) == odd.count()
@@ -214,6 +280,34 @@ def test_quality_cuts_between_labels(spark):
     assert sum(not x.kept for x in out if x.doc_id % 8) <= 2
 
 
+def test_quality_against_brute_force(spark):
+    rng = random.Random(4)
+    pool = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 7))) for _ in range(300)]
+    docs = [(i, " ".join(rng.choice(pool[: 100 if i % 4 else 300]) for _ in range(rng.randrange(12, 60)))) for i in range(80)] + [(80, None), (81, "")]
+    labels = [(i, int(i % 4 != 0), 0) for i in range(60)]
+    signed = lambda h: h - (1 << 64) if h >= 1 << 63 else h
+    raw = lambda v: (v % (1 << 64)).to_bytes(8, "little")
+    word = lambda w: xxhash.xxh64_intdigest(w.encode(), seed=42)
+    pair = lambda a, b: xxhash.xxh64_intdigest(raw(b), seed=xxhash.xxh64_intdigest(raw(a), seed=42))
+
+    def buckets(text):
+        h = [word(w) for w in words(text, False)]
+        return [signed(x) % op4_quality.BUCKETS for x in [*h, *(pair(a, b) for a, b in zip(h, h[1:]))]]
+
+    n, k = [1] * op4_quality.BUCKETS, [1] * op4_quality.BUCKETS
+    for i, t in docs:
+        for b in buckets(t):
+            n[b] += 1
+            k[b] += i < 60 and i % 4 != 0
+    ratio = [round(np.log(y / sum(k)) - np.log(x / sum(n)), 6) for x, y in zip(n, k)]
+    score = {i: sum(ratio[b] for b in buckets(t)) / (len(buckets(t)) + op4_quality.PRIOR) for i, t in docs}
+    got = {x.doc_id: x for x in op4_quality.judge(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    assert all(abs(got[i].llr - s) < 1e-9 for i, s in score.items())
+    steps = collections.Counter((int(np.floor(score[i] * op4_quality.STEPS)), i % 4 != 0) for i, _, _ in labels if not got[i].base_failed)
+    cut = op4_quality.best_cut([(s, steps[s, True], steps[s, False]) for s in {s for s, _ in steps}])
+    assert all(x.threshold == cut and x.kept == (not x.base_failed and x.llr >= cut) for x in got.values())
+
+
 def test_quality_best_cut():
     cut = op4_quality.best_cut
     assert cut([(-100, 0, 5), (-10, 1, 3), (0, 50, 1), (5, 50, 0)]) == (-9 + 0) / 2 / op4_quality.STEPS
@@ -291,6 +385,35 @@ def test_secrets_own_context(spark):
     assert got == {("commit", " and"): False, ("token=", " end"): True}
 
 
+def test_secrets_spans(spark):
+    """Only the occurrence that is a secret goes; the same characters elsewhere stay."""
+    x = "b7db7aa4a5fcc78305881234b7db7aa4a5fcc783"
+    texts = [f'commit {x} and then password = "{x}"', f'password = "{x}" since commit {x} of', f"a\ntoken={x}\nrevision {x}\n"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    red = {r.doc_id: r.text for r in op7_secrets.redact(df).collect()}
+    m = op7_secrets.MARK
+    assert red == {0: f'commit {x} and then password = "{m}"', 1: f'password = "{m}" since commit {x} of', 2: f"a\ntoken={m}\nrevision {x}\n"}
+    for r in op7_secrets.scan(df).collect():
+        line = texts[r.doc_id].split("\n")[r.line]
+        assert line[r.start : r.start + len(r.candidate)] == r.candidate
+        assert line[: r.start].endswith(r.before) and line[r.start + len(r.candidate) :].startswith(r.after)
+
+
+def test_secrets_recall(spark):
+    """Planted secrets and look-alikes, with words that training does not use."""
+    rng = random.Random(8)
+    pick = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    full = "abcdefghijkmnopqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ0123456789"
+    good, bad = [], []
+    for _ in range(60):
+        good += [f'deploy with token = "{pick("0123456789abcdef", 40)}" today', f"api_key: {pick(full, 24)} .", f"set password={pick(full, 10)} now", f"mysql://root:{pick(full, 12)}@db.host/x", "key AKIA" + pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16)]
+        bad += [f"merged in commit {pick('0123456789abcdef', 40)} by", f"md5 {pick('0123456789abcdef', 32)} ok", f"call {pick('0123456789', 16)} soon", "see user_report_" + pick("0123456789", 6) + " file"]
+    df = spark.createDataFrame(list(enumerate(good + bad)), "doc_id long, text string")
+    hit = {r.doc_id for r in op7_secrets.scan(df).where("secret").collect()}
+    found = len([i for i in hit if i < len(good)])
+    assert found >= 0.95 * len(good) and len(hit) - found <= 0.05 * len(bad)
+
+
 # 8: lines
 
 
@@ -317,6 +440,11 @@ def test_lines(spark, odd):
         left = [s for i, s in enumerate(t.split("\n")) if (d, i) not in gone]
         n = len(t.split("\n")) - len(left)
         assert out[d].text == "\n".join(left) and out[d].n_removed == n and out[d].emptied == (n > 0 and not words(" ".join(left)))
+    short = spark.createDataFrame([(1, "ok\nyes\n\nok"), (2, "YES \nno"), (3, "\n\n")], "doc_id long, text string")
+    assert {x.doc_id: x.text for x in op8_line_dedup.dedup_lines(short).collect()} == {1: "ok\nyes\n", 2: "no", 3: "\n\n"}
+    assert {x.doc_id: x.text for x in op8_line_dedup.dedup_lines(short, min_chars=3).collect()} == {1: "ok\nyes\n\nok", 2: "no", 3: "\n\n"}
+    clash = short.withColumn("n_lines", F.lit("mine"))
+    assert {x.n_lines for x in op8_line_dedup.dedup_lines(clash).collect()} == {"mine"} and "n_lines_" in op8_line_dedup.dedup_lines(clash).columns
     kept = op8_line_dedup.dedup_lines(odd)
     assert kept.count() == odd.count() and set(odd.columns) <= set(kept.columns)
 
@@ -399,4 +527,54 @@ def test_pipeline(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = corpus_pipeline.run(spark, sf_dir).collect()
     assert out and {x.doc_id for x in out} <= {x.doc_id for x in docs.select("doc_id").collect()}
+    assert all(x.length == len(x.ids) for x in out)
     assert sum(x.length for x in out) == sum({x.doc_id: x.doc_tokens for x in out}.values())
+
+
+def test_pipeline_stages_odd(spark, odd, tmp_path):
+    """Each stage on a table without the usual other columns, with clashing ones, nulls, repeats and long texts, and on an empty one."""
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, 1, 0), (2, 1, 1), (3, 0, None), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    bare = odd.drop("lang", "source", "n_chars").withColumn("emptied", F.lit("clash")).withColumn("n_secrets", F.lit(1))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, bare, str(tmp_path))
+        assert out.columns == bare.columns and 0 < out.count() <= bare.count(), name
+        assert {x.emptied for x in out.select("emptied").collect()} == {"clash"}
+        assert stage(spark, bare.limit(0), str(tmp_path)).count() == 0, name
+    assert corpus_pipeline.STAGES[-1][1](spark, bare.limit(0), str(tmp_path)).count() == 0
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Planted repeated lines, near copies, a secret and toxic texts: what is packed is what a plain loop leaves."""
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    pool = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(3, 8))) for _ in range(3000)]
+    text = lambda n: " ".join(rng.choice(pool) for _ in range(n))
+    docs = [(i, text(40)) for i in range(60)]
+    docs += [(100 + i, docs[i][1].replace(docs[i][1].split()[20], "other", 1).replace(" ", "  ", 1)) for i in range(5)]
+    passage = text(12)
+    docs += [(200 + i, text(30) + "\n" + passage) for i in range(5)] + [(300, "x\npassword = \"b7db7aa4a5fcc78305881234\" y")]
+    docs += [(400 + i, text(20) + " worthless idiots hateful " + text(3)) for i in range(30)]
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, int(i >= 400)) for i, _ in docs], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    got = collections.defaultdict(list)
+    for x in sorted(out, key=lambda x: (x.doc_id, x.start)):
+        got[x.doc_id] += x.ids
+    left = [(i, t) for i, t in docs if i < 400]
+    seen, lines = [], []
+    for i, t in left:
+        keep = []
+        for s in t.split("\n"):
+            sh = {s.lower()[j : j + 8] for j in range(len(s) - 7)} or {s.lower()}
+            if not any(100 * len(sh & o) >= 80 * len(sh | o) for o in seen):
+                keep.append(s)
+            seen.append(sh)
+        if keep:
+            lines.append((i, "\n".join(keep)))
+    root = components({i: shingle_set(t, 5) for i, t in lines}, 80)
+    t = Tokenizer.from_file(BYTE)
+    want = {i: [*t.encode(s.replace('"b7db7aa4a5fcc78305881234"', '"[REDACTED]"'), add_special_tokens=False).ids, 0] for i, s in lines if root[i] == i}
+    assert dict(got) == want
