@@ -36,6 +36,8 @@ CROWD = 512
 BLOCK = 2048
 #: Items of sets that a task holds while others pass, and about how many it handles at once.
 ITEMS, AT_ONCE = 2 << 20, 1 << 20
+#: Members that pass a block together.
+ABREAST = 64
 
 
 def members_of(rows: DataFrame) -> DataFrame:
@@ -207,45 +209,64 @@ def _across(members: DataFrame, sets: DataFrame, decode: Callable[[pa.Array], tu
         group, head, held, block = None, None, [], None
         for whole in batches:
             for batch, flat, at in _decoded(whole, decode):
-                leader, i, j, kind, ids, part = (batch.column(c).to_numpy(zero_copy_only=False).tolist() for c in columns[:-1])
+                key = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("leader", "i", "j", "kind")], 1)
+                ids, part = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "component"))
+                cuts = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(1)))
                 found = []
-                for r in range(len(ids)):
-                    if (leader[r], i[r], j[r]) != group:
-                        group, head, held, block = (leader[r], i[r], j[r]), None, [], None
-                    items = flat[at[r] : at[r + 1]]
-                    if kind[r] == 0:
-                        head = items.copy()
+                for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(key)]):
+                    if tuple(key[lo, :3]) != group:
+                        group, head, held, block = tuple(key[lo, :3]), None, [], None
+                    if key[lo, 3] == 0:
+                        head = flat[at[lo] : at[lo + 1]].copy()
                         continue
-                    own = ids[r], part[r], len(items), np.setxor1d(head, items, assume_unique=True)
-                    if kind[r] == 1:
-                        held.append(own)
-                        continue
-                    if block is None:
-                        block, held = _Block(held, percent), []
-                    found += block.links(*own)
+                    for a in range(lo, hi, ABREAST):
+                        b = min(a + ABREAST, hi)
+                        rows = ids[a:b], part[a:b], np.diff(at[a : b + 1]), *_differences(head, flat[at[a] : at[b]], at[a : b + 1] - at[a])
+                        if key[lo, 3] == 1:
+                            held.append(rows)
+                            continue
+                        if block is None:
+                            block, held = _Block(held, percent), []
+                        found += block.links(*rows)
                 if found:
-                    a, b = zip(*found)
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                    x, y = zip(*found)
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
 
     n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = head.select(columns).unionByName(left.select(columns)).unionByName(right.select(columns)).repartition(n, "leader", "i", "j").sortWithinPartitions("leader", "i", "j", "kind")
     return dealt.mapInArrow(work, "a long, b long")
 
 
+def _differences(head: np.ndarray, flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, item) of the items that each of several sets has and head lacks, or the other way round."""
+    n = len(at) - 1
+    owner = np.repeat(np.arange(n), np.diff(at))
+    if not len(head):
+        return owner, flat.copy()
+    place = np.minimum(np.searchsorted(head, flat), len(head) - 1)
+    hit = head[place] == flat
+    lacks = np.ones((n, len(head)), bool)
+    lacks[owner[hit], place[hit]] = False
+    who, what = np.nonzero(lacks)
+    return np.concatenate([owner[~hit], who]), np.concatenate([flat[~hit], head[what]])
+
+
 class _Block:
     """A block of members of one leader as posting lists of their differences from it."""
 
-    def __init__(self, rows: list[tuple[int, int, int, np.ndarray]], percent: int):
+    def __init__(self, parts: list[tuple[np.ndarray, ...]], percent: int):
         self.percent = percent
-        self.ids, self.part, self.size = (np.array([r[k] for r in rows], np.int64) for k in range(3))
-        self.apart = np.array([len(r[3]) for r in rows], np.int64)
-        flat = np.concatenate([r[3] for r in rows]) if rows else np.zeros(0, np.uint64)
-        owner = np.repeat(np.arange(len(rows)), self.apart)
+        none = np.zeros(0, np.int64)
+        self.ids, self.part, self.size = (np.concatenate([none, *(p[k] for p in parts)]) for k in range(3))
+        first = np.cumsum([0, *(len(p[0]) for p in parts)])
+        owner = np.concatenate([none, *(p[3] + f for p, f in zip(parts, first))])
+        flat = np.concatenate([none.astype(np.uint64), *(p[4] for p in parts)])
+        self.apart = np.bincount(owner, minlength=len(self.ids))
         order = np.argsort(flat, kind="stable")
         self.owner, flat = owner[order], flat[order]
-        self.start = np.flatnonzero(np.append(True, flat[1:] != flat[:-1])) if len(flat) else np.zeros(0, np.int64)
+        self.start = np.flatnonzero(np.append(True, flat[1:] != flat[:-1])) if len(flat) else none
         self.item = flat[self.start]
-        self.end = np.append(self.start[1:], len(flat))
+        self.count = np.diff(np.append(self.start, len(flat)))
         self.root: dict[int, int] = {}
 
     def find(self, x: int) -> int:
@@ -253,22 +274,26 @@ class _Block:
             self.root[x] = x = self.root.get(y, y)
         return x
 
-    def links(self, own: int, part: int, size: int, items: np.ndarray) -> list[tuple[int, int]]:
-        """Links of another member with those of the block, one for each component that is not joined with its own yet."""
-        if not len(self.item):
+    def links(self, ids: np.ndarray, part: np.ndarray, size: np.ndarray, owner: np.ndarray, items: np.ndarray) -> list[tuple[int, int]]:
+        """Links of other members with those of the block, one for each two components that are not joined yet."""
+        n = len(self.ids)
+        if not n:
             return []
+        apart = np.bincount(owner, minlength=len(ids))
         at = np.minimum(np.searchsorted(self.item, items), len(self.item) - 1)
-        at = at[self.item[at] == items]
-        shared = np.bincount(self.owner[ragged(self.start[at], self.end[at] - self.start[at])], minlength=len(self.ids))
-        differ = self.apart + len(items) - 2 * shared
-        both = self.size + size
-        near = np.flatnonzero((100 * (both - differ) >= self.percent * (both + differ)) & (self.part != part) & (self.ids != own))
+        known = self.item[at] == items
+        at, owner = at[known], owner[known]
+        count = self.count[at]
+        shared = np.bincount(np.repeat(owner, count) * n + self.owner[ragged(self.start[at], count)], minlength=len(ids) * n).reshape(len(ids), n)
+        differ = self.apart + apart[:, None] - 2 * shared
+        both = self.size + size[:, None]
+        near = ((100 + self.percent) * differ <= (100 - self.percent) * both) & (self.part != part[:, None]) & (self.ids != ids[:, None])
         out = []
-        for k in near.tolist():
-            a, b = self.find(int(self.part[k])), self.find(part)
+        for r, k in zip(*(x.tolist() for x in np.nonzero(near))):
+            a, b = self.find(int(self.part[k])), self.find(int(part[r]))
             if a != b:
                 self.root[max(a, b)] = min(a, b)
-                out.append((int(self.ids[k]), own))
+                out.append((int(self.ids[k]), int(ids[r])))
         return out
 
 

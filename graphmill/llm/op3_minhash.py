@@ -151,7 +151,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     odd = not several.isEmpty()
     nodes = linkable.select("doc_id", "h1", "h2", "n_shingles")
     if odd:
-        nodes = nodes.join(several.withColumn("odd", F.lit(True)), "doc_id", "left").withColumn("id", F.when("odd", F.xxhash64("doc_id", "h1", "h2")).otherwise(F.col("doc_id"))).drop("odd")
+        nodes = nodes.join(several.withColumn("odd", F.lit(True)), "doc_id", "left").withColumn("id", F.when(F.col("odd"), F.xxhash64("doc_id", "h1", "h2")).otherwise(F.col("doc_id"))).drop("odd")
     else:
         nodes = nodes.withColumn("id", F.col("doc_id"))
     same = nodes.groupBy("h1", "h2", "n_shingles").agg(F.min(F.struct("id", "doc_id")).alias("x")).select("h1", "h2", "n_shingles", "x.id", F.col("x.doc_id").alias("of"))
