@@ -143,8 +143,8 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     return raw.select(case(0).alias("candidate"), case(1).alias("before"), pick(["src/app", "src/main", "web", "config", "tests/unit", "docs/guide"], 8).alias("path"), case(2).alias("secret"), case(3).alias("after"))
 
 
-def trained_score(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = 5):
-    """Functions (candidate, before, path, after) -> features -> Column: mean share of secrets in the leaves that the trees end in."""
+def trained_forest(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = 5) -> list[tuple]:
+    """Trees as nested tuples: (share of secrets,) at a leaf, else (feature, threshold, left, right)."""
     x = findings.where("candidate is not null and secret in (0, 1)")
     x = x.select(F.col("secret").cast("double").alias("label"), *(c.alias(n) for c, n in zip(features(F.col("candidate"), F.col("before"), F.col("path"), F.col("after") if "after" in x.columns else F.lit("")), FEATURES)))
     model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt", featuresCol="x").fit(VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(x))
@@ -156,7 +156,21 @@ def trained_score(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, s
         s = node.split()
         return s.featureIndex(), s.threshold(), read(node.leftChild()), read(node.rightChild())
 
-    forest = [read(t._call_java("rootNode")) for t in model.trees]
+    return [read(t._call_java("rootNode")) for t in model.trees]
+
+
+#: The forest of labelled_findings(), which depends on no table; trained once in a driver.
+_BY_RULE: list[list[tuple]] = []
+
+
+def rule_forest(spark: SparkSession) -> list[tuple]:
+    if not _BY_RULE:
+        _BY_RULE.append(trained_forest(labelled_findings(spark)))
+    return _BY_RULE[0]
+
+
+def scored_by(forest: list[tuple]):
+    """Functions (candidate, before, path, after) -> features -> Column: mean share of secrets in the leaves that the trees end in."""
 
     def column(node: tuple, f: Column) -> Column:
         if len(node) == 1:
@@ -194,7 +208,7 @@ def _scored(docs: DataFrame, path: str, findings: DataFrame | None) -> DataFrame
 
     Projections one upon the other, so that nothing is computed twice.
     """
-    features_of, score_of = trained_score(findings if findings is not None else labelled_findings(docs.sparkSession))
+    features_of, score_of = scored_by(trained_forest(findings) if findings is not None else rule_forest(docs.sparkSession))
     where = F.col(path) if path in docs.columns else F.lit(None)
     d = docs.select(F.struct("*").alias("row"), F.col("text").alias("text"), where.cast("string").alias("path"), F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("lines"))
     d = d.withColumn("p", F.transform("lines", occurrences))
