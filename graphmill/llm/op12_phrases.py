@@ -41,7 +41,7 @@ from graphmill.operators.scratch import Scratch
 
 LEAST, LONGER_PERCENT, MOST = 10, 50, 2000
 UNKNOWN = "und"
-BLOCK, RUN, RANGE, FAN = 2 << 20, 1 << 20, 1 << 20, 8
+BLOCK, RUN, RANGE, FAN = 1 << 20, 1 << 18, 1 << 19, 8
 ID_BITS, HALF = 40, 20
 _U = np.uint64
 _WORD, _BLANK, _STOP = range(3)
@@ -341,8 +341,6 @@ def mine_phrases(docs: DataFrame, least: int = LEAST, percent: int = LONGER_PERC
     totals = blocks.groupBy("lang").agg(F.sum("n_words").alias("n"))
     bits = ranges_for(sum(r["n"] for r in totals.agg(F.sum("n").alias("n")).collect() if r["n"]))
     words = dictionary(blocks, scratch, least)
-    keys = scratch.keep(dealt_keys(with_numbers(blocks, words), bits))
-    phrases = scratch.keep(candidates(counted(keys, least)))
-    scratch.drop(keys)
+    phrases = scratch.keep(candidates(counted(dealt_keys(with_numbers(blocks, words), bits), least)))
     rows = scratch.keep(scored(phrases, words, percent))
     return best(rows, most).join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
