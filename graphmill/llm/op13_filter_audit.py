@@ -81,7 +81,8 @@ def candidates(blocks: DataFrame, scratch: Scratch) -> DataFrame:
 def copies(docs: DataFrame, blocks: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, sig) of the rows whose text a smaller doc_id has; blocks: kept rows of with_blocks."""
     maybe = scratch.keep(candidates(blocks, scratch))
-    texts = with_blocks(docs).select("doc_id", "sig", "text").join(maybe, ["doc_id", "sig"], "left_semi")
+    # a merge join at every size: the candidates grow with the corpus
+    texts = with_blocks(docs).select("doc_id", "sig", "text").join(maybe.hint("merge"), ["doc_id", "sig"], "left_semi")
     first = texts.groupBy("sig", "text").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "sig")
     return maybe.join(scratch.keep(first), ["doc_id", "sig"], "left_anti")
 
