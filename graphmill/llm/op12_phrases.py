@@ -338,9 +338,13 @@ def mine_phrases(docs: DataFrame, least: int = LEAST, percent: int = LONGER_PERC
     """lang, rank, phrase, a, l, r, n, score of the best phrases of each language."""
     scratch = Scratch(docs.sparkSession, "phrases")
     blocks = scratch.keep(encoded_blocks(docs))
-    totals = blocks.groupBy("lang").agg(F.sum("n_words").alias("n"))
+    totals = scratch.keep(blocks.groupBy("lang").agg(F.sum("n_words").alias("n")))
     bits = ranges_for(sum(r["n"] for r in totals.agg(F.sum("n").alias("n")).collect() if r["n"]))
     words = dictionary(blocks, scratch, least)
-    phrases = scratch.keep(candidates(counted(dealt_keys(with_numbers(blocks, words), bits), least)))
+    # written, so that the shuffles of the join are gone when the keys are dealt
+    numbered = scratch.keep(with_numbers(blocks, words))
+    scratch.drop(blocks)
+    phrases = scratch.keep(candidates(counted(dealt_keys(numbered, bits), least)))
+    scratch.drop(numbered)
     rows = scratch.keep(scored(phrases, words, percent))
     return best(rows, most).join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
