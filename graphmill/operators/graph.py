@@ -219,3 +219,59 @@ def prune_dangling(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         own = nodes.where(F.col("end") == end) if "end" in nodes.columns else nodes
         out = out.join(own.select(F.col("id").alias(end)).distinct(), end, "left_semi")
     return out
+
+
+def cycles(edges: DataFrame, longest: int, skip_types: tuple[str, ...] = ()) -> DataFrame:
+    """(cycle, n): every simple cycle of up to `longest` nodes once, as the list of its nodes from the smallest one on.
+
+    edges: source, target and, where skip_types are given, type. Loops and parallel edges don't
+    count. Only edges within one strongly connected component can lie on a cycle; from
+    each smallest node paths grow by larger nodes, one join a step, and close where an edge leads back. The
+    number of paths depends on the graph, so `longest` is the feature's own bound.
+    """
+    scratch = Scratch(edges.sparkSession, "cycles")
+    e = edges.where(~F.col("type").isin(*skip_types) | F.col("type").isNull()) if skip_types else edges
+    e = scratch.keep(e.where("source <> target").select("source", "target").distinct())
+    part = strongly_connected(e)
+    at = lambda end: part.select(F.col("id").alias(end), F.col("component").alias(f"_{end}"))
+    e = scratch.keep(e.join(at("source"), "source").join(at("target"), "target").where("_source = _target").select("source", "target"))
+    paths = scratch.keep(e.where("source < target").select(F.col("source").alias("start"), F.col("target").alias("last"), F.array("source", "target").alias("cycle")))
+    back = e.select(F.col("source").alias("last"), F.col("target").alias("start"))
+    out = paths.join(back, ["last", "start"]).select("cycle")
+    for _ in range(2, longest):
+        step = paths.join(e.withColumnRenamed("source", "last"), "last").where(F.col("target") > F.col("start")).where(~F.array_contains("cycle", F.col("target")))
+        paths = scratch.keep(step.select("start", F.col("target").alias("last"), F.array_append("cycle", F.col("target")).alias("cycle")))
+        if paths.isEmpty():
+            break
+        out = out.unionByName(paths.join(back, ["last", "start"]).select("cycle"))
+    return out.select("cycle", F.size("cycle").alias("n"))
+
+
+def blast_radius(nodes: DataFrame, edges: DataFrame, partners: DataFrame, changed: DataFrame, depth: int = 5, min_confidence: float = 0.3) -> tuple[DataFrame, DataFrame]:
+    """What a change of files touches: (kind, file) and one row of risk and counts.
+
+    nodes: id, file, importance. edges: source, target, confidence_score of all relations, followed both
+    ways. partners: (file, partner) that change together. changed: file. kind is direct (one
+    step away), transitive (up to `depth` steps, and not direct) or missing (changes together with
+    a changed or touched file, and isn't changed). risk is the share of the important nodes
+    (over 0.5) that are reached outside the changed files; where no node is important, the share of touched files
+    in all nodes. Nodes without a file are passed through and not told.
+    """
+    scratch = Scratch(nodes.sparkSession, "blast")
+    changed = scratch.keep(changed.select("file").distinct())
+    e = edges.where(edge_confidence(edges) >= min_confidence)
+    start = nodes.join(changed, "file", "left_semi").select("id")
+    near = scratch.keep(reach(e, start, depth, undirected=True).join(nodes.select("id", "file", "importance"), "id").join(changed.withColumn("_own", F.lit(True)), "file", "left").where("depth > 0 and _own is null"))
+    kinds = near.where("file is not null and file <> ''").groupBy("file").agg(F.when(F.min("depth") == 1, "direct").otherwise("transitive").alias("kind"))
+    kinds = scratch.keep(kinds.select("kind", "file"))
+    seen = changed.unionByName(kinds.select("file"))
+    missing = partners.join(seen, "file", "left_semi").select(F.col("partner").alias("file")).distinct().join(changed, "file", "left_anti").where("file <> ''")
+    files = kinds.unionByName(missing.select(F.lit("missing").alias("kind"), "file"))
+    counts = files.agg(*(F.count_if(F.col("kind") == k).alias(k) for k in ("direct", "transitive", "missing")))
+    all_of = nodes.agg(F.count("*").alias("_n"), F.count_if(F.col("importance") > 0.5).alias("_important"))
+    hit = near.agg(F.count_if(F.col("importance") > 0.5).alias("_hit"))
+    # three tables of one row each
+    one = counts.join(F.broadcast(all_of)).join(F.broadcast(hit))
+    touched = F.col("direct") + F.col("transitive")
+    share = F.when(F.col("_important") > 0, F.col("_hit") / F.col("_important")).otherwise(touched / F.greatest(F.col("_n"), F.lit(1)))
+    return files, one.select(F.round(F.least(F.lit(1.0), share), 4).alias("risk"), touched.alias("total_affected"), "direct", "transitive", "missing")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +15,9 @@ from graphmill.functions import columns as c
 
 RRF_K = 60
 
+#: Minhashes of a label and how many make a band; the labels before it, by spelling, that a label meets in a bucket besides its first.
+HASHES, ROWS, WINDOW = 128, 5, 16
+
 
 def vector_search(rows: DataFrame, query_vec: list[float], k: int, vec: str = "embedding") -> DataFrame:
     """The k rows of highest cosine to one vector, which is a literal; top-k by the exact value without a full sort, similarity rounded after."""
@@ -74,19 +79,54 @@ def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b)])
 
 
-def blocked_pairs(labels: DataFrame, hashes: int = 128, rows: int = 5) -> DataFrame:
-    """(a, b) of labels(id, label) that share a band of minhashes of their 3-shingles: the blocking of entity resolution.
-
-    25 bands of five of the 128 minhashes: a pair of similarity 0.7 shares one with probability 0.99.
+def bands(labels: DataFrame, hashes: int = HASHES, rows: int = ROWS) -> DataFrame:
+    """(key, label, id): 25 bands of five of 128 minhashes over the 3-shingles of each label without blanks.
 
-    Equal labels are collapsed before, so a label that very many nodes carry makes one row.
+    Two labels of similarity 0.7 share a band with probability 0.99, and of 0.5 with 0.55.
     """
     s = c.shingles(F.regexp_replace("label", " ", ""))
-    sig = F.array(*(F.array_min(F.transform("s", lambda x, i=i: F.xxhash64(x, F.lit(i)))) for i in range(hashes)))
-    x = labels.select("id", s.alias("s")).select("id", sig.alias("m"))
-    bands = x.select("id", F.posexplode(F.array(*(F.xxhash64(F.slice("m", i + 1, rows)) for i in range(0, hashes - rows + 1, rows)))).alias("band", "key"))
-    a, b = bands.withColumnRenamed("id", "a"), bands.withColumnRenamed("id", "b")
-    return a.join(b, ["band", "key"]).where("a < b").select("a", "b").distinct()
+
+    def least(i: int):
+        # the function has one parameter: with two, transform() would pass the index as the second
+        return F.array_min(F.transform("s", lambda x: F.xxhash64(x, F.lit(i))))
+
+    sig = F.array(*(least(i) for i in range(hashes)))
+    x = labels.select("id", "label", s.alias("s")).select("id", "label", sig.alias("m"))
+    keys = F.array(*(F.xxhash64(F.lit(i), F.slice("m", i + 1, rows)) for i in range(0, hashes - rows + 1, rows)))
+    return x.select(F.explode(keys).alias("key"), "label", "id")
+
+
+def met_pairs(buckets: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(a, b): each id of a bucket with the bucket's first and with the `window` ids before it by spelling.
+
+    Up to window + 1 ids are all pairs of the bucket; a larger bucket is as many rows as ids times
+    window, so its pairs don't grow with its square. Buckets are sorted by ranges, so one of any size
+    spreads over tasks, each with a first of its own.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, first, last = None, None, []
+        for batch in batches:
+            a, b = [], []
+            for k, i in zip(batch.column("key").to_pylist(), batch.column("id").to_pylist()):
+                if k != key:
+                    key, first, last = k, i, [i]
+                    continue
+                near = last if first in last else [first, *last]
+                a += near
+                b += [i] * len(near)
+                last = [*last, i][-window:]
+            yield pa.RecordBatch.from_arrays([pa.array(a, batch.column("id").type), pa.array(b, batch.column("id").type)], ["a", "b"])
+
+    n = int(buckets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kind = buckets.schema["id"].dataType.simpleString()
+    pairs = buckets.repartitionByRange(n, "key", "label").sortWithinPartitions("key", "label").select("key", "id").mapInArrow(work, f"a {kind}, b {kind}")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def blocked_pairs(labels: DataFrame) -> DataFrame:
+    """(a, b) of labels(id, label) that meet in a band of minhashes: the blocking of entity resolution. Equal labels are collapsed before."""
+    return met_pairs(bands(labels))
 
 
 def resolve(labels: DataFrame, least: float = 0.92) -> DataFrame:

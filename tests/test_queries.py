@@ -41,6 +41,8 @@ def test_against_sql(spark, sf_dir, duck, name):
 OTHERS = {
     "arr1_dimension_merge": {"conv_id", "turn", "dims"},
     "er4_verified_pairs": {"a", "b", "score"},
+    "er_entity_chain": {"old", "new"},
+    "g11_communities": {"id", "community", "n"},
     "g11_label_propagation": {"id", "community"},
     "g13_community_remap": {"community", "final"},
     "g1c_betweenness": {"id", "betweenness"},
@@ -69,6 +71,17 @@ def test_others(spark, sf_dir, name):
         assert all(0 <= v <= 1 for v in value) and max(value) > 0
     if name == "er4_verified_pairs":
         assert all(x.a < x.b and 0.85 <= x.score <= 1 for x in rows)
+    if name == "g11_communities":
+        from graphmill.operators import community, graph
+        from graphmill.plans import codegraph
+
+        e = codegraph.edges(spark, sf_dir).withColumn("weight", 1 + 2 * codegraph.F.col("confidence_score"))
+        own = spark.createDataFrame(rows).select("id", "community")
+        assert community.modularity(own, e) >= community.modularity(graph.label_propagation(e), e) > -1
+        sizes = [n for _, n in sorted({(x.community, x.n) for x in rows})]
+        assert sizes == sorted(sizes, reverse=True) and sum(sizes) == len(rows)
+    if name == "er_entity_chain":
+        assert all(x.old != x.new for x in rows) and not {x.old for x in rows} & {x.new for x in rows}
     if name == "g13_community_remap":
         assert len({x.final for x in rows}) == len({x.community for x in rows}) == len(rows)
     if name == "w13_first_fit_chunks":
