@@ -5,17 +5,23 @@
    drops the keys that only one id has (members_of).
 2. Each bucket has a leader, the member that shares most with others, and each member is
    compared with it exactly: as many pairs as rows. Links give components.
-3. Where members of a leader are not linked with it and components differ, those that are not
-   linked with it are compared with all others, in blocks by hash of about BLOCK members and
-   ITEMS items. A task gets the leader's set and takes every member as its difference from it,
-   since |x ^ y| follows from |x ^ L|, |y ^ L| and what these two share. It holds one block as
-   posting lists, streams another past it, and returns only links that join components it has
-   not joined yet. So no link between two ids of a bucket is lost, no pair is ever a row,
-   and a task's memory is that of a block, whatever the size of the group.
+3. Where members of a leader are not linked with it and components differ, their sets are written as
+   differences from the leader's. |x ^ y| follows from |x ^ L|, |y ^ L| and what these two share, so a
+   link asks for a number of shared differences, and two members that can be linked share
+   one of the first differences of each, rarest of the group first (_open_buckets gives the
+   lengths of these beginnings). Members meet in buckets of such a difference only: strangers
+   under one leader differ from it in their own ways and don't meet. Members linked with the
+   leader that are close enough without a shared difference are one comparison with the
+   best of them.
+4. What meets in such a bucket is compared in blocks by hash of about BLOCK members and ITEMS
+   items. A task holds one block as posting lists, streams another past it, and returns only
+   links that join components it has not joined yet. So no link between two ids of a bucket is
+   lost, no pair is ever a row, and a task's memory is that of a block, whatever the size
+   of the group.
 
 Comparison streams over rows sorted by leader: the leader's set comes once for at most CROWD
-members, so a hot leader spreads over tasks. The work of step 3 is a group's unlinked
-members times its members, at some 50 ns each, spread over the square of its blocks.
+members, so a hot leader spreads over tasks. The work of step 4 is the square of the members that
+share a rare difference and are in different components, at some 50 ns each, over blocks.
 """
 
 from __future__ import annotations
@@ -132,17 +138,76 @@ def linked_components(rows: DataFrame, sets_for: Callable[[DataFrame], DataFrame
     links = met.where("linked").select(F.col("leader").alias("a"), F.col("id").alias("b"))
     parts = components(links if extra is None else links.unionByName(extra), scratch)
     placed = met.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    spans = placed.groupBy("leader").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.bool_and("linked").alias("all"), F.count("*").alias("n"), F.sum("size").alias("items"))
-    parted = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("items") / ITEMS)).alias("blocks")
-    open_pairs = placed.join(spans.where("lo < hi and not all").select("leader", parted), "leader")
-    open_pairs = scratch.keep(open_pairs.select("leader", "id", "linked", "component", "blocks"))
+    spans = placed.groupBy("leader").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.bool_and("linked").alias("all"))
+    open_pairs = placed.join(spans.where("lo < hi and not all").select("leader"), "leader")
+    open_pairs = scratch.keep(open_pairs.select("leader", "id", "linked", "component"))
     if open_pairs.isEmpty():
         return parts
-    more = scratch.keep(_across(open_pairs, sets, decode, percent))
+    diffs = scratch.keep(_differing(open_pairs, sets, decode))
     scratch.release()
-    if more.isEmpty():
+    more = [scratch.keep(_through_best(diffs, percent))]
+    buckets = scratch.keep(_open_buckets(diffs, percent, scratch))
+    if not buckets.isEmpty():
+        more.append(scratch.keep(_across(buckets, sets, decode, percent)))
+    scratch.release()
+    found = more[0] if len(more) == 1 else more[0].unionByName(more[1])
+    if found.isEmpty():
         return parts
-    return components(more.unionByName(parts.select(F.col("component").alias("a"), F.col("node").alias("b"))), scratch)
+    return components(found.unionByName(parts.select(F.col("component").alias("a"), F.col("node").alias("b"))), scratch)
+
+
+def _differing(members: DataFrame, sets: DataFrame, decode: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """(leader, id, linked, component, size, head, delta): the sizes of the two sets and the items in one of them only; members: leader, id, linked, component."""
+
+    def row(head: np.ndarray, items: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+        owner, flat = _differences(head, items, at)
+        n = len(at) - 1
+        return np.diff(at), np.full(n, len(head)), np.bincount(owner, minlength=n), flat[np.argsort(owner, kind="stable")].astype(np.int64)
+
+    def arrays(size: np.ndarray, head: np.ndarray, count: np.ndarray, flat: np.ndarray) -> list[pa.Array]:
+        return [pa.array(size), pa.array(head), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *count]).astype(np.int32)), pa.array(flat))]
+
+    return _beside_leaders(members, sets, decode, row, arrays, "leader long, id long, linked boolean, component long, size long, head long, delta array<long>", ["linked", "component"])
+
+
+def _through_best(diffs: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that follow from distances to the leader alone: of the members linked with it, the one that leaves most room is taken."""
+    room = _excess(percent)
+    best = diffs.where("linked").groupBy("leader").agg(F.min_by("id", F.struct(room.alias("e"), "id")).alias("best"), F.min(room).alias("best_room"))
+    return diffs.where("not linked").join(best, "leader").where(room + F.col("best_room") <= 0).select(F.col("best").alias("a"), F.col("id").alias("b"))
+
+
+def _excess(percent: int):
+    """(100 + percent) * differences - (100 - percent) * size: the sum of two members' values is what their shared differences must make up for, twice."""
+    return (100 + percent) * F.size("delta").cast("long") - (100 - percent) * F.col("size")
+
+
+def _open_buckets(diffs: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(leader, bucket, id, component, left, right, blocks): members that share a difference early enough to be linked.
+
+    With e = _excess, two members are linked only if they share o >= (e + e') / (2 * (100 +
+    percent)) differences, so one of the first d - o + 1 of each in any one order. Of a member not linked
+    with the leader e is over (100 - percent) * head. So against such a member o is over (e + (100 -
+    percent) * head) / (2 * (100 + percent)); against a linked one, which has no more differences than
+    it can share, the first (100 - percent) / percent * size + 1 are enough. A bucket is a
+    difference and which of the two it is for.
+    """
+    e, d = _excess(percent), F.size("delta")
+    least = F.greatest(F.lit(1), F.floor((e + (100 - percent) * F.col("head")) / (2 * (100 + percent))) + 1)
+    far, near = d - least + 1, F.least(d, F.floor((100 - percent) * F.col("size") / percent) + 1)
+    x = diffs.select("leader", "id", "linked", "component", F.explode("delta").alias("item"))
+    shared = scratch.keep(x.groupBy("leader", "item").agg(F.count("*").alias("n")).where("n > 1"))
+    # items of one member come first in its order and meet nobody: only their number counts
+    seen = x.join(shared, ["leader", "item"]).groupBy("leader", "id").agg(F.array_sort(F.collect_list(F.struct("n", "item"))).alias("order"))
+    own = diffs.join(seen, ["leader", "id"]).withColumn("alone", d - F.size("order"))
+    first = lambda n: F.slice("order", 1, F.greatest(n - F.col("alone"), F.lit(0)).cast("int"))
+    rows = lambda when, n, kind, left, right: own.where(when).select("leader", "id", "component", F.explode(first(n)).alias("x")).select("leader", "id", "component", F.xxhash64("x.item", F.lit(kind)).alias("bucket"), F.lit(left).alias("left"), F.lit(right).alias("right"))
+    both = rows("not linked", far, 0, True, True).unionByName(rows("not linked", near, 1, True, False)).unionByName(rows("linked", far, 1, False, True))
+    both = scratch.keep(both)
+    size = both.join(diffs.select("leader", "id", "size"), ["leader", "id"])
+    some = size.groupBy("leader", "bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count_if("left").alias("l"), F.count_if("right").alias("r"), F.count("*").alias("n"), F.sum("size").alias("items"))
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("items") / ITEMS)).alias("blocks")
+    return both.join(some.where("lo < hi and l > 0 and r > 0 and n > 1").select("leader", "bucket", blocks), ["leader", "bucket"])
 
 
 def _decoded(batch: pa.RecordBatch, decode: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -156,19 +221,34 @@ def _decoded(batch: pa.RecordBatch, decode: Callable[[pa.Array], tuple[np.ndarra
 
 def _streamed(pairs: DataFrame, sets: DataFrame, decode: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], percent: int) -> DataFrame:
     """(leader, id, linked, size) of each pair (leader, id); size is that of the set of id."""
+
+    def row(head: np.ndarray, items: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+        hit = head[np.minimum(np.searchsorted(head, items), len(head) - 1)] == items if len(head) else np.zeros(len(items), bool)
+        sums = np.zeros(len(items) + 1, np.int64)
+        np.cumsum(hit, out=sums[1:])
+        common, size = sums[at[1:]] - sums[at[:-1]], np.diff(at)
+        return 100 * common >= percent * (len(head) + size - common), size
+
+    return _beside_leaders(pairs, sets, decode, row, lambda *x: [pa.array(y) for y in x], "leader long, id long, linked boolean, size long")
+
+
+def _beside_leaders(pairs: DataFrame, sets: DataFrame, decode: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], row: Callable, arrays: Callable, schema: str, more: list[str] | None = None) -> DataFrame:
+    """leader, id, the columns `more` of pairs and what row(leader's set, items of members, where each starts) makes of them, as arrays() puts it."""
+    more = more or []
     crowd = pairs.groupBy("leader").agg(F.ceil(F.count("*") / CROWD).alias("salts"))
     many = crowd.where("salts > 1")
     salt = F.coalesce(F.pmod(F.xxhash64("id"), F.col("salts")), F.lit(0))
-    own = pairs.join(many, "leader", "left").select("leader", salt.cast("long").alias("salt"), F.lit(1).alias("kind"), "id").join(sets, "id")
-    heads = crowd.select("leader", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("leader").alias("id")).join(sets, "id")
-    columns = ["leader", "salt", "kind", "id", "items"]
+    own = pairs.join(many, "leader", "left").select("leader", salt.cast("long").alias("salt"), F.lit(1).alias("kind"), "id", *more).join(sets, "id")
+    none = [F.lit(None).cast(pairs.schema[c].dataType).alias(c) for c in more]
+    heads = crowd.select("leader", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("leader").alias("id"), *none).join(sets, "id")
+    columns = ["leader", "salt", "kind", "id", *more, "items"]
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None, np.zeros(0, np.uint64)
         for whole in batches:
             for batch, flat, at in _decoded(whole, decode):
-                leader, member, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("leader", "kind", "id"))
-                n = np.diff(at)
+                leader, member = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("leader", "kind"))
                 start = np.flatnonzero(np.append(True, leader[1:] != leader[:-1]) | (member == 0))
                 out = []
                 for lo, hi in zip(start.tolist(), [*start[1:].tolist(), len(leader)]):
@@ -179,50 +259,45 @@ def _streamed(pairs: DataFrame, sets: DataFrame, decode: Callable[[pa.Array], tu
                         continue
                     if held[0] != leader[lo]:
                         raise ValueError("a leader without a set")
-                    head, size, items = held[1], n[lo:hi], flat[at[lo] : at[hi]]
-                    hit = head[np.minimum(np.searchsorted(head, items), len(head) - 1)] == items if len(head) else np.zeros(len(items), bool)
-                    sums = np.zeros(len(items) + 1, np.int64)
-                    np.cumsum(hit, out=sums[1:])
-                    edge = at[lo : hi + 1] - at[lo]
-                    common = sums[edge[1:]] - sums[edge[:-1]]
-                    out.append((leader[lo:hi], ids[lo:hi], 100 * common >= percent * (len(head) + size - common), size))
+                    out.append(row(held[1], flat[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["leader", "id", "linked", "size"])
+                    own = batch.filter(pa.array(member == 1))
+                    yield pa.RecordBatch.from_arrays([*(own.column(c) for c in ("leader", "id", *more)), *arrays(*map(np.concatenate, zip(*out)))], names)
 
     n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = heads.select(columns).unionByName(own.select(columns)).repartition(n, "leader", "salt").sortWithinPartitions("leader", "salt", "kind")
-    return dealt.mapInArrow(work, "leader long, id long, linked boolean, size long")
+    return dealt.mapInArrow(work, schema)
 
 
 def _across(members: DataFrame, sets: DataFrame, decode: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], percent: int) -> DataFrame:
-    """Links (a, b) between components, enough to join them, from members(leader, id, linked, component, blocks)."""
+    """Links (a, b) between components, enough to join them, from members(leader, bucket, id, component, left, right, blocks): those on the left are compared with those on the right."""
     block = F.pmod(F.xxhash64("id"), F.col("blocks"))
     every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
-    columns = ["leader", "i", "j", "kind", "id", "component", "items"]
+    columns = ["leader", "bucket", "i", "j", "kind", "id", "component", "items"]
     m = members.join(sets, "id")
-    head = members.select("leader", "blocks").distinct().join(sets.withColumnRenamed("id", "leader"), "leader")
-    head = head.select("leader", F.explode(every).alias("i"), every.alias("_j"), "items").select("leader", "i", F.explode("_j").alias("j"), F.lit(0).alias("kind"), F.col("leader").alias("id"), F.col("leader").alias("component"), "items")
-    left = m.where("not linked").select("leader", block.alias("i"), F.explode(every).alias("j"), F.lit(1).alias("kind"), "id", "component", "items")
-    right = m.select("leader", F.explode(every).alias("i"), block.alias("j"), F.lit(2).alias("kind"), "id", "component", "items")
+    head = members.select("leader", "bucket", "blocks").distinct().join(sets.withColumnRenamed("id", "leader"), "leader")
+    head = head.select("leader", "bucket", F.explode(every).alias("i"), every.alias("_j"), "items").select("leader", "bucket", "i", F.explode("_j").alias("j"), F.lit(0).alias("kind"), F.col("leader").alias("id"), F.col("leader").alias("component"), "items")
+    left = m.where("left").select("leader", "bucket", block.alias("i"), F.explode(every).alias("j"), F.lit(1).alias("kind"), "id", "component", "items")
+    right = m.where("right").select("leader", "bucket", F.explode(every).alias("i"), block.alias("j"), F.lit(2).alias("kind"), "id", "component", "items")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, head, held, block = None, None, [], None
         for whole in batches:
             for batch, flat, at in _decoded(whole, decode):
-                key = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("leader", "i", "j", "kind")], 1)
+                key = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("leader", "bucket", "i", "j", "kind")], 1)
                 ids, part = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "component"))
                 cuts = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(1)))
                 found = []
                 for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(key)]):
-                    if tuple(key[lo, :3]) != group:
-                        group, head, held, block = tuple(key[lo, :3]), None, [], None
-                    if key[lo, 3] == 0:
+                    if tuple(key[lo, :4]) != group:
+                        group, head, held, block = tuple(key[lo, :4]), None, [], None
+                    if key[lo, 4] == 0:
                         head = flat[at[lo] : at[lo + 1]].copy()
                         continue
                     for a in range(lo, hi, ABREAST):
                         b = min(a + ABREAST, hi)
                         rows = ids[a:b], part[a:b], np.diff(at[a : b + 1]), *_differences(head, flat[at[a] : at[b]], at[a : b + 1] - at[a])
-                        if key[lo, 3] == 1:
+                        if key[lo, 4] == 1:
                             held.append(rows)
                             continue
                         if block is None:
@@ -233,7 +308,7 @@ def _across(members: DataFrame, sets: DataFrame, decode: Callable[[pa.Array], tu
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
 
     n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = head.select(columns).unionByName(left.select(columns)).unionByName(right.select(columns)).repartition(n, "leader", "i", "j").sortWithinPartitions("leader", "i", "j", "kind")
+    dealt = head.select(columns).unionByName(left.select(columns)).unionByName(right.select(columns)).repartition(n, "leader", "bucket", "i", "j").sortWithinPartitions("leader", "bucket", "i", "j", "kind")
     return dealt.mapInArrow(work, "a long, b long")
 
 
