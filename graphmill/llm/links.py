@@ -5,19 +5,20 @@
    drops the keys that only one id has (members_of).
 2. Each bucket has a leader, the member that shares most with others, and each member is
    compared with it exactly: as many pairs as rows. Links give components.
-3. Where members of a leader are not linked with it and components differ, their sets are written as
-   differences from the leader's. |x ^ y| follows from |x ^ L|, |y ^ L| and what these two share, so a
-   link asks for a number of shared differences, and two members that can be linked share
-   one of the first differences of each, rarest of the group first (_open_buckets gives the
-   lengths of these beginnings). Members meet in buckets of such a difference only: strangers
-   under one leader differ from it in their own ways and don't meet. Members linked with the
-   leader that are close enough without a shared difference are one comparison with the
-   best of them.
-4. What meets in such a bucket is compared in blocks by hash of about BLOCK members and ITEMS
-   items. A task holds one block as posting lists, streams another past it, and returns only
-   links that join components it has not joined yet. So no link between two ids of a bucket is
-   lost, no pair is ever a row, and a task's memory is that of a block, whatever the size
-   of the group.
+3. Where members of a leader are not linked with it and components differ, those that are not
+   linked with it are compared with all others, in one task if they are about BLOCK members or
+   ITEMS items at most. A task takes every member as its difference from the leader's set, since
+   |x ^ y| follows from |x ^ L|, |y ^ L| and what these two share. It holds posting lists of one
+   side, streams the other past them, and returns only links that join components it has not
+   joined yet: no pair ever is a row.
+4. Larger groups are not compared as a whole. A link asks for a number of shared differences, so two
+   members that can be linked share one of the first differences of each, rarest of the group
+   first (_open_buckets gives the lengths of these beginnings). Members meet in buckets of such a
+   difference only, and are compared there as in 3, in blocks by hash where a bucket is larger than a block.
+   Strangers under one leader differ from it in their own ways and don't meet. Members linked with the
+   leader that are close enough without a shared difference are one comparison with the best of
+   them. So no link between two ids of a bucket is lost, and a task's memory is that of a
+   block, whatever the size of the group.
 
 Comparison streams over rows sorted by leader: the leader's set comes once for at most CROWD
 members, so a hot leader spreads over tasks. The work of step 4 is the square of the members that
@@ -138,22 +139,27 @@ def linked_components(rows: DataFrame, sets_for: Callable[[DataFrame], DataFrame
     links = met.where("linked").select(F.col("leader").alias("a"), F.col("id").alias("b"))
     parts = components(links if extra is None else links.unionByName(extra), scratch)
     placed = met.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    spans = placed.groupBy("leader").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.bool_and("linked").alias("all"))
-    open_pairs = placed.join(spans.where("lo < hi and not all").select("leader"), "leader")
-    open_pairs = scratch.keep(open_pairs.select("leader", "id", "linked", "component"))
+    spans = placed.groupBy("leader").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.bool_and("linked").alias("all"), F.count("*").alias("n"), F.sum("size").alias("items"))
+    parted = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("items") / ITEMS)).alias("blocks")
+    open_pairs = placed.join(spans.where("lo < hi and not all").select("leader", parted), "leader")
+    open_pairs = scratch.keep(open_pairs.select("leader", "id", "linked", "component", "blocks"))
     if open_pairs.isEmpty():
         return parts
-    diffs = scratch.keep(_differing(open_pairs, sets, decode))
+    # a group of one block is compared at once; in a larger one only those meet that share a rare difference
+    buckets = open_pairs.where("blocks <= 1").select("leader", F.lit(0).cast("long").alias("bucket"), "id", "component", (~F.col("linked")).alias("left"), F.lit(True).alias("right"), "blocks")
+    large = open_pairs.where("blocks > 1").select("leader", "id", "linked", "component")
+    found = []
+    if not large.isEmpty():
+        diffs = scratch.keep(_differing(large, sets, decode))
+        scratch.release()
+        found.append(scratch.keep(_through_best(diffs, percent)))
+        buckets = buckets.unionByName(_open_buckets(diffs, percent, scratch).select(buckets.columns))
+    found.append(scratch.keep(_across(scratch.keep(buckets), sets, decode, percent)))
     scratch.release()
-    more = [scratch.keep(_through_best(diffs, percent))]
-    buckets = scratch.keep(_open_buckets(diffs, percent, scratch))
-    if not buckets.isEmpty():
-        more.append(scratch.keep(_across(buckets, sets, decode, percent)))
-    scratch.release()
-    found = more[0] if len(more) == 1 else more[0].unionByName(more[1])
-    if found.isEmpty():
+    links = found[0] if len(found) == 1 else found[0].unionByName(found[1])
+    if links.isEmpty():
         return parts
-    return components(found.unionByName(parts.select(F.col("component").alias("a"), F.col("node").alias("b"))), scratch)
+    return components(links.unionByName(parts.select(F.col("component").alias("a"), F.col("node").alias("b"))), scratch)
 
 
 def _differing(members: DataFrame, sets: DataFrame, decode: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
