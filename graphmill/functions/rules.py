@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,14 +12,23 @@ def strip_urls(c: Column) -> Column:
     return F.regexp_replace(c, "(?i)https?://\\S+", " ")
 
 
-#: Letters with diacritics and what they stand for; fixed values of Unicode's decompositions.
-_MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-_PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+def _unmarked() -> tuple[str, str]:
+    """Every character whose canonical decomposition is another one and combining marks, and that other one."""
+    marked, plain = [], []
+    for i in (*range(0xC0, 0x250), *range(0x370, 0x530), *range(0x1E00, 0x2000)):
+        x = unicodedata.normalize("NFD", chr(i))
+        if len(x) > 1 and all(unicodedata.combining(m) for m in x[1:]):
+            marked.append(chr(i))
+            plain.append(x[0])
+    return "".join(marked), "".join(plain)
+
+
+_MARKED, _PLAIN = _unmarked()
 
 
 def strip_diacritics(c: Column) -> Column:
-    """Latin letters of a lower-case text without their marks; combining marks go."""
-    return F.regexp_replace(F.translate(c, _MARKED, _PLAIN), "\\p{M}+", "")
+    """A text of Latin, Greek or Cyrillic letters without their marks; combining marks go. Letters that are not composed, such as ł or ß, stay."""
+    return F.regexp_replace(F.translate(c, _MARKED, _PLAIN), "\\p{Mn}+", "")
 
 
 def host(c: Column) -> Column:

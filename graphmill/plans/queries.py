@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from graphmill.plans import analytics, codegraph, context, graphs, memory, relational, retrieval, rules, structure, textual  # noqa: F401
+from graphmill.plans import analytics, codegraph, context, graphs, memory, relational, retrieval, rules, service, structure, textual  # noqa: F401
 from graphmill.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401

@@ -16,9 +16,9 @@ def str10(spark, d):
     return t(spark, d, "pages").select("page_id", r.strip_urls(F.concat(F.lit("see "), F.col("url"), F.lit(" for more"))).alias("s"))
 
 
-@query("str11_diacritics", "select doc_id, strip_accents(lower(substr(text, 1, 400))) as s from documents where text is not null and lang <> 'de'")
+@query("str11_diacritics", "select doc_id, strip_accents(lower(text)) as s from documents where text is not null")
 def str11(spark, d):
-    return t(spark, d, "documents").where("text is not null and lang <> 'de'").select("doc_id", r.strip_diacritics(F.lower(F.substring("text", 1, 400))).alias("s"))
+    return t(spark, d, "documents").where("text is not null").select("doc_id", r.strip_diacritics(F.lower("text")).alias("s"))
 
 
 @query("str12_keys_and_hosts", "select page_id, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) as host, regexp_extract(upper('fix proj-' || page_id || ' now'), '([A-Z][A-Z0-9_]*-[0-9]+)', 1) as key from pages")
@@ -106,7 +106,7 @@ def map2(spark, d):
 
 @query("arr1_dimension_merge")
 def arr1(spark, d):
-    dims = F.split(F.substring("text", 1, 300), "[.!?]+ *")
+    dims = F.split("text", "[.!?]+ *")
     return t(spark, d, "conversations").select("conv_id", "turn", F.array_join(r.merged_dimensions(["correctness of the result", "security of inputs"], dims, 6), " | ").alias("dims"))
 
 
@@ -189,14 +189,14 @@ def f17(spark, d):
     o = t(spark, d, "orders")
     k = F.col("o_orderkey")
     parents = o.where("o_orderkey > 0").select(k.alias("source"), F.expr("o_orderkey div 2").alias("target")).unionByName(o.where("o_orderkey % 5 = 0 and o_orderkey > 32").select(k.alias("source"), (k - 32).alias("target")))
-    up = reach(parents, spark.range(900, 901), 1_000)
+    up = reach(parents, spark.range(900, 901))
     return o.where("o_orderdate < timestamp_ntz '1996-01-01'").join(up.select(F.col("id").alias("o_orderkey")), "o_orderkey", "left_semi").select(k.alias("branch"))
 
 
 @query("x16_unique_commits", """with recursive p as (select o_orderkey as id, o_orderkey // 2 as parent from orders where o_orderkey > 0), a as (select 900::bigint as id union select parent from a join p using (id)), b as (select 901::bigint as id union select parent from b join p using (id)) select id from a where id not in (select id from b)""")
 def x16(spark, d):
     e = t(spark, d, "orders").where("o_orderkey > 0").select(F.col("o_orderkey").alias("source"), F.expr("o_orderkey div 2").alias("target"))
-    return reach(e, spark.range(900, 901), 1_000).select("id").join(reach(e, spark.range(901, 902), 1_000).select("id"), "id", "left_anti")
+    return reach(e, spark.range(900, 901)).select("id").join(reach(e, spark.range(901, 902)).select("id"), "id", "left_anti")
 
 
 @query("f18_quoted_predicate", "select p_partkey from part where p_name || '''s' = 'red ring''s'")
