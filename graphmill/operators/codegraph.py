@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from graphmill.operators import graph as g
 from graphmill.operators.relational import last_match
+from graphmill.operators.community import numbered
 from graphmill.operators.scratch import Scratch
 
 BETWEENNESS_SOURCES, SEED = 50, 42
@@ -135,12 +136,17 @@ def one_repository(nodes: DataFrame) -> None:
         raise ValueError("nodes of several repositories can't be merged")
 
 
+#: Fixed value: a stem that ends in a letter, then a suffix of digits and letters or of two letters and more, the stem as long as it can be.
+VARIANT = "^(.*[a-z])([0-9]+[a-z]*|[a-z]{2,})$"
+#: Fixed value: labels shorter than this are told apart with care.
+SHORT = 12
+
+
 def variant_pair(a: Column, b: Column) -> Column:
-    """Short labels (under 12) of one stem and different suffixes, such as model numbers: never the same thing."""
-    pattern = "^(.*[a-z])([0-9]+[a-z]*|[a-z]{2,})$"
-    stem = lambda x: F.regexp_extract(x, pattern, 1)
-    tail = lambda x: F.regexp_extract(x, pattern, 2)
-    return (a != b) & (F.greatest(F.length(a), F.length(b)) < 12) & a.rlike(pattern) & b.rlike(pattern) & (stem(a) == stem(b)) & (tail(a) != tail(b))
+    """Short labels of one stem and different suffixes, such as model numbers: never the same thing."""
+    stem = lambda x: F.regexp_extract(x, VARIANT, 1)
+    tail = lambda x: F.regexp_extract(x, VARIANT, 2)
+    return (a != b) & (F.greatest(F.length(a), F.length(b)) < SHORT) & a.rlike(VARIANT) & b.rlike(VARIANT) & (stem(a) == stem(b)) & (tail(a) != tail(b))
 
 
 def short_label_blocked(a: Column, b: Column, score: Column) -> Column:
@@ -231,10 +237,10 @@ def stable_communities(new: DataFrame, old: DataFrame) -> DataFrame:
         done = sizes.select("community", F.lit(0).cast("long").alias("final")).limit(0)
     fresh = sizes.join(done, "community", "left_anti")
     # the k-th fresh community gets the k-th number that no matched one has; both lists are as long as there are communities
-    k = fresh.select("community", F.row_number().over(Window.orderBy(F.desc("n"), "least")).alias("k"))
+    k = numbered(fresh, [F.desc("n"), "least"], "k", scratch).select("community", "k")
     count = sizes.agg(F.count("*").alias("c"))
     free = count.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("c"))).alias("final")).join(done.select("final"), "final", "left_anti")
-    free = free.withColumn("k", F.row_number().over(Window.orderBy("final")))
+    free = numbered(free, ["final"], "k", scratch)
     return done.unionByName(k.join(free, "k").select("community", "final"))
 
 

@@ -9,6 +9,7 @@ from graphmill.functions import columns as c
 from graphmill.operators import codegraph as k
 from graphmill.operators import context as x
 from graphmill.operators import graph as g
+from graphmill.operators.community import numbered
 from graphmill.operators.scratch import Scratch
 from graphmill.plans.registry import query, table as t
 
@@ -102,7 +103,8 @@ def g12b(spark, d):
 @query("g13_community_remap")
 def g13(spark, d):
     new = t(spark, d, "part").select(F.col("p_partkey").alias("id"), F.element_at(F.split("p_brand", "#"), 2).cast("long").alias("community"))
-    old = t(spark, d, "part").select(F.col("p_partkey").alias("id"), F.dense_rank().over(Window.orderBy("p_type")).cast("long").alias("community"))
+    types = numbered(t(spark, d, "part").select("p_type").distinct(), ["p_type"], "_n", Scratch(spark, "types"))
+    old = t(spark, d, "part").join(types, "p_type").select(F.col("p_partkey").alias("id"), (F.col("_n") + 1).alias("community"))
     return k.stable_communities(new, old)
 
 
@@ -292,6 +294,7 @@ def er7(spark, d):
     return k.remapped(e, k.winners(n, "grp", "ord"))
 
 
+#: The pattern in this SQL is the fixed value codegraph.VARIANT.
 STEMS = "st as (select p_partkey as id, lower(split_part(p_name, ' ', 2)) || p_size as a, lower(split_part(p_name, ' ', 2)) || (p_size + 1) || case when p_partkey % 2 = 0 then 'x' else '' end as b from part)"
 
 

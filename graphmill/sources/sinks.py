@@ -9,8 +9,9 @@ from graphmill.operators.relational import upsert
 
 
 def write_graph(nodes: DataFrame, edges: DataFrame, path: str, force: bool = False, least: float = 0.5) -> bool:
-    """Writes both tables, unless the new node count is under `least` of the stored one; True if written."""
+    """Writes both tables as one folder that takes the place of the old one, unless the new node count is under `least` of the stored one; True if written."""
     spark = nodes.sparkSession
+    recover_folder(spark, path)
     try:
         before = spark.read.parquet(f"{path}/nodes").count()
     except Exception as e:  # no table yet
@@ -19,11 +20,40 @@ def write_graph(nodes: DataFrame, edges: DataFrame, path: str, force: bool = Fal
         before = 0
     if not force and nodes.count() < least * before:
         return False
-    nodes.write.mode("overwrite").parquet(f"{path}/nodes")
-    edges.write.mode("overwrite").parquet(f"{path}/edges")
+    nodes.write.mode("overwrite").parquet(f"{path}.next/nodes")
+    edges.write.mode("overwrite").parquet(f"{path}.next/edges")
+    swap_folder(spark, path)
     return True
 
 
+def swap_folder(spark: SparkSession, path: str) -> None:
+    """Puts the folder path.next in the place of path: the old one is moved aside first and deleted last. A move that fails is undone and raised."""
+    jvm = spark._jvm
+    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    fs = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at(f"{path}.next")):
+        raise OSError(f"{path}.next is not there")
+    there = fs.exists(at(path))
+    if there:
+        fs.delete(at(f"{path}.before"), True)
+        if not fs.rename(at(path), at(f"{path}.before")):
+            raise OSError(f"{path} could not be moved aside")
+    if not fs.rename(at(f"{path}.next"), at(path)):
+        if there:
+            fs.rename(at(f"{path}.before"), at(path))
+        raise OSError(f"{path}.next could not be moved to its place")
+    fs.delete(at(f"{path}.before"), True)
+
+
+def recover_folder(spark: SparkSession, path: str) -> None:
+    """Undoes a swap that died halfway: if path is gone and its older copy is there, that one comes back."""
+    jvm = spark._jvm
+    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    fs = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at(path)) and fs.exists(at(f"{path}.before")) and not fs.rename(at(f"{path}.before"), at(path)):
+        raise OSError(f"{path}.before could not be moved back")
+
+
 def cypher(edges: DataFrame) -> DataFrame:
     """One MERGE statement per edge, quotes and backslashes escaped."""
     safe = lambda c: F.regexp_replace(F.regexp_replace(F.col(c).cast("string"), "\\\\", "\\\\\\\\"), "'", "\\\\'")
@@ -36,13 +66,7 @@ def append_daily(events: DataFrame, path: str, ts: str = "ts") -> None:
 
 
 def upsert_table(spark: SparkSession, new: DataFrame, path: str, keys: list[str]) -> None:
-    """Rewrites the table at path into a sibling folder and swaps the folders: the old one is moved aside first and deleted last, so that at no time both are gone."""
-    old = spark.read.parquet(path)
-    upsert(old, new, keys).write.mode("overwrite").parquet(f"{path}.next")
-    jvm = spark._jvm
-    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
-    fs = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(at(f"{path}.before"), True)
-    fs.rename(at(path), at(f"{path}.before"))
-    fs.rename(at(f"{path}.next"), at(path))
-    fs.delete(at(f"{path}.before"), True)
+    """Rewrites the table at path into a sibling folder and swaps the folders, so that at no time both are gone; what an earlier run has left halfway is undone first."""
+    recover_folder(spark, path)
+    upsert(spark.read.parquet(path), new, keys).write.mode("overwrite").parquet(f"{path}.next")
+    swap_folder(spark, path)

@@ -3,6 +3,7 @@
 import json
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from graphmill.sources import files as f
@@ -84,3 +85,22 @@ def test_stream_equals_batch(spark, sf_dir, tmp_path):
     q.awaitTermination()
     batch = ev.daily_totals(spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")))
     assert sorted(map(tuple, spark.table("daily").collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_swap_that_died_halfway(spark, tmp_path):
+    """The older copy comes back, and a move that fails leaves the old table."""
+    t = str(tmp_path / "t")
+    one = spark.createDataFrame([(1, "a")], "k int, v string")
+    one.write.parquet(f"{t}.before")
+    s.upsert_table(spark, spark.createDataFrame([(2, "b")], "k int, v string"), t, ["k"])
+    assert sorted(tuple(x) for x in spark.read.parquet(t).collect()) == [(1, "a"), (2, "b")]
+    with pytest.raises(OSError, match="next is not there"):
+        s.swap_folder(spark, t)
+    assert spark.read.parquet(t).count() == 2
+
+
+def test_daily_folders(spark, tmp_path):
+    rows = spark.sql("select timestamp'2024-01-02 23:59:59' as ts, 'x' as tool union all select timestamp'2024-01-03 00:00:00', 'y'")
+    s.append_daily(rows, str(tmp_path / "d"))
+    s.append_daily(rows.limit(1), str(tmp_path / "d"))
+    assert {str(x.day): x["count"] for x in spark.read.json(str(tmp_path / "d")).groupBy("day").count().collect()} == {"2024-01-02": 2, "2024-01-03": 1}
