@@ -42,6 +42,7 @@ OTHERS = {
     "arr1_dimension_merge": {"conv_id", "turn", "dims"},
     "er4_verified_pairs": {"a", "b", "score"},
     "er_entity_chain": {"old", "new"},
+    "f8_ignored_paths": {"path", "ignored"},
     "g11_communities": {"id", "community", "n"},
     "g11_label_propagation": {"id", "community"},
     "g13_community_remap": {"community", "final"},
@@ -80,6 +81,12 @@ def test_others(spark, sf_dir, name):
         assert community.modularity(own, e) >= community.modularity(graph.label_propagation(e), e) > -1
         sizes = [n for _, n in sorted({(x.community, x.n) for x in rows})]
         assert sizes == sorted(sizes, reverse=True) and sum(sizes) == len(rows)
+    if name == "f8_ignored_paths":
+        from test_rules_symbols import brute_ignored
+
+        from graphmill.plans.structure import RULE_FILES
+
+        assert {x.path: x.ignored for x in rows} == {x.path: brute_ignored(x.path, dict(RULE_FILES)) for x in rows} and len({x.ignored for x in rows}) == 2
     if name == "er_entity_chain":
         assert all(x.old != x.new for x in rows) and not {x.old for x in rows} & {x.new for x in rows}
     if name == "g13_community_remap":
