@@ -60,8 +60,10 @@ def a30(spark, d):
 
 @query("a32_benchmark_groups", """with x as (select d.lang, d.source, l.quality, l.toxic from documents d join labels l using (doc_id)) select lang, source, count(*) as n, round(avg(quality), 4) as raw, round(avg(1 - toxic), 4) as boosted, round(avg(1 - toxic) - avg(quality), 4) as gain from x group by grouping sets ((), (lang), (source))""")
 def a32(spark, d):
-    t(spark, d, "documents").join(t(spark, d, "labels"), "doc_id").createOrReplaceTempView("_graded")
-    return spark.sql("select lang, source, count(*) as n, round(avg(quality), 4) as raw, round(avg(1 - toxic), 4) as boosted, round(avg(1 - toxic) - avg(quality), 4) as gain from _graded group by grouping sets ((), (lang), (source))")
+    graded = t(spark, d, "documents").join(t(spark, d, "labels"), "doc_id")
+    raw, boosted = F.avg("quality"), F.avg(1 - F.col("toxic"))
+    sets = graded.groupingSets([[], [F.col("lang")], [F.col("source")]], F.col("lang"), F.col("source"))
+    return sets.agg(F.count("*").alias("n"), F.round(raw, 4).alias("raw"), F.round(boosted, 4).alias("boosted"), F.round(boosted - raw, 4).alias("gain"))
 
 
 @query("a33_rubric_grade", "select doc_id, round((3 * (contains(lower(text), 'the'))::int + 2 * (contains(lower(text), 'tion') or contains(lower(text), 'ung'))::int + (contains(lower(text), 'license'))::int) / 6.0::double, 4) as grade from documents")

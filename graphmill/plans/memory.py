@@ -174,3 +174,22 @@ def mth1(spark, d):
     e = t(spark, d, "embeddings")
     p = e.select("vec_id", F.col("embedding").alias("a")).join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("b")), "vec_id")
     return p.select("vec_id", F.round(c.cosine_distance(F.col("a"), F.col("b")), 6).alias("distance"))
+
+
+@query("st345_after_events", """with n as (select distinct user_id as key, user_id % 7 as pattern, 0.25::double as confidence from events where user_id is not null),
+e as (select user_id as key, (event_id * 7) % 40 as actor, case event_type when 'view' then 'reinforced' when 'click' then 'verified' else 'negated' end as kind, ts, event_id as id from events where user_id is not null and (event_type = 'view' and event_id % 3 = 0 or event_type = 'click' and event_id % 11 = 0 or event_type = 'error' and event_id % 23 = 0)),
+u as (select key, actor, min(row(ts, id)) as first from e where kind = 'reinforced' group by 1, 2), c as (select key, count(*) as usage from u group by 1),
+o as (select key, count(*) filter (kind = 'verified') as confirmations, count(*) filter (kind = 'negated') as no, max(row(ts, id)) filter (kind = 'verified') as v, max(row(ts, id)) filter (kind = 'negated') as ng, max(row(ts, id)) filter (kind in ('reinforced', 'negated')) as st from e group by 1),
+s as (select a.key, count(distinct b.key) as siblings from u a join u b on a.actor = b.actor and a.key <> b.key and a.key % 7 = b.key % 7 group by 1),
+h as (select u.actor as key, count(*) as hits from e join u on u.key = e.key left join o on o.key = u.actor where e.kind = 'negated' and u.first < row(e.ts, e.id) and (o.st is null or row(e.ts, e.id) > o.st) group by 1)
+select n.key, coalesce(usage, 0) as usage, coalesce(confirmations, 0) as confirmations, greatest(confidence, case when usage >= 10 then 1.0 when usage >= 5 then 0.75 else 0.0 end, least(1.0, 0.25 * coalesce(confirmations, 0)))::double as confidence, coalesce(no, 0) > 0 as negated, v is not null and (ng is null or v > ng) as verified,
+  round(greatest(0.0, greatest(0.0, least(1.0, least(1.0, 0.15::double * coalesce(usage, 0)) + least(0.3, 0.05::double * coalesce(siblings, 0)) - case when coalesce(no, 0) > 0 then 0.4 else 0.0 end)) - 0.05::double * coalesce(hits, 0)), 4)::double as boost
+from n left join o using (key) left join c using (key) left join s using (key) left join h using (key)""")
+def st345(spark, d):
+    e = t(spark, d, "events").where("user_id is not null")
+    i = F.col("event_id")
+    kind = F.when(F.col("event_type") == "view", "reinforced").when(F.col("event_type") == "click", "verified").otherwise("negated")
+    chosen = e.where("event_type = 'view' and event_id % 3 = 0 or event_type = 'click' and event_id % 11 = 0 or event_type = 'error' and event_id % 23 = 0")
+    events = chosen.select(F.col("user_id").alias("key"), (i * 7 % 40).alias("actor"), kind.alias("kind"), F.col("ts").alias("at"), i.alias("id"))
+    entries = e.select(F.col("user_id").alias("key"), (F.col("user_id") % 7).alias("pattern"), F.lit(0.25).alias("confidence")).distinct()
+    return m.after_events(entries, events)
