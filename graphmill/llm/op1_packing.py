@@ -5,7 +5,9 @@ bit of the rest, longest first. Pieces of equal length form a bucket; a training
 drawn from one bucket, so a sequence is one piece, holds one document and needs no padding.
 
 Nulls and odd cases: null or empty text is the end mark alone; a null doc_id stays null;
-repeated rows are packed each by itself; columns besides doc_id and text are ignored.
+repeated rows are packed each by itself; an empty table gives no piece; columns besides doc_id and
+text are ignored. A very long text gives many pieces; it is a block of its own, and a task needs
+some 60 bytes for each of its characters.
 """
 
 from __future__ import annotations

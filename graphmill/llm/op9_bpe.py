@@ -8,8 +8,9 @@ pair is compatible when byte-pair merging never merges across their boundary. Ea
 stores that token; following the stored tokens back from the end gives the ids.
 
 Nulls and odd cases: null or empty text gives no ids and an empty decoded text; a null
-doc_id stays null; repeated rows are encoded each by itself; columns besides doc_id and
-text are ignored.
+doc_id stays null; repeated rows are encoded each by itself; an empty table gives no row;
+columns besides doc_id and text are ignored. A very long text is a block of its own, and a task
+needs some 60 bytes for each of its characters.
 """
 
 from __future__ import annotations
