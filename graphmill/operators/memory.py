@@ -6,14 +6,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def siblings(entries: DataFrame) -> DataFrame:
-    """(id, siblings): how many other entries of the same pattern share a citation. entries: id, pattern, citations.
+#: So many siblings give the whole share of a boost; more change nothing.
+SIBLINGS = 6
 
-    Entries meet by (pattern, citation), and are counted once for each other entry.
+
+def siblings(entries: DataFrame, most: int | None = None) -> DataFrame:
+    """(id, siblings): how many other entries of the same pattern share a citation; with `most`, the smaller of that and `most`. entries: id, pattern, citations.
+
+    Entries meet by (pattern, citation), and are counted once for each other entry. Where only
+    counts up to `most` matter, a meeting of more than `most` entries gives each of them `most` at once, so only
+    smaller ones make pairs: at most `most` rows for each citation, not the square of a meeting.
     """
     x = entries.select("id", "pattern", F.explode(F.array_distinct("citations")).alias("cited"))
-    other = x.select(F.col("id").alias("other"), "pattern", "cited")
-    return x.join(other, ["pattern", "cited"]).where("id <> other").select("id", "other").distinct().groupBy("id").agg(F.count("*").alias("siblings"))
+    if most is None:
+        small, full = x, None
+    else:
+        sized = x.distinct().join(x.distinct().groupBy("pattern", "cited").agg(F.count("*").alias("_n")), ["pattern", "cited"])
+        small = sized.where(F.col("_n") <= most).select("id", "pattern", "cited")
+        full = sized.where(F.col("_n") > most).select("id", F.lit(most).cast("long").alias("siblings"))
+    other = small.select(F.col("id").alias("other"), "pattern", "cited")
+    met = small.join(other, ["pattern", "cited"]).where("id <> other").select("id", "other").distinct().groupBy("id").agg(F.count("*").alias("siblings"))
+    if full is None:
+        return met
+    return met.unionByName(full).groupBy("id").agg(F.least(F.max("siblings"), F.lit(most).cast("long")).alias("siblings"))
 
 
 def boost(usage: Column, related: Column, negated: Column) -> Column:
@@ -116,7 +131,7 @@ def after_events(entries: DataFrame, events: DataFrame) -> DataFrame:
     last = lambda *kinds: F.max(F.when(F.col("kind").isin(*kinds), when))
     own = e.groupBy("key").agg(F.count_if(F.col("kind") == "verified").alias("confirmations"), F.count_if(F.col("kind") == "negated").alias("_no"), last("verified").alias("_v"), last("negated").alias("_n"), last("reinforced", "negated").alias("_set"))
     cited = uses.join(entries.select("key", "pattern"), "key").groupBy(F.col("key").alias("id"), "pattern").agg(F.collect_list("actor").alias("citations"))
-    near = siblings(cited).select(F.col("id").alias("key"), "siblings")
+    near = siblings(cited, SIBLINGS).select(F.col("id").alias("key"), "siblings")
     # one row for each negation and each entry that had used the negated one before
     hits = e.where("kind = 'negated'").select("key", when.alias("then")).join(uses, "key").where(F.col("first") < F.col("then")).select(F.col("actor").alias("key"), "then")
     hits = hits.join(own.select("key", "_set"), "key", "left").where(F.col("_set").isNull() | (F.col("then") > F.col("_set"))).groupBy("key").agg(F.count("*").alias("_hits"))

@@ -29,7 +29,7 @@ def j21(spark, d):
 @query("a20_cross_reference_boost", f"with {ENTRIES} select en.id, round(greatest(0.0::double, least(1.0::double, least(1.0::double, 0.15::double * usage) + least(0.3::double, 0.05::double * coalesce(siblings, 0)) - case when negated then 0.4::double else 0.0::double end)), 6) as boost from en left join sb using (id)")
 def a20(spark, d):
     e = entries(spark, d)
-    return e.join(m.siblings(e), "id", "left").select("id", F.round(m.boost(F.col("usage"), F.coalesce("siblings", F.lit(0)), F.col("negated")), 6).alias("boost"))
+    return e.join(m.siblings(e, m.SIBLINGS), "id", "left").select("id", F.round(m.boost(F.col("usage"), F.coalesce("siblings", F.lit(0)), F.col("negated")), 6).alias("boost"))
 
 
 @query("a17_citation_hubs", f"with {ENTRIES}, sz as (select pattern, count(*) as group_size from en group by 1 having count(*) >= 3), cn as (select pattern, cited, count(*) as n from ex group by 1, 2) select pattern, cited, n, group_size, round(n / group_size::double, 2) as rate from cn join sz using (pattern) where n >= greatest(2.0::double, 0.3::double * group_size)")
