@@ -93,15 +93,18 @@ def dead_code(spark, sf_dir):
     return nodes(spark, sf_dir).where("grp <> 'region'").join(edges(spark, sf_dir).select(F.col("target").alias("id")).distinct(), "id", "left_anti").select("id", "grp")
 
 
-#: Ids of customers follow those of orders.
-CUSTOMER = 1_000_000_000
+#: Ids of orders come first; those of suppliers and customers follow.
+CUSTOMER = 2_000_000_000
 
 
-@query("g18_components", f"""with recursive e as (select distinct o_orderkey as a, {CUSTOMER} + o_custkey as b from orders),
-h as (select a, b from e union select b, a from e), w as (select a as id, a as root from h union select b, b from h union select h.b, w.root from w join h on h.a = w.id where w.root < h.b)
-select id, min(root) as component from w group by 1""")
+@query("g18_components", f"""with recursive e as (select o_orderkey as a, {CUSTOMER} + o_custkey as b from orders union select l_orderkey, {SUPPLIER} + l_suppkey from lineitem),
+h as (select a, b from e union select b, a from e), w(id, component) using key (id) as (select a, least(a, min(b)) from h group by 1
+  union select h.b, min(w.component) from w join h on h.a = w.id join recurring.w as k on k.id = h.b where w.component < k.component group by 1)
+select id, component from w""")
 def connected(spark, sf_dir):
-    return g.components(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("source"), (F.lit(CUSTOMER) + F.col("o_custkey")).alias("target")).distinct())
+    bought = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("source"), (F.lit(CUSTOMER) + F.col("o_custkey")).alias("target"))
+    supplied = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("source"), (F.lit(SUPPLIER) + F.col("l_suppkey")).alias("target"))
+    return g.components(bought.unionByName(supplied))
 
 
 @query("g11_label_propagation")
