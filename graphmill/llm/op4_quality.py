@@ -8,11 +8,10 @@ that judges the fewest labelled documents wrongly among those that pass the base
 labels give no cut (none with label 0, or none that scores below all trusted ones), it lies
 FENCE interquartile ranges below the first quartile of the trusted scores.
 
-The trusted side is a bounded, documented choice: at most `trusted` documents with label 1,
-those with the smallest hash of doc_id. The cut sees them and as many with label 0, each
-weighted by how many labels it stands for. The corpus side counts every document. Only the
-chosen ids (at most `trusted` of each label) are broadcast; only BUCKETS numbers and counts of
-scores in steps of 1 / STEPS reach the driver.
+The trusted side is every document with label 1, and the cut sees every labelled document.
+Documents meet their labels by doc_id in a join, for which texts are dealt once. All
+documents are scored once, and the few numbers of each are written, so the cut reads those and no text. Only BUCKETS numbers and counts of scores in steps of 1 / STEPS
+reach the driver.
 
 Nulls and odd cases: null or empty text has no words and fails the base rules; a null
 doc_id is judged like any other; without trusted documents no score is below the
@@ -29,7 +28,9 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BUCKETS, TRUSTED, PRIOR, FENCE, STEPS = 10_000, 5_000, 20, 2.0, 2000
+from graphmill.operators.scratch import Scratch
+
+BUCKETS, PRIOR, FENCE, STEPS = 10_000, 20, 2.0, 2000
 GAP = "[\\x20\\x09-\\x0D]+"
 LEAST_WORDS, MOST_REPEATED = 10, 20
 
@@ -48,17 +49,18 @@ def with_words(docs: DataFrame) -> DataFrame:
     return d.withColumn("_f", F.concat(F.transform("_h", bucket), pairs))
 
 
-def trusted_ids(labels: DataFrame, most: int = TRUSTED, quality: int = 1) -> DataFrame:
-    """At most `most` doc_ids with this quality, by hash."""
-    ids = labels.where(F.col("quality") == quality).where("doc_id is not null").select("doc_id").distinct()
-    return ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select(F.col("doc_id").alias("_trusted"))
+def trusted_ids(labels: DataFrame, quality: int = 1) -> DataFrame:
+    """Every doc_id with this quality, once."""
+    ids = labels.where(F.col("quality") == quality).where("doc_id is not null")
+    return ids.select(F.col("doc_id").alias("_trusted")).distinct()
 
 
-def log_ratios(docs: DataFrame, labels: DataFrame, most: int = TRUSTED) -> list[float]:
+def log_ratios(docs: DataFrame, labels: DataFrame) -> list[float]:
     """log P(bucket | trusted) / P(bucket | corpus) with add-one smoothing, from one scan of the corpus."""
-    ids = F.broadcast(trusted_ids(labels, most))
-    d = with_words(docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("_trusted"), "left").select("doc_id", "text", F.col("_trusted").isNotNull().cast("int").alias("_t")).select(F.struct("doc_id", "_t").alias("doc_id"), "text"))
-    counts = d.select(F.col("doc_id._t").alias("t"), F.explode("_f").alias("b")).groupBy("b").agg(F.count("*").alias("n"), F.sum("t").alias("k")).collect()
+    # dealt by doc_id at every size; an outer explode, as the filter of an inner one would split each text before the join too
+    d = docs.select("doc_id", "text").join(trusted_ids(labels).hint("shuffle_hash"), F.col("doc_id") == F.col("_trusted"), "left")
+    d = with_words(d.select(F.struct("doc_id", F.col("_trusted").isNotNull().cast("int").alias("_t")).alias("doc_id"), "text"))
+    counts = d.select(F.col("doc_id._t").alias("t"), F.explode_outer("_f").alias("b")).groupBy("b").agg(F.count("*").alias("n"), F.sum("t").alias("k")).where("b is not null").collect()
     n, k = [1] * BUCKETS, [1] * BUCKETS
     for r in counts:
         n[r["b"]] += r["n"]
@@ -85,19 +87,15 @@ def best_cut(counts: list[tuple[int, float, float]]) -> float | None:
     return best[1]
 
 
-def threshold(docs: DataFrame, labels: DataFrame, ratios: list[float], most: int = TRUSTED, fence: float = FENCE) -> float:
-    ids = trusted_ids(labels, most).withColumn("_q", F.lit(1)).unionByName(trusted_ids(labels, most, 0).withColumn("_q", F.lit(0)))
-    own = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_trusted")).select(F.struct("doc_id", "_q").alias("doc_id"), "text")
-    own = with_base(with_words(own)).select(F.col("doc_id._q").alias("q"), base_failed().alias("failed"), mean_ratio(ratios).alias("s"))
-    trusted, passed = F.col("q") == 1, ~F.col("failed")
-    step = F.floor(F.col("s") * STEPS)
-    per = own.groupBy(F.when(passed, step).alias("step")).agg(F.count_if(trusted).alias("good"), F.count_if(~trusted).alias("junk")).collect()
-    all_of = labels.agg(F.count_distinct(F.when(F.col("quality") == 1, F.col("doc_id"))).alias("good"), F.count_distinct(F.when(F.col("quality") == 0, F.col("doc_id"))).alias("junk")).first()
-    good, junk = (max(1.0, n / most) for n in all_of)
-    cut = best_cut([(x["step"], good * x["good"], junk * x["junk"]) for x in per if x["step"] is not None])
+def threshold(scored: DataFrame, labels: DataFrame, fence: float = FENCE) -> float:
+    """The cut from scored(doc_id, llr, base_failed) and all labels."""
+    ids = trusted_ids(labels).withColumn("_good", F.lit(True)).unionByName(trusted_ids(labels, 0).withColumn("_good", F.lit(False)))
+    own = scored.select("doc_id", "llr", "base_failed").join(ids, F.col("doc_id") == F.col("_trusted"))
+    per = own.where("not base_failed").groupBy(F.floor(F.col("llr") * STEPS).alias("step")).agg(F.count_if("_good").alias("good"), F.count_if(~F.col("_good")).alias("junk")).collect()
+    cut = best_cut([(x["step"], x["good"], x["junk"]) for x in per])
     if cut is not None:
         return cut
-    q = own.where(trusted).agg(F.percentile("s", F.array(F.lit(0.25), F.lit(0.75))).alias("q")).first()["q"]
+    q = own.where("_good").agg(F.percentile("llr", F.array(F.lit(0.25), F.lit(0.75))).alias("q")).first()["q"]
     return q[0] - fence * (q[1] - q[0]) if q else -math.inf
 
 
@@ -134,10 +132,10 @@ def with_base(d: DataFrame) -> DataFrame:
     )
 
 
-def judge(docs: DataFrame, labels: DataFrame, trusted: int = TRUSTED, fence: float = FENCE) -> DataFrame:
-    """doc_id, the base counts, base_failed, llr, threshold and kept of every row; one shuffle of at most BUCKETS rows for each task."""
-    ratios = log_ratios(docs, labels, trusted)
-    bar = threshold(docs, labels, ratios, trusted, fence)
+def judge(docs: DataFrame, labels: DataFrame, fence: float = FENCE) -> DataFrame:
+    """doc_id, the base counts, base_failed, llr, threshold and kept of every row."""
+    ratios = log_ratios(docs, labels)
     d = with_base(with_words(docs)).withColumn("llr", mean_ratio(ratios)).drop("_f")
-    d = d.withColumn("base_failed", base_failed())
-    return d.withColumn("threshold", F.lit(float(bar))).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= F.lit(float(bar))))
+    scored = Scratch(docs.sparkSession, "quality").keep(d.withColumn("base_failed", base_failed()))
+    bar = F.lit(float(threshold(scored, labels, fence)))
+    return scored.withColumn("threshold", bar).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= bar))

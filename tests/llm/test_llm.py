@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -308,6 +309,17 @@ def test_quality_against_brute_force(spark):
     assert all(x.threshold == cut and x.kept == (not x.base_failed and x.llr >= cut) for x in got.values())
 
 
+def test_quality_takes_every_label(spark):
+    """Trusted documents beyond the first thousands count too: each but the last two teaches the one word it has."""
+    n = 5_200
+    docs = spark.range(n + 2).selectExpr("id as doc_id", "concat_ws(' ', transform(sequence(1, 12), i -> concat('w', id, 'x', i))) as text")
+    labels = spark.range(n).selectExpr("id as doc_id", "1 as quality", "0 as toxic")
+    assert op4_quality.trusted_ids(labels).count() == n
+    k = math.log(n * 23 + 2 * 23 + op4_quality.BUCKETS) - math.log(n * 23 + op4_quality.BUCKETS)
+    got = op4_quality.log_ratios(docs.where(f"doc_id < {n}"), labels)
+    assert set(got) == {0.0} and max(op4_quality.log_ratios(docs, labels)) == round(k, 6)
+
+
 def test_quality_best_cut():
     cut = op4_quality.best_cut
     assert cut([(-100, 0, 5), (-10, 1, 3), (0, 50, 1), (5, 50, 0)]) == (-9 + 0) / 2 / op4_quality.STEPS
