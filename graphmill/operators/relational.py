@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphmill.functions.rules import any_in
-from graphmill.operators.scratch import Scratch
+from graphmill.operators.scratch import Scratch, shares
 
 
 def project_key(c: Column) -> Column:
@@ -81,11 +81,21 @@ def consensus(a: DataFrame, b: DataFrame, keys: list[str], both: float = 0.85, o
 
 
 def overlap_links(items: DataFrame, least: float) -> DataFrame:
-    """(a, b, shared, strength): entities by the share of common items in the longer list. items: id, item."""
-    x = items.distinct()
+    """(a, b, shared, strength): entities by the share of common items in the longer list. items: id, item.
+
+    For each of its items an entity gets the larger ids of that item as one array, so pairs arise, are counted and are held
+    against the entity's own size where its arrays lie; only those that reach `least` of that move on.
+    """
+    parts = shares(items)
+    x = items.select("id", "item").repartition(parts, "item").distinct()
     size = x.groupBy("id").agg(F.count("*").alias("n"))
-    p = x.select(F.col("id").alias("a"), "item").join(x.select(F.col("id").alias("b"), "item"), "item").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
-    j = p.join(size.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
+    ids = x.where("item is not null").groupBy("item").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    own = ids.select("ids", F.posexplode("ids").alias("i", "a")).where(F.col("i") + 1 < F.size("ids"))
+    rest = own.select("a", F.slice("ids", F.col("i") + 2, F.size("ids")).alias("rest")).repartition(4 * parts, "a")
+    p = rest.select("a", F.explode("rest").alias("b")).groupBy("a", "b").agg(F.count("*").alias("shared"))
+    at = size.repartition(4 * parts, "id")
+    p = p.join(at.select(F.col("id").alias("a"), F.col("n").alias("na")).hint("merge"), "a").where(F.col("shared") / F.col("na") >= least)
+    j = p.join(size.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
     return j.withColumn("raw", F.col("shared") / F.greatest("na", "nb")).where(F.col("raw") >= least).select("a", "b", "shared", F.round("raw", 4).alias("strength"))
 
 
