@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphmill.operators.scratch import shares
+
 
 #: So many siblings give the whole share of a boost; more change nothing.
 SIBLINGS = 6
@@ -69,7 +71,10 @@ def fresh(confirmed_files: DataFrame, recorded: DataFrame, current: DataFrame) -
 
     confirmed_files: entry, path; recorded: entry, path, digest; current: path, digest.
     """
-    j = confirmed_files.distinct().join(recorded.select("entry", "path", F.col("digest").alias("_was")), ["entry", "path"], "left").join(current.select("path", F.col("digest").alias("_now")), "path", "left")
+    parts = shares(confirmed_files)
+    files = confirmed_files.repartition(parts, "entry", "path").distinct()
+    was = recorded.select("entry", "path", F.col("digest").alias("_was")).repartition(parts, "entry", "path")
+    j = files.join(was, ["entry", "path"], "left").join(current.select("path", F.col("digest").alias("_now")), "path", "left")
     bad = F.col("_was").isNull() | F.col("_now").isNull() | (F.col("_was") != F.col("_now"))
     return j.groupBy("entry").agg((F.count_if(bad) == 0).alias("fresh"), F.count_if(bad).alias("changed"))
 

@@ -8,6 +8,7 @@ from graphmill.functions import columns as c
 from graphmill.operators import memory as m
 from graphmill.operators import retrieval as v
 from graphmill.operators.relational import first_per
+from graphmill.operators.scratch import shares
 from graphmill.plans.registry import query, table as t
 from graphmill.plans.retrieval import BM, COS, TERMS, query_vector
 
@@ -71,9 +72,9 @@ def st11(spark, d):
 @query("st12_freshness", """with cf as (select distinct l_orderkey as entry, l_partkey as path from lineitem), rc as (select distinct entry, path, md5(p_name) as was from cf join part on p_partkey = path where path % 50 <> 3), cu as (select p_partkey as path, case when p_size = 7 then 'x' else md5(p_name) end as now from part where p_size <> 9),
 j as (select entry, was is null or now is null or was <> now as bad from cf left join rc using (entry, path) left join cu using (path)) select entry, count(*) filter (where bad) = 0 as fresh, count(*) filter (where bad) as changed from j group by 1""")
 def st12(spark, d):
-    cf = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("entry"), F.col("l_partkey").alias("path")).distinct()
+    cf = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("entry"), F.col("l_partkey").alias("path"))
     p = t(spark, d, "part").select(F.col("p_partkey").alias("path"), F.md5("p_name").alias("digest"), "p_size")
-    return m.fresh(cf, cf.join(p, "path").where("path % 50 <> 3").select("entry", "path", "digest"), p.where("p_size <> 9").select("path", F.when(F.col("p_size") == 7, "x").otherwise(F.col("digest")).alias("digest")))
+    return m.fresh(cf, cf.repartition(shares(cf), "entry", "path").distinct().join(p, "path").where("path % 50 <> 3").select("entry", "path", "digest"), p.where("p_size <> 9").select("path", F.when(F.col("p_size") == 7, "x").otherwise(F.col("digest")).alias("digest")))
 
 
 SMART = f"""{BM}, q as (select embedding::double[] as v from embeddings where vec_id = 7), vs as (select vec_id as id, label, round({COS}, 4) as similarity, row_number() over (order by {COS} desc, vec_id) - 1 as rank from embeddings e, q),
