@@ -153,8 +153,10 @@ def x17(spark, d):
 def x14(spark, d):
     roots = t(spark, d, "nation").select(F.concat(F.lit("Brand#"), F.col("n_nationkey").cast("string")).alias("root")).unionByName(spark.createDataFrame([("Brand#1",), ("Brand",)], "root string")).distinct()
     # an ancestor is one of the path's own beginnings, so this is an equi-join
-    p = t(spark, d, "part").select("p_partkey", F.explode(F.transform(F.sequence(F.lit(1), F.length("p_brand")), lambda i: F.substring("p_brand", F.lit(1), i))).alias("root"))
-    return p.join(roots, "root").groupBy("p_partkey").agg(F.max_by("root", F.length("root")).alias("root"))
+    p = t(spark, d, "part").select("p_partkey", "p_brand")
+    starts = p.select("p_brand").distinct().select("p_brand", F.explode(F.transform(F.sequence(F.lit(1), F.length("p_brand")), lambda i: F.substring("p_brand", F.lit(1), i))).alias("root"))
+    deepest = starts.join(roots, "root").groupBy("p_brand").agg(F.max_by("root", F.length("root")).alias("root"))
+    return p.join(deepest, "p_brand").select("p_partkey", "root").repartition(shares(p), "p_partkey").groupBy("p_partkey").agg(F.max_by("root", F.length("root")).alias("root"))
 
 
 @query("x28_sampled_staleness", """with m as (select p_partkey as path, p_retailprice as mtime, row_number() over (order by p_partkey) as i, count(*) over () as total from part), s as (select m.*, c.p_retailprice + case when c.p_size > 45 then 5 else 0 end as now from m left join (select * from part where p_size <> 1) c on c.p_partkey = m.path where i <= 500),
