@@ -10,6 +10,11 @@ from graphmill.operators.scratch import Scratch
 _KEY = ["module", "name"]
 
 
+def _met(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A merge join at every size: names grow with the modules, and a broadcast would take them through the driver each round."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def alias_ends(aliases: DataFrame, scratch: Scratch) -> DataFrame:
     """(module, name, to_module, to_name): where a chain of aliases ends; chains that end in a cycle have no end.
 
@@ -19,7 +24,7 @@ def alias_ends(aliases: DataFrame, scratch: Scratch) -> DataFrame:
     links = scratch.keep(aliases.groupBy(*_KEY).agg(F.min(F.struct("to_module", "to_name")).alias("x")).select(*_KEY, "x.to_module", "x.to_name"))
     for _ in range(links.count().bit_length()):
         on = links.select(F.col("module").alias("to_module"), F.col("name").alias("to_name"), F.col("to_module").alias("_m"), F.col("to_name").alias("_n"))
-        j = links.join(on, ["to_module", "to_name"], "left")
+        j = _met(links, on, ["to_module", "to_name"], "left")
         moved = scratch.keep(j.select(*_KEY, F.coalesce("_m", "to_module").alias("to_module"), F.when(F.col("_m").isNull(), F.col("to_name")).otherwise(F.col("_n")).alias("to_name"), F.col("_m").isNotNull().alias("_moved")))
         done = moved.where("_moved").isEmpty()
         scratch.drop(links)
@@ -27,14 +32,14 @@ def alias_ends(aliases: DataFrame, scratch: Scratch) -> DataFrame:
         if done:
             break
     heads = aliases.select(F.col("module").alias("to_module"), F.col("name").alias("to_name")).distinct()
-    return scratch.keep(links.join(heads, ["to_module", "to_name"], "left_anti"))
+    return scratch.keep(_met(links, heads, ["to_module", "to_name"], "left_anti"))
 
 
 def star_closure(stars: DataFrame, scratch: Scratch) -> DataFrame:
     """(module, source, steps): all modules whose names a module offers by stars, with the fewest steps; pairs are doubled until none is new or shorter."""
     pairs = scratch.keep(stars.where("module <> source").select("module", "source", F.lit(1).alias("steps")).distinct())
     while True:
-        far = pairs.join(pairs.select(F.col("module").alias("source"), F.col("source").alias("_s"), F.col("steps").alias("_k")), "source").where("module <> _s")
+        far = _met(pairs, pairs.select(F.col("module").alias("source"), F.col("source").alias("_s"), F.col("steps").alias("_k")), ["source"]).where("module <> _s")
         more = scratch.keep(pairs.unionByName(far.select("module", F.col("_s").alias("source"), (F.col("steps") + F.col("_k")).alias("steps"))).groupBy("module", "source").agg(F.min("steps").alias("steps")))
         sign = lambda p: tuple(p.agg(F.count("*"), F.sum("steps")).first())
         if sign(more) == sign(pairs):
@@ -55,7 +60,7 @@ def resolved_names(defs: DataFrame, aliases: DataFrame, stars: DataFrame) -> Dat
     scratch = Scratch(defs.sparkSession, "symbols")
     own = defs.where("module is not null and name is not null").groupBy(*_KEY).agg(F.min("node").alias("node"))
     own = scratch.keep(own)
-    a = aliases.where("module is not null and name is not null and to_module is not null and to_name is not null").join(own, _KEY, "left_anti")
+    a = _met(aliases.where("module is not null and name is not null and to_module is not null and to_name is not null"), own, _KEY, "left_anti")
     a = scratch.keep(a.select(*_KEY, "to_module", "to_name"))
     ends = alias_ends(a, scratch)
     reach = scratch.keep(star_closure(stars.where("module is not null and source is not null"), scratch))
@@ -63,10 +68,10 @@ def resolved_names(defs: DataFrame, aliases: DataFrame, stars: DataFrame) -> Dat
     known = own
     while True:
         # names by stars: not those that the module has of its own or by an alias
-        by_star = known.select(F.col("module").alias("source"), "name", "node").join(reach, "source").groupBy(*_KEY).agg(F.min_by("node", F.struct("steps", "source")).alias("node"))
-        by_star = by_star.join(named, _KEY, "left_anti")
+        by_star = _met(known.select(F.col("module").alias("source"), "name", "node"), reach, ["source"]).groupBy(*_KEY).agg(F.min_by("node", F.struct("steps", "source")).alias("node"))
+        by_star = _met(by_star, named, _KEY, "left_anti")
         base = own.unionByName(by_star)
-        by_alias = ends.join(base.select(F.col("module").alias("to_module"), F.col("name").alias("to_name"), "node"), ["to_module", "to_name"]).select(*_KEY, "node")
+        by_alias = _met(ends, base.select(F.col("module").alias("to_module"), F.col("name").alias("to_name"), "node"), ["to_module", "to_name"]).select(*_KEY, "node")
         new = scratch.keep(base.unionByName(by_alias))
         sign = lambda x: tuple(x.agg(F.count("*"), F.sum(F.xxhash64("module", "name", "node").cast("decimal(38,0)"))).first())
         if sign(new) == sign(known):
