@@ -1,8 +1,8 @@
 """Findings of a code-quality service that land as pages, trees of measured components, and duplicated lines.
 
-A page is one JSON document: {"total": n, "issues": [{...}, ...]}. The data source reads pages in
-parallel, one partition each, and takes filters on its plain columns, so that rows which a query
-doesn't want never leave the page.
+A page is one JSON document: {"total": n, "issues": [{...}, ...]}. A file is a page, or has one on
+each line. The data source reads files in parallel, one partition each, and takes filters on its
+plain columns, so that rows which a query doesn't want never leave the page.
 """
 
 from __future__ import annotations
@@ -26,12 +26,28 @@ OPEN_STATUSES = ("OPEN", "CONFIRMED", "REOPENED")
 HOTSPOT, MOST = "SECURITY_HOTSPOT", 10_000
 
 
-class _Page(InputPartition):
+#: Pages that a file gets at most when they are landed.
+PAGES = 100
+
+
+class _Pages(InputPartition):
     def __init__(self, path: str):
         super().__init__(path)
         self.path = path
 
 
+def _documents(text: str) -> Iterator[object]:
+    """The document that a file is, or those that its lines are; what is none, or is cut off, is left out."""
+    try:
+        yield json.loads(text)
+    except ValueError:
+        for line in text.split("\n"):
+            try:
+                yield json.loads(line)
+            except ValueError:
+                continue
+
+
 class _PageReader(DataSourceReader):
     def __init__(self, uri: str):
         self.uri, self.wanted = uri, []
@@ -54,22 +70,23 @@ class _PageReader(DataSourceReader):
 
         store, root = fs.FileSystem.from_uri(self.uri)
         files = store.get_file_info(fs.FileSelector(root, recursive=True))
-        return [_Page(f.path) for f in sorted(files, key=lambda f: f.path) if f.is_file and not f.base_name.startswith(("_", "."))]
+        return [_Pages(f.path) for f in sorted(files, key=lambda f: f.path) if f.is_file and not f.base_name.startswith(("_", "."))]
 
-    def read(self, partition: _Page) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: _Pages) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         store, _ = fs.FileSystem.from_uri(self.uri)
         with store.open_input_stream(partition.path) as f:
             text = f.read().decode()
-        try:
-            issues = json.loads(text).get("issues") or []
-        except (ValueError, AttributeError):  # no page: another document, or cut off
-            return
+        for page in _documents(text):
+            if isinstance(page, dict) and page.get("issues"):
+                yield self._rows(page["issues"])
+
+    def _rows(self, issues: list) -> pa.RecordBatch:
         rows = [x for x in issues if isinstance(x, dict) and all(x.get(c) is not None and (v is None or x[c] in v) for c, v in self.wanted)]
         line = lambda x: x.get("line") if isinstance(x.get("line"), int) else None
         text_of = lambda v: v if v is None or isinstance(v, str) else json.dumps(v)
-        yield pa.RecordBatch.from_arrays([*(pa.array([text_of(x.get(c)) for x in rows], pa.string()) for c in COLUMNS), pa.array([line(x) for x in rows], pa.int64())], [*COLUMNS, "line"])
+        return pa.RecordBatch.from_arrays([*(pa.array([text_of(x.get(c)) for x in rows], pa.string()) for c in COLUMNS), pa.array([line(x) for x in rows], pa.int64())], [*COLUMNS, "line"])
 
 
 class FindingPages(DataSource):
