@@ -2,13 +2,13 @@
 
 Each vector less the centroid is rotated by a fixed random orthogonal matrix; the signs of
 its coordinates are its code, one bit each. With two scalars for each vector, its norm and
-how well its code points along it, inner products are estimated from the packed bits: a table
-for each byte of the code holds the query's part for all 256 values. The estimate has an
+how well its code points along it, inner products are estimated from the packed bits, a block of
+queries at a time: one product with the signs of a chunk of codes. The estimate has an
 error bound. For each query, vectors whose upper bound reaches the kth best score so far, or
 where there are none the kth best lower bound, are reranked exactly on the original vectors,
 in double precision.
 
-The index has every row. It is dealt to partitions of about PART vectors by row, whatever the
+The index has every row. It is dealt to partitions of LEAST to PART vectors by row, whatever the
 keys are, and each partition gets all queries, in blocks of at most BLOCK, as rows of a
 table: nothing goes through the driver but the centroid. A partition returns at most k rows
 for a query; those are merged by a window over one query's rows.
@@ -29,7 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-CHUNK, BLOCK, PART = 4_096, 256, 65_536
+CHUNK, BLOCK = 4_096, 256
+#: Vectors of a partition: at most, and so many that another one pays.
+PART, LEAST = 65_536, 4_096
 #: Width of the error bound in standard deviations of the estimate.
 WIDTH = 4.0
 
@@ -61,48 +63,62 @@ def encode_rows(x: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> tuple[np
 
 
 class Part:
-    """Vectors of one partition, their codes column by column and the scalars of the estimate."""
+    """Vectors of one partition, their codes and the scalars of the estimate."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, norm: np.ndarray, along: np.ndarray):
         dim = x.shape[1]
-        self.ids, self.x, self.codes = ids, x, np.ascontiguousarray(codes.T)
+        self.ids, self.x, self.codes = ids, x, codes
+        self.most = float(np.linalg.norm(x, axis=1).max())
         # <x, q> = <centre, q> + norm * <unit, turned q>, and <unit, q> is about <code, q> / along
         self.scale = (norm / along / np.sqrt(dim)).astype(np.float32)
         # a unit vector's part across its code is sqrt(1 - along^2) long and points anywhere in dim - 1 dimensions
         self.spread = (WIDTH * norm * np.sqrt(np.maximum(1 - along**2, 0)) / along / np.sqrt(max(dim - 1, 1))).astype(np.float32)
 
-    def nearest(self, own: int, q: np.ndarray, turned: np.ndarray, base: float, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """ids and scores of the k nearest to q, the vector of id own; base is its inner product with the centre."""
-        dim, length = len(q), float(np.linalg.norm(q))
-        padded = np.zeros(8 * len(self.codes), np.float32)
-        padded[:dim] = turned
-        signs = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float32) * 2 - 1
-        tables = padded.reshape(-1, 8) @ signs.T
-        best_ids, best = np.zeros(0, np.int64), np.zeros(0)
+    def nearest(self, own: np.ndarray, q: np.ndarray, turned: np.ndarray, base: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each row of q, the vector of id own, ids and scores of its k nearest; base has its inner product with the centre.
+
+        Estimates of a block are one product of the turned queries with the signs that a chunk's codes unpack to.
+        """
+        length = np.linalg.norm(q, axis=1)
+        turned, fine = turned.astype(np.float32), 1e-5 * (1 + length)
+        best = [(np.zeros(0, np.int64), np.zeros(0))] * len(q)
         for lo in range(0, len(self.ids), CHUNK):
             hi = min(lo + CHUNK, len(self.ids))
-            estimate = tables[0][self.codes[0, lo:hi]]
-            for t, c in zip(tables[1:], self.codes[1:, lo:hi]):
-                estimate += t[c]
-            estimate *= self.scale[lo:hi]
-            slack = self.spread[lo:hi] * np.float32(length) + np.float32(1e-5 * (1 + length))
-            upper = estimate + slack
-            if len(best) >= k:
-                bar = best[-1] - base
-            elif hi - lo > k + 1:  # one of them may be the query itself
-                low = estimate - slack
-                bar = np.partition(low, hi - lo - k - 1)[hi - lo - k - 1]
-            else:
-                bar = -np.inf
-            near = lo + np.flatnonzero(upper >= bar - 1e-4 * (1 + abs(bar)))
-            near = near[self.ids[near] != own]
-            exact = np.zeros(len(near))
-            for d in range(dim):  # from left to right in double precision
-                exact += self.x[near, d] * q[d]
-            best_ids, best = np.append(best_ids, self.ids[near]), np.append(best, exact)
-            order = np.lexsort((best_ids, -best))[:k]
-            best_ids, best = best_ids[order], best[order]
-        return best_ids, best
+            signs = np.unpackbits(self.codes[lo:hi], axis=1, count=q.shape[1]).astype(np.float32) * 2 - 1
+            estimate = turned @ (signs * self.scale[lo:hi, None]).T
+            slack = np.outer(length, self.spread[lo:hi]).astype(np.float32) + fine[:, None].astype(np.float32)
+            bar = np.array([s[-1] - c if len(s) >= k else -np.inf for (_, s), c in zip(best, base)])
+            if hi - lo > k + 1:  # one of them may be the query itself
+                new = np.flatnonzero(np.isneginf(bar))
+                if len(new):
+                    bar[new] = np.partition(estimate[new] - slack[new], hi - lo - k - 1, axis=1)[:, hi - lo - k - 1]
+            estimate += slack
+            bar -= np.where(np.isfinite(bar), 1e-4 * (1 + np.abs(bar)), 0)
+            reach = ~(estimate < bar[:, None].astype(np.float32))
+            for i in np.flatnonzero(reach.any(axis=1)).tolist():
+                best[i] = self._reranked(*best[i], lo + np.flatnonzero(reach[i]), own[i], q[i], length[i], k)
+        return best
+
+    def _reranked(self, best_ids: np.ndarray, best: np.ndarray, near: np.ndarray, own: int, q: np.ndarray, length: float, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k best of those so far and the rows near, whose scores are exact: of rows that a rounded product leaves within reach of the kth, sums from left to right."""
+        near = near[self.ids[near] != own]
+        x = self.x[near]
+        rough = x @ q
+        # both sums of a row err by less than this
+        error = 4e-16 * len(q) * length * self.most
+        bar = best[-1] if len(best) >= k else -np.inf
+        if len(near) > k:
+            bar = max(bar, np.partition(rough, len(near) - k)[len(near) - k])
+        some = np.flatnonzero(~(rough < bar - 2 * error))
+        if not len(some):
+            return best_ids, best
+        near, x = near[some], x[some]
+        exact = np.zeros(len(near))
+        for d in range(len(q)):  # from left to right in double precision
+            exact += x[:, d] * q[d]
+        best_ids, best = np.append(best_ids, self.ids[near]), np.append(best, exact)
+        order = np.lexsort((best_ids, -best))[:k]
+        return best_ids[order], best[order]
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, seed: int = 7, vec: str = "embedding", key: str = "vec_id") -> DataFrame:
@@ -117,7 +133,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, seed: int = 7,
     means = rows.select(F.posexplode("v").alias("d", "x")).groupBy("d").agg(F.avg("x").alias("m")).collect()
     centre = np.array([r["m"] for r in sorted(means, key=lambda r: r["d"])])
     turn = rotation(dim, seed)
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-usual["count"] // PART))
+    # each partition returns k rows for a query, so few vectors are not dealt to many partitions
+    parts = max(min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-usual["count"] // LEAST)), -(-usual["count"] // PART))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,7 +177,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, seed: int = 7,
                 ids, q = b.column("vec_id").to_numpy(), _matrix(b.column("v"), dim)
                 for i in range(0, len(ids), BLOCK):
                     turned, base = q[i : i + BLOCK] @ turn.T, q[i : i + BLOCK] @ centre
-                    found = [part.nearest(own, v, t, float(c), k) for own, v, t, c in zip(ids[i : i + BLOCK].tolist(), q[i : i + BLOCK], turned, base)]
+                    found = part.nearest(ids[i : i + BLOCK], q[i : i + BLOCK], turned, base, k)
                     sizes = [len(f) for f, _ in found]
                     yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[i : i + BLOCK], sizes)), pa.array(np.concatenate([f for f, _ in found])), pa.array(np.concatenate([s for _, s in found]))], ["query_id", "vec_id", "score"])
 
